@@ -21,6 +21,7 @@ from claimweave.operators.ordered import BUCKET, null_safe_join, running_sums, v
 # midpoint expansion of the sum, whose error is below 1e-12 of the result.
 _DIRECT = 64
 _TAIL = 16
+_WHOLE = 50_000
 
 
 class _Problem:
@@ -40,13 +41,12 @@ class _Problem:
             raise ValueError("ties is 'efron' or 'breslow'")
         self.spark, self.ties, self.terms, self.p = df.sparkSession, ties, list(xs), len(xs)
         self.x = [f"x{j}" for j in range(self.p)]
-        self.s = [f"_s{i}" for i in range(max(len(strata), 1))]
+        self.s = [f"_s{i}" for i in range(len(strata))]
         self.pairs = upper_triangle(self.p)
         keep = [time, event, *xs, *strata, *([weight] if weight else [])]
         w = F.col(weight).cast("double") if weight else F.lit(1.0)
-        strata_cols = [F.col(c).alias(n) for c, n in zip(strata, self.s)] or [F.lit(0).alias("_s0")]
         rows = df.dropna(subset=keep).select(
-            *strata_cols,
+            *[F.col(c).alias(n) for c, n in zip(strata, self.s)],
             F.col(time).cast("double").alias("_t"),
             F.when(F.col(event) == 1, 1).otherwise(0).alias("_e"),
             *[F.col(c).cast("double").alias(n) for c, n in zip(xs, self.x)],
@@ -55,9 +55,15 @@ class _Problem:
         patterns = rows.groupBy(*self.s, "_t", "_e", *self.x).agg(
             F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_w")).alias("ww")
         )
-        self.patterns = (
-            value_buckets(patterns, "_t").repartition(*self.s, BUCKET).persist(StorageLevel.MEMORY_AND_DISK)
-        )
+        # Up to _WHOLE distinct times per stratum, one task runs a stratum's window; beyond, times are cut
+        # into buckets. The count is exact, so what a task holds is bounded either way.
+        whole = patterns.withColumn(BUCKET, F.lit(0)).repartition(*self.s, "_t").persist(StorageLevel.MEMORY_AND_DISK)
+        times = whole.select(*self.s, "_t").distinct()
+        longest = times.groupBy(*self.s).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+        self.cut, self.patterns = longest > _WHOLE, whole
+        if self.cut:
+            self.patterns = value_buckets(whole.drop(BUCKET), "_t").repartition(*self.s, BUCKET)
+            self.patterns = self.patterns.persist(StorageLevel.MEMORY_AND_DISK)
         size = self.patterns.agg(
             F.sum("n").alias("n"),
             F.sum(F.col("n") * F.col("_e")).alias("events"),
@@ -65,99 +71,105 @@ class _Problem:
         ).first()
         if not size["n"] or not size["events"]:
             raise ValueError("no complete rows with an event")
+        if self.cut:
+            whole.unpersist()
         self.n, self.events = int(size["n"]), int(size["events"])
         self.center = vector(size, "x", self.p)
 
     def close(self) -> None:
         self.patterns.unpersist()
 
-    def _centred(self) -> DataFrame:
-        return self.patterns.withColumns(
-            {c: F.col(c) - F.lit(float(m)) for c, m in zip(self.x, self.center)}
-        )
+    def _rows(self, beta: np.ndarray) -> str:
+        """SQL text of the patterns with centred covariates, linear predictor and hazard ratio."""
+        shifted = ", ".join(f"{c} - ({float(m)!r}D) AS {c}" for c, m in zip(self.x, self.center))
+        keys = "".join(f"{c}, " for c in self.s)
+        return f"""
+            SELECT *, exp(eta) AS hr FROM (
+                SELECT *, {linear(beta, self.x)} AS eta FROM (
+                    SELECT {keys}{BUCKET}, _t, _e, n, w, ww, {shifted} FROM {{patterns}}))"""
 
     def risk_table(self, beta: np.ndarray) -> DataFrame:
-        """Risk-set and event sums per (stratum, time), with the tied-event sums g1, g2 and gl."""
-        eta = linear(beta, self.x)
-        rows = self._centred().withColumn("_r", F.expr(f"w * exp({eta})"))
+        """Risk-set and event sums per (stratum, time), with the tied-event sums of ``_tied``.
+
+        One SQL statement: sums per time, then running sums from the latest time. If times are cut into
+        buckets, bucket totals become offsets and the running sums stay inside a bucket.
+        """
         at = lambda e: f"CASE WHEN _e = 1 THEN {e} ELSE 0D END"
-        sums = {"s0": "_r", "d0": at("_r"), "d": at("n"), "dw": at("w"), "dl": at(f"w * {eta}"), "n": "n"}
+        sums = {"s0": "w * hr"}
+        fixed = {"d0": at("w * hr"), "d": at("n"), "dw": at("w"), "dl": at("w * eta")}
         for j in range(self.p):
-            sums |= {f"s1_{j}": f"_r * x{j}", f"d1_{j}": at(f"_r * x{j}"), f"ex{j}": at(f"w * x{j}")}
+            sums[f"s1_{j}"] = f"w * hr * x{j}"
+            fixed |= {f"d1_{j}": at(f"w * hr * x{j}"), f"ex{j}": at(f"w * x{j}")}
         for j, k in self.pairs:
-            sums |= {f"s2_{j}_{k}": f"_r * x{j} * x{k}", f"d2_{j}_{k}": at(f"_r * x{j} * x{k}")}
-        times = rows.groupBy(*self.s, BUCKET, "_t").agg(*[F.expr(f"sum({e})").alias(c) for c, e in sums.items()])
-        running = [c for c in sums if c[0] == "s"]
-        summed = running_sums(times, self.s, "_t", {f"r{c}": c for c in running}, descending=True)
-        return self._tied_sums(summed.drop(*running).withColumnsRenamed({f"r{c}": c for c in running}))
-
-    def _tied_sums(self, risk: DataFrame) -> DataFrame:
-        """Add f1 = sum f, a1 = sum a f, f2 = sum f2, a2 = sum a f2, b2 = sum a2 f2 and gl = sum log 1/f.
+            sums[f"s2_{j}_{k}"] = f"w * hr * x{j} * x{k}"
+            fixed[f"d2_{j}_{k}"] = at(f"w * hr * x{j} * x{k}")
+        listed = lambda parts: ", ".join(parts)
+        keys = listed([*self.s, BUCKET])
+        within = f"PARTITION BY {listed(self.s)} " if self.s else ""
+        frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND"
+        same = " AND ".join(f"t.{c} <=> o.{c}" for c in [*self.s, BUCKET])
+        kept = [*self.s, BUCKET, "_t", *fixed]
+        if self.cut:
+            running = f"""
+            b AS (SELECT {keys}, {listed(f"sum({c}) AS {c}" for c in sums)} FROM t GROUP BY {keys}),
+            o AS (SELECT {keys}, {listed(f"coalesce(sum({c}) OVER later, 0D) AS {c}" for c in sums)}
+                  FROM b WINDOW later AS ({within}ORDER BY {BUCKET} DESC {frame} 1 PRECEDING)),
+            risk AS (SELECT {listed(f"t.{c}" for c in kept)},
+                            {listed(f"o.{c} + sum(t.{c}) OVER inside AS {c}" for c in sums)}
+                  FROM t JOIN o ON {same}
+                  WINDOW inside AS (PARTITION BY {listed(f"t.{c}" for c in [*self.s, BUCKET])} ORDER BY t._t DESC
+                                    {frame} CURRENT ROW))"""
+        else:
+            running = f"""
+            risk AS (SELECT {listed(kept)}, {listed(f"sum({c}) OVER inside AS {c}" for c in sums)}
+                  FROM t WINDOW inside AS ({within}ORDER BY _t DESC {frame} CURRENT ROW))"""
+        text = f"""
+            WITH r AS ({self._rows(beta)}),
+            t AS (SELECT {keys}, _t, {listed(f"sum({e}) AS {c}" for c, e in (sums | fixed).items())}
+                  FROM r GROUP BY {keys}, _t),
+            {running}
+            {self._tied()}"""
+        return self.spark.sql(text, patterns=self.patterns)
+
+    def _tied(self) -> str:
+        """SQL text adding f1 = sum f, a1 = sum a f, f2 = sum f2, a2 = sum a f2, b2 = sum a2 f2, gl = sum log 1/f.
 
         The l-th of d tied events sees f = 1 / (s0 - a d0) with a = l / d. Writing c = d s0 / d0 turns all
         of these into g1 = sum 1/(c - l), g2 = sum 1/(c - l)2 and sum log(c - l).
         """
+        ev = lambda f: f"CASE WHEN d > 0 THEN {f} ELSE 0D END"
         if self.ties == "breslow":
-            return risk.withColumns(
-                {
-                    "f1": F.expr("CASE WHEN d > 0 THEN d / s0 ELSE 0D END"),
-                    "f2": F.expr("CASE WHEN d > 0 THEN d / (s0 * s0) ELSE 0D END"),
-                    "a1": F.lit(0.0),
-                    "a2": F.lit(0.0),
-                    "b2": F.lit(0.0),
-                    "gl": F.expr("CASE WHEN d > 0 THEN d * ln(s0) ELSE 0D END"),
-                    "wbar": F.expr("CASE WHEN d > 0 THEN dw / d ELSE 0D END"),
-                }
-            )
-        direct = "transform(sequence(cast(_lo AS INT), cast(d AS INT) - 1), l -> c - l)"
-        fold = lambda f: f"aggregate(_args, 0D, (acc, v) -> acc + {f})"
-        far = lambda f: f"CASE WHEN _lo > 0 THEN {f} ELSE 0D END"
-        a, b = "_a", "_b"
-        g1 = (
-            f"ln({b} / {a}) + (1 / ({b} * {b}) - 1 / ({a} * {a})) / 24"
-            f" - 7 * (pow({b}, -4) - pow({a}, -4)) / 960 + 31 * (pow({b}, -6) - pow({a}, -6)) / 8064"
-        )
-        g2 = (
-            f"1 / {a} - 1 / {b} + (pow({b}, -3) - pow({a}, -3)) / 12"
-            f" - 7 * (pow({b}, -5) - pow({a}, -5)) / 240 + 31 * (pow({b}, -7) - pow({a}, -7)) / 1344"
-        )
-        gl = (
-            f"{b} * ln({b}) - {a} * ln({a}) - ({b} - {a}) - (1 / {b} - 1 / {a}) / 24"
-            f" + 7 * (pow({b}, -3) - pow({a}, -3)) / 2880 - 31 * (pow({b}, -5) - pow({a}, -5)) / 40320"
-        )
-        out = risk.withColumns(
-            {
-                "c": F.expr("CASE WHEN d > 0 THEN d * s0 / d0 ELSE 1D END"),
-                "_lo": F.expr(f"CASE WHEN d > {_DIRECT} THEN d - {_TAIL} ELSE 0 END"),
-            }
+            return f"""SELECT *, {ev("d / s0")} AS f1, {ev("d / (s0 * s0)")} AS f2, 0D AS a1, 0D AS a2, 0D AS b2,
+                {ev("d * ln(s0)")} AS gl, {ev("dw / d")} AS wbar FROM risk"""
+        fold = lambda f: f"aggregate(args, 0D, (acc, v) -> acc + {f})"
+        far = lambda f: f"CASE WHEN lo > 0 THEN {f} ELSE 0D END"
+        g1 = far(
+            "ln(hi / lw) + (pow(hi, -2) - pow(lw, -2)) / 24"
+            " - 7 * (pow(hi, -4) - pow(lw, -4)) / 960 + 31 * (pow(hi, -6) - pow(lw, -6)) / 8064"
         )
-        out = out.withColumns(
-            {
-                "_args": F.expr(f"CASE WHEN d > 0 THEN {direct} ELSE array() END"),
-                "_a": F.expr("c - _lo + 0.5D"),
-                "_b": F.expr("c + 0.5D"),
-            }
-        )
-        out = out.withColumns(
-            {
-                "g1": F.expr(f"{fold('1 / v')} + {far(g1)}"),
-                "g2": F.expr(f"{fold('1 / (v * v)')} + {far(g2)}"),
-                "gl": F.expr(f"{fold('ln(v)')} + {far(gl)}"),
-                "wbar": F.expr("CASE WHEN d > 0 THEN dw / d ELSE 0D END"),
-            }
+        g2 = far(
+            "1 / lw - 1 / hi + (pow(hi, -3) - pow(lw, -3)) / 12"
+            " - 7 * (pow(hi, -5) - pow(lw, -5)) / 240 + 31 * (pow(hi, -7) - pow(lw, -7)) / 1344"
         )
-        ev = lambda f: F.expr(f"CASE WHEN d > 0 THEN {f} ELSE 0D END")
-        out = out.withColumns(
-            {
-                "f1": ev("g1 * d / d0"),
-                "a1": ev("(c * g1 - d) / d0"),
-                "f2": ev("g2 * d * d / (d0 * d0)"),
-                "a2": ev("(c * g2 - g1) * d / (d0 * d0)"),
-                "b2": ev("(c * c * g2 - 2 * c * g1 + d) / (d0 * d0)"),
-                "gl": ev("gl + d * ln(d0 / d)"),
-            }
+        gl = far(
+            "hi * ln(hi) - lw * ln(lw) - (hi - lw) - (1 / hi - 1 / lw) / 24"
+            " + 7 * (pow(hi, -3) - pow(lw, -3)) / 2880 - 31 * (pow(hi, -5) - pow(lw, -5)) / 40320"
         )
-        return out.drop("_args", "_a", "_b", "_lo", "c", "g1", "g2")
+        return f"""
+            SELECT * EXCEPT (c, lo, lw, hi, args, g1, g2, g0),
+                   {ev("g1 * d / d0")} AS f1,
+                   {ev("(c * g1 - d) / d0")} AS a1,
+                   {ev("g2 * d * d / (d0 * d0)")} AS f2,
+                   {ev("(c * g2 - g1) * d / (d0 * d0)")} AS a2,
+                   {ev("(c * c * g2 - 2 * c * g1 + d) / (d0 * d0)")} AS b2,
+                   {ev("g0 + d * ln(d0 / d)")} AS gl,
+                   {ev("dw / d")} AS wbar
+            FROM (SELECT *, {fold("1 / v")} + {g1} AS g1, {fold("1 / (v * v)")} + {g2} AS g2, {fold("ln(v)")} + {gl} AS g0
+                  FROM (SELECT *, c - lo + 0.5D AS lw, c + 0.5D AS hi,
+                               CASE WHEN d > 0 THEN transform(sequence(CAST(lo AS INT), CAST(d AS INT) - 1), l -> c - l)
+                                    ELSE array() END AS args
+                        FROM (SELECT *, CASE WHEN d > 0 THEN d * s0 / d0 ELSE 1D END AS c,
+                                     CASE WHEN d > {_DIRECT} THEN d - {_TAIL} ELSE 0D END AS lo FROM risk)))"""
 
     def info_expr(self, j: int, k: int) -> str:
         return (
@@ -199,13 +211,13 @@ class _Problem:
                 for j in p
             ],
         )
-        rows = null_safe_join(self._centred(), cum, [*self.s, BUCKET, "_t"])
-        rows = rows.withColumn("_r", F.expr(f"exp({linear(beta, self.x)})"))
-        for j in p:
-            rows = rows.withColumn(
-                f"u{j}",
-                F.expr(f"_e * (x{j} - m{j}) - _r * (x{j} * (h0 - _e * q0) - (h1_{j} - _e * q1_{j}))"),
-            )
+        rows = null_safe_join(self.spark.sql(self._rows(beta), patterns=self.patterns), cum, [*self.s, BUCKET, "_t"])
+        rows = rows.withColumns(
+            {
+                f"u{j}": F.expr(f"_e * (x{j} - m{j}) - hr * (x{j} * (h0 - _e * q0) - (h1_{j} - _e * q1_{j}))")
+                for j in p
+            }
+        )
         row = rows.agg(*[F.expr(f"sum(ww * u{j} * u{k})").alias(f"v{j}_{k}") for j, k in self.pairs]).first()
         return symmetric(row, "v", self.p)
 
@@ -306,11 +318,10 @@ def ph_test(
             pooled = (
                 problem.patterns.groupBy(BUCKET, "_t")
                 .agg(F.sum("n").alias("_n"), F.sum(F.expr("n * _e")).alias("_d"))
-                .withColumn("_all", F.lit(0))
             )
-            at_risk = running_sums(pooled, ["_all"], "_t", {"_y": "_n"}, descending=True)
+            at_risk = running_sums(pooled, [], "_t", {"_y": "_n"}, descending=True)
             log_step = "CASE WHEN _d > 0 AND _d < _y THEN log1p(-_d / _y) ELSE 0D END"
-            curve = running_sums(at_risk, ["_all"], "_t", {"_log": log_step}, inclusive=False)
+            curve = running_sums(at_risk, [], "_t", {"_log": log_step}, inclusive=False)
             risk = risk.filter("d > 0").join(curve.select("_t", F.expr("1 - exp(_log)").alias("g")), "_t")
         else:
             forms = {"identity": "_t", "log": "ln(_t)"}

@@ -17,6 +17,8 @@ BUCKET = "_bucket"
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key matches a null key; the left copy of the keys is kept."""
+    if not keys:
+        raise ValueError("at least one key is needed")
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = reduce(and_, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])

@@ -20,9 +20,8 @@ def kaplan_meier(
     of that much smaller table. The standard error is Greenwood's, limits are on the log scale. With
     weights all counts are sums of weights.
     """
-    keys = list(by) or ["_all"]
+    keys = list(by)
     data = df.dropna(subset=[time, event, *by, *([weight] if weight else [])])
-    data = data if by else data.withColumn("_all", F.lit(0))
     w = F.col(weight) if weight else F.lit(1)
     times = data.groupBy(*keys, F.col(time).cast("double").alias("time")).agg(
         F.sum(w).alias("_n"), F.sum(F.when(F.col(event) == 1, w).otherwise(w * 0)).alias("n_event")
@@ -105,12 +104,11 @@ def logrank(
         ]
     times = (
         df.dropna(subset=[time, event, by])
-        .withColumn("_all", F.lit(0))
-        .groupBy("_all", F.col(time).cast("double").alias("time"))
+        .groupBy(F.col(time).cast("double").alias("time"))
         .agg(*counts)
     )
     risk = running_sums(
-        value_buckets(times, "time"), ["_all"], "time", {f"r{i}": f"n{i}" for i in range(k)}, descending=True
+        value_buckets(times, "time"), [], "time", {f"r{i}": f"n{i}" for i in range(k)}, descending=True
     )
     d = "(" + "+".join(f"d{i}" for i in range(k)) + ")"
     r = "(" + "+".join(f"r{i}" for i in range(k)) + ")"
