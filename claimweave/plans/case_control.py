@@ -94,9 +94,6 @@ def disease_history(
     """Diseases on two outpatient days or one inpatient day before the index date."""
     out = outpatient.select("id", parse_date("func_date").alias("func_date"), *OPD_SLOTS)
     inp = inpatient.select("id", parse_date("in_date").alias("func_date"), *IPD_SLOTS)
-    if dedupe == "code":
-        blank = lambda df, slots: df.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in slots})
-        out, inp = blank(out, OPD_SLOTS), blank(inp, IPD_SLOTS)
     return history(
         [(out, "func_date", OPD_SLOTS, 1), (inp, "func_date", IPD_SLOTS, 2)],
         people, "id", index, labels, design.lookback_days, dedupe, design.min_weight, prefix,

@@ -11,6 +11,11 @@ def study_days(spark: SparkSession, start: str, end: str, name: str = "obs_date"
     return spark.range(1).select(F.explode(days).alias(name))
 
 
+def days_between(bounds: DataFrame, first: str, last: str, name: str = "obs_date") -> DataFrame:
+    """One row per day between two date columns of a bounds table."""
+    return bounds.select(F.explode(F.sequence(F.col(first), F.col(last), F.expr("interval 1 day"))).alias(name))
+
+
 def months_of(days: DataFrame, day: str = "obs_date") -> DataFrame:
     """First and last listed day of each calendar month."""
     month = F.substring(F.date_format(day, "yyyyMMdd"), 1, 6)
