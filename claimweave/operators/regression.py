@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.functions.tails import Z95
@@ -83,38 +81,52 @@ def logistic(
     max_iter: int = 50,
     tol: float = 1e-10,
 ) -> Fit:
-    """Logistic regression of a 0/1 outcome, fitted on distinct covariate patterns."""
-    names = [f"x{j + 1}" for j in range(len(xs))]
+    """Logistic regression of a 0/1 outcome, fitted on distinct covariate patterns.
+
+    Newton steps with step-halving over one aggregate query each. MLlib's GLM starts a weighted 0/1 row
+    at a fitted value near its outcome and diverges on patterns with large weights, so it is not used.
+    """
     patterns = _patterns(df, y, xs, weight).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        data = VectorAssembler(inputCols=names, outputCol="features").transform(patterns)
-        model = GeneralizedLinearRegression(
-            family="binomial", link="logit", labelCol="y", weightCol="w", maxIter=max_iter, tol=tol
-        ).fit(data.select("features", "y", "w"))
-        beta = np.concatenate([[model.intercept], model.coefficients.toArray()])
-        ((ll, _, info),) = _binomial_pass(patterns, beta[None, :])
+        size = patterns.agg(
+            F.sum("n").alias("n"), F.sum(F.expr("n * y")).alias("events"), F.sum("w").alias("w"),
+            F.sum(F.expr("w * y")).alias("wy"),
+        ).first()
+        if not size["w"] or not 0 < size["wy"] < size["w"]:
+            raise ValueError("the outcome does not take both values")
+        w, wy = float(size["w"]), float(size["wy"])
+        null_ll = wy * np.log(wy / w) + (w - wy) * np.log(1 - wy / w)
+        beta = np.zeros(len(xs) + 1)
+        beta[0] = np.log(wy / (w - wy))
+        ((ll, u, info),) = _binomial_pass(patterns, beta[None, :])
+        converged, iteration = False, 0
+        for iteration in range(1, max_iter + 1):
+            delta, scale = np.linalg.pinv(info) @ u, 1.0
+            ((new, new_u, new_info),) = _binomial_pass(patterns, (beta + delta)[None, :])
+            while new < ll - 1e-9 * (abs(ll) + 1) and scale > 1e-4:
+                scale /= 2
+                ((new, new_u, new_info),) = _binomial_pass(patterns, (beta + scale * delta)[None, :])
+            beta = beta + scale * delta
+            change, moved = abs(new - ll), float(np.max(np.abs(scale * delta)))
+            ll, u, info = new, new_u, new_info
+            if change <= tol * (abs(ll) + 1) and moved < 1e-7 * (1 + float(np.max(np.abs(beta)))):
+                converged = True
+                break
         var = np.linalg.pinv(info)
-        done = model.summary
-        size = patterns.agg(F.sum("n").alias("n"), F.sum(F.expr("n * y")).alias("e")).first()
         stats = {
             "n": float(size["n"]),
-            "events": float(size["e"]),
-            "null_deviance": float(done.nullDeviance),
-            "deviance": float(done.deviance),
-            "aic": float(-2 * ll + 2 * len(beta)),
+            "events": float(size["events"]),
+            "null_deviance": -2 * null_ll,
+            "deviance": -2 * ll,
+            "aic": -2 * ll + 2 * len(beta),
             "loglik": ll,
         }
+        # A coefficient that keeps growing while the likelihood is flat is separation.
+        separated = bool(np.max(np.sqrt(np.diag(var))) > 1e3)
         limits = _profile_limits(patterns, beta, ll, var) if profile else None
         return Fit(
-            df.sparkSession,
-            "logistic",
-            [INTERCEPT, *xs],
-            beta,
-            var,
-            stats=stats,
-            limits=limits,
-            converged=done.numIterations < max_iter and bool(np.max(np.abs(beta[1:]), initial=0) < 30),
-            iterations=int(done.numIterations),
+            df.sparkSession, "logistic", [INTERCEPT, *xs], beta, var, stats=stats, limits=limits,
+            converged=converged and not separated, iterations=iteration,
         )
     finally:
         patterns.unpersist()

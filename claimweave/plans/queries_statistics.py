@@ -1 +1,464 @@
 """Registered queries: tables, curves, tests and models."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from claimweave.functions.clean import flag
+from claimweave.operators import describe, matching, survival, weights
+from claimweave.operators.cox import conditional_logistic, cox, fit_overview, ph_test
+from claimweave.operators.fits import ratio_table
+from claimweave.operators.regression import logistic, poisson_gee
+from claimweave.plans import propensity_study
+from claimweave.plans.driver_tables import (
+    SQL_PF, SQL_SURVIVAL, panel_frame, query, rounded, survival_frame, table, union_all,
+)
+
+TIMES = (0, 400, 800, 1200, 1600, 2000, 2400)
+
+
+@query(
+    "table_one",
+    f"""WITH {SQL_SURVIVAL}, s AS (SELECT CAST(x AS VARCHAR) AS stratum, * FROM sf UNION ALL SELECT 'Overall', * FROM sf),
+    c AS (SELECT stratum, 'rich' AS variable, CAST(rich AS VARCHAR) AS level FROM s UNION ALL SELECT stratum, 'segment', segment FROM s),
+    k AS (SELECT variable, level, stratum, count(*) AS n FROM c WHERE level IS NOT NULL GROUP BY ALL),
+    p AS (SELECT *, n / sum(n) OVER (PARTITION BY variable, stratum) * 100 AS pct FROM k),
+    v AS (SELECT stratum, 'balance' AS variable, balance AS v FROM s UNION ALL SELECT stratum, 'ft', ft FROM s),
+    q AS (SELECT variable, stratum, avg(v) AS mean, stddev_samp(v) AS sd, median(v) AS median FROM v GROUP BY ALL)
+    SELECT 'categorical' AS section, variable, level, stratum, 'n' AS statistic, CAST(n AS DOUBLE) AS value FROM p
+    UNION ALL SELECT 'categorical', variable, level, stratum, 'pct', round(pct, 6) FROM p
+    UNION ALL SELECT 'continuous', variable, NULL, stratum, 'mean', round(mean, 6) FROM q
+    UNION ALL SELECT 'continuous', variable, NULL, stratum, 'sd', round(sd, 6) FROM q
+    UNION ALL SELECT 'continuous', variable, NULL, stratum, 'median', round(median, 6) FROM q""",
+)
+def table_one(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(describe.table_one(survival_frame(spark, sf), "x", ["rich", "segment"], ["balance", "ft"]))
+
+
+def _smd_sql(w: str) -> str:
+    part = lambda v, kind, var: f"""SELECT '{v}' AS variable, '{kind}' AS kind, count({v}) FILTER (treat = 0) AS n_0,
+        count({v}) FILTER (treat = 1) AS n_1, m0, m1, {var.format(g=0)} AS v0, {var.format(g=1)} AS v1 FROM sf, (
+        SELECT sum({w} * {v}) FILTER (treat = 0) / sum({w}) FILTER (treat = 0) AS m0,
+               sum({w} * {v}) FILTER (treat = 1) / sum({w}) FILTER (treat = 1) AS m1 FROM sf) GROUP BY m0, m1"""
+    cont = (
+        "sum({w} * pow({v} - m{{g}}, 2)) FILTER (treat = {{g}}) / sum({w}) FILTER (treat = {{g}})"
+        " * count(*) FILTER (treat = {{g}}) / (count(*) FILTER (treat = {{g}}) - 1)"
+    )
+    rows = " UNION ALL ".join(
+        [part(v, "continuous", cont.format(w=w, v=v)) for v in ("balance", "ft")]
+        + [part(v, "binary", "m{g} * (1 - m{g})") for v in ("x", "rich")]
+    )
+    return f"""WITH {SQL_SURVIVAL}, r AS ({rows}) SELECT variable, kind, n_0, n_1, round(m0, 6) AS mean_0, round(m1, 6) AS mean_1,
+        round(sqrt(v0), 6) AS sd_0, round(sqrt(v1), 6) AS sd_1, round(abs(m1 - m0) / sqrt((v0 + v1) / 2), 6) AS smd FROM r"""
+
+
+@query("smd", _smd_sql("1.0::DOUBLE"))
+def smd(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(describe.baseline_smd(survival_frame(spark, sf), "treat", ["balance", "ft"], ["x", "rich"]))
+
+
+@query("weighted_smd", _smd_sql("w"))
+def weighted_smd(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(describe.baseline_smd(survival_frame(spark, sf), "treat", ["balance", "ft"], ["x", "rich"], "w"))
+
+
+@query(
+    "incidence",
+    f"""WITH {SQL_SURVIVAL} SELECT segment, count(*) AS tot_n, CAST(sum(ot) AS BIGINT) AS tot_event, sum(ft) AS tot_time,
+    min(ft) AS min_time, max(ft) AS max_time, round(sum(ot) / sum(ft) * 100000, 6) AS rate FROM sf GROUP BY 1""",
+)
+def incidence(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(describe.incidence(survival_frame(spark, sf), "ft", "ot", ["segment"], 100000))
+
+
+@query(
+    "weighted_incidence",
+    f"""WITH {SQL_SURVIVAL} SELECT treat, round(sum(w), 6) AS tot_n, round(sum(w * ot), 6) AS tot_event, round(sum(w * ft), 6) AS tot_time,
+    min(ft) AS min_time, max(ft) AS max_time, round(sum(w * ot) / sum(w * ft) * 100, 6) AS rate FROM sf GROUP BY 1""",
+)
+def weighted_incidence(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(describe.incidence(survival_frame(spark, sf), "ft", "ot", ["treat"], 100, "w"))
+
+
+def _km_sql(by: str, w: str, count: str) -> str:
+    return f"""{SQL_SURVIVAL}, tt AS (SELECT {by}, ft AS time, sum({w}) AS n, sum({w} * ot) AS d FROM sf GROUP BY 1, 2),
+      rk AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY time DESC) AS r FROM tt),
+      st AS (SELECT *, d > 0 AND r - d <= 1e-12 * r AS fin FROM rk),
+      km AS (SELECT {by}, time, r AS n_risk, d AS n_event, n - d AS n_censor,
+        exp(sum(CASE WHEN fin THEN 0 ELSE ln(1 - d / r) END) OVER ww) AS s, max(CAST(fin AS INT)) OVER ww AS z,
+        sum(CASE WHEN fin THEN 0 ELSE d / (r * (r - d)) END) OVER ww AS gw
+        FROM (SELECT {by}, time, CAST(n AS DOUBLE) AS n, CAST(d AS DOUBLE) AS d, CAST(r AS DOUBLE) AS r, fin FROM st)
+        WINDOW ww AS (PARTITION BY {by} ORDER BY time)),
+      curve AS (SELECT {by}, time, CAST(n_risk AS {count}) AS n_risk, CAST(n_event AS {count}) AS n_event,
+        CAST(n_censor AS {count}) AS n_censor, CASE WHEN z = 1 THEN 0 ELSE s END AS surv,
+        CASE WHEN z = 0 THEN s * sqrt(gw) END AS std_err, CASE WHEN z = 0 THEN exp(ln(s) - 1.959963984540054 * sqrt(gw)) END AS lower,
+        CASE WHEN z = 0 THEN least(exp(ln(s) + 1.959963984540054 * sqrt(gw)), 1) END AS upper FROM km)"""
+
+
+def _curve(by: str, kind: str) -> str:
+    counts = "n_risk, n_event, n_censor" if kind == "BIGINT" else ", ".join(
+        f"round({c}, 6) AS {c}" for c in ("n_risk", "n_event", "n_censor")
+    )
+    return f"""SELECT {by}, time, {counts}, round(surv, 6) AS surv, round(std_err, 6) AS std_err, round(lower, 6) AS lower,
+        round(upper, 6) AS upper FROM curve"""
+
+
+@query("km", f"WITH {_km_sql('segment', '1', 'BIGINT')} {_curve('segment', 'BIGINT')}")
+def km(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(survival.kaplan_meier(survival_frame(spark, sf), "ft", "ot", ["segment"]))
+
+
+@query("km_weighted", f"WITH {_km_sql('treat', 'w', 'DOUBLE')} {_curve('treat', 'DOUBLE')}")
+def km_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(survival.kaplan_meier(survival_frame(spark, sf), "ft", "ot", ["treat"], "w"))
+
+
+def _life_sql(extend: bool) -> str:
+    times = ", ".join(f"({t}::DOUBLE)" for t in TIMES)
+    return f"""WITH {SQL_SURVIVAL}, grid(time) AS (VALUES {times}), g AS (SELECT segment, max(ft) AS last FROM sf GROUP BY 1),
+      {_km_sql('segment', '1', 'BIGINT').split(SQL_SURVIVAL + ', ')[1]}
+      SELECT g.segment, grid.time, (SELECT count(*) FROM sf WHERE sf.segment = g.segment AND ft >= grid.time) AS n_risk,
+      (SELECT CAST(coalesce(sum(ot), 0) AS BIGINT) FROM sf WHERE sf.segment = g.segment AND ft <= grid.time) AS cum_event,
+      round(coalesce((SELECT min(surv) FROM curve c WHERE c.segment = g.segment AND c.time <= grid.time), 1), 6) AS surv
+      FROM g, grid {'' if extend else 'WHERE grid.time <= g.last'}"""
+
+
+@query("life_table", _life_sql(False))
+def life_table(spark: SparkSession, sf: str) -> DataFrame:
+    curve = survival.kaplan_meier(survival_frame(spark, sf), "ft", "ot", ["segment"])
+    return rounded(survival.life_table(curve, TIMES, ["segment"]))
+
+
+@query("risk_table", _life_sql(True))
+def risk_table(spark: SparkSession, sf: str) -> DataFrame:
+    curve = survival.kaplan_meier(survival_frame(spark, sf), "ft", "ot", ["segment"])
+    return rounded(survival.life_table(curve, TIMES, ["segment"], extend=True))
+
+
+def _logrank_sql(by: str) -> str:
+    return f"""WITH {SQL_SURVIVAL}, g AS (SELECT {by} AS g, count(*) AS n, sum(ot) AS o FROM sf GROUP BY 1),
+      t AS (SELECT ft, CAST(sum(ot) AS DOUBLE) AS d FROM sf GROUP BY 1 HAVING sum(ot) > 0),
+      r AS (SELECT t.ft, t.d, g.g, CAST(count(*) FILTER ({by} = g.g) AS DOUBLE) AS ng, CAST(count(*) AS DOUBLE) AS nn
+            FROM t JOIN sf ON sf.ft >= t.ft, g GROUP BY 1, 2, 3),
+      e AS (SELECT g, sum(d * ng / nn) AS e, sum(CASE WHEN nn > 1 THEN d * (nn - d) / (nn - 1) ELSE 0 END * ng / nn * (1 - ng / nn)) AS v
+            FROM r GROUP BY 1)
+      SELECT CAST(g AS VARCHAR) AS level, n, CAST(o AS BIGINT) AS observed, round(e, 6) AS expected, round(v, 6) AS variance"""
+
+
+@query("logrank", _logrank_sql("treat") + ", round(pow(o - e, 2) / v, 6) AS chisq, 1 AS df FROM g JOIN e USING (g)")
+def logrank(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(survival.logrank(survival_frame(spark, sf), "ft", "ot", "treat", [0, 1]).drop("p_value"))
+
+
+@query("logrank_groups", _logrank_sql("segment") + " FROM g JOIN e USING (g)")
+def logrank_groups(spark: SparkSession, sf: str) -> DataFrame:
+    out = survival.logrank(survival_frame(spark, sf), "ft", "ot", "segment")
+    return rounded(out.drop("chisq", "df", "p_value"))
+
+
+def _coefficients(fit, se: str = "auto") -> DataFrame:
+    return rounded(fit.tidy(se).select("term", "estimate", "std_err"))
+
+
+@query(
+    "logit_binary",
+    f"""WITH {SQL_SURVIVAL}, k AS (SELECT count(*) FILTER (x = 1 AND ot = 1)::DOUBLE AS a, count(*) FILTER (x = 1 AND ot = 0)::DOUBLE AS b,
+      count(*) FILTER (x = 0 AND ot = 1)::DOUBLE AS c, count(*) FILTER (x = 0 AND ot = 0)::DOUBLE AS d FROM sf)
+    SELECT '(Intercept)' AS term, round(ln(c / d), 6) AS estimate, round(sqrt(1 / c + 1 / d), 6) AS std_err FROM k UNION ALL
+    SELECT 'x', round(ln(a * d / (b * c)), 6), round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 6) FROM k""",
+)
+def logit_binary(spark: SparkSession, sf: str) -> DataFrame:
+    return _coefficients(logistic(survival_frame(spark, sf), "ot", ["x"]))
+
+
+@query(
+    "odds_ratio_table",
+    f"""WITH {SQL_SURVIVAL}, k AS (SELECT count(*) FILTER (rich = 1 AND ot = 1)::DOUBLE AS a, count(*) FILTER (rich = 1 AND ot = 0)::DOUBLE AS b,
+      count(*) FILTER (rich = 0 AND ot = 1)::DOUBLE AS c, count(*) FILTER (rich = 0 AND ot = 0)::DOUBLE AS d FROM sf),
+    e AS (SELECT '(Intercept)' AS term, ln(c / d) AS b, sqrt(1 / c + 1 / d) AS s FROM k UNION ALL
+      SELECT 'rich', ln(a * d / (b * c)), sqrt(1 / a + 1 / b + 1 / c + 1 / d) FROM k)
+    SELECT term, round(exp(b), 6) AS ratio, round(exp(b - 1.959963984540054 * s), 6) AS lower,
+    round(exp(b + 1.959963984540054 * s), 6) AS upper FROM e""",
+)
+def odds_ratio_table(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ratio_table(logistic(survival_frame(spark, sf), "ot", ["rich"])).drop("p_value"))
+
+
+SQL_LOGIT = f"""WITH RECURSIVE {SQL_SURVIVAL}, c AS (SELECT x, rich, count(*)::DOUBLE AS n, sum(ot)::DOUBLE AS s FROM sf GROUP BY 1, 2),
+    it AS (SELECT 0 AS k, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS g, 0::DOUBLE AS va, 0::DOUBLE AS vb, 0::DOUBLE AS vg UNION ALL
+      SELECT k + 1, a + ((p * r - q * q) * u0 + (m * q - l * r) * u1 + (l * q - m * p) * u2) / det,
+        b + ((m * q - l * r) * u0 + (h * r - m * m) * u1 + (l * m - h * q) * u2) / det,
+        g + ((l * q - m * p) * u0 + (l * m - h * q) * u1 + (h * p - l * l) * u2) / det,
+        (p * r - q * q) / det, (h * r - m * m) / det, (h * p - l * l) / det
+      FROM (SELECT *, h * (p * r - q * q) - l * (l * r - m * q) + m * (l * q - m * p) AS det FROM (
+        SELECT k, a, b, g, sum(s - n * mu) AS u0, sum((s - n * mu) * x) AS u1, sum((s - n * mu) * rich) AS u2, sum(v) AS h,
+          sum(v * x) AS l, sum(v * rich) AS m, sum(v * x) AS p, sum(v * x * rich) AS q, sum(v * rich) AS r
+        FROM (SELECT *, n * mu * (1 - mu) AS v FROM (SELECT *, 1 / (1 + exp(-(a + b * x + g * rich))) AS mu FROM it, c WHERE k < 15))
+        GROUP BY k, a, b, g)))
+    SELECT '(Intercept)' AS term, round(a, 6) AS estimate, round(sqrt(va), 6) AS std_err FROM it WHERE k = 15 UNION ALL
+    SELECT 'x', round(b, 6), round(sqrt(vb), 6) FROM it WHERE k = 15 UNION ALL
+    SELECT 'rich', round(g, 6), round(sqrt(vg), 6) FROM it WHERE k = 15"""
+
+
+@query("logit_multi", SQL_LOGIT)
+def logit_multi(spark: SparkSession, sf: str) -> DataFrame:
+    return _coefficients(logistic(survival_frame(spark, sf), "ot", ["x", "rich"]))
+
+
+@query("logit_profile_limits")
+def logit_profile_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Odds ratios with profile-likelihood limits."""
+    return ratio_table(logistic(survival_frame(spark, sf), "ot", ["x", "rich"], profile=True), ci="profile")
+
+
+SQL_PAIRS = f"""{SQL_SURVIVAL}, r AS (SELECT *, row_number() OVER (PARTITION BY rich, treat, ot ORDER BY md5(id || ':11'), id) AS q,
+      count(*) FILTER (ot = 1) OVER (PARTITION BY rich, treat) AS n1, count(*) FILTER (ot = 0) OVER (PARTITION BY rich, treat) AS n0 FROM sf),
+    pr AS (SELECT a.x AS x1, b.x AS x0 FROM r a JOIN r b ON a.rich = b.rich AND a.treat = b.treat AND a.q = b.q
+      WHERE a.ot = 1 AND b.ot = 0 AND a.q <= least(a.n1, a.n0))"""
+
+
+@query(
+    "clogit_pairs",
+    f"""WITH {SQL_PAIRS}, k AS (SELECT count(*) FILTER (x1 = 1 AND x0 = 0)::DOUBLE AS f, count(*) FILTER (x1 = 0 AND x0 = 1)::DOUBLE AS g FROM pr)
+    SELECT 'x' AS term, round(ln(f / g), 6) AS estimate, round(sqrt(1 / f + 1 / g), 6) AS std_err FROM k""",
+)
+def clogit_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Conditional logistic regression on 1:1 matched pairs."""
+    frame = survival_frame(spark, sf).select("id", "ot", "rich", "treat", "x")
+    pairs = matching.frequency_match(frame, "ot", ["rich", "treat"], 1, 11, "id")
+    return _coefficients(conditional_logistic(pairs, "ot", ["x"], "gg"))
+
+
+def _cox_terms(strata: str = "", w: str = "1.0::DOUBLE") -> str:
+    """Per event time: weighted risk-set and event sums of a 0/1 covariate, one row per tied event."""
+    s, join = (f"{strata}, ", f"AND sf.{strata} = e.{strata}") if strata else ("", "")
+    es = f"e.{strata}, " if strata else ""
+    return f"""{SQL_SURVIVAL}, e AS (SELECT {s}ft, count(*)::DOUBLE AS d, sum({w}) AS dw, sum({w} * x) AS dx FROM sf WHERE ot = 1 GROUP BY ALL),
+      k AS (SELECT {es}e.ft, d, dw, dx, sum({w} * (1 - x)) AS n0, sum({w} * x) AS n1 FROM e JOIN sf ON sf.ft >= e.ft {join} GROUP BY ALL),
+      l AS (SELECT *, dw / d AS wb, i / d AS a FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) AS i FROM k)),
+      it AS (SELECT 0 AS k, 0::DOUBLE AS b, 0::DOUBLE AS info UNION ALL
+        SELECT k + 1, b + sum(dx / d - wb * p) / sum(wb * (p - p * p)), sum(wb * (p - p * p)) FROM (
+          SELECT *, (n1 - a * dx) * exp(b) / (n0 - a * (dw - dx) + (n1 - a * dx) * exp(b)) AS p FROM (SELECT it.k, b, info, d, dx, dw, wb, a, n0, n1 FROM it, l WHERE it.k < 15))
+        GROUP BY k, b)"""
+
+
+SQL_COX_OUT = "SELECT 'x' AS term, round(b, 6) AS estimate, round(1 / sqrt(info), 6) AS std_err FROM it WHERE k = 15"
+
+
+@query("cox_uni", f"WITH RECURSIVE {_cox_terms()} {SQL_COX_OUT}")
+def cox_uni(spark: SparkSession, sf: str) -> DataFrame:
+    return _coefficients(cox(survival_frame(spark, sf), "ft", "ot", ["x"]))
+
+
+@query("cox_strata", f"WITH RECURSIVE {_cox_terms('nation')} {SQL_COX_OUT}")
+def cox_strata(spark: SparkSession, sf: str) -> DataFrame:
+    return _coefficients(cox(survival_frame(spark, sf), "ft", "ot", ["x"], strata=["nation"]))
+
+
+@query(
+    "cox_weighted",
+    f"""WITH RECURSIVE {_cox_terms(w="w")}, fin AS (SELECT b, info FROM it WHERE k = 15),
+      f AS (SELECT l.ft, wb, a, d, 1 / (n0 - a * (dw - dx) + (n1 - a * dx) * exp(b)) AS f,
+        (n1 - a * dx) * exp(b) / (n0 - a * (dw - dx) + (n1 - a * dx) * exp(b)) AS p FROM l, fin),
+      hz AS (SELECT ft, sum(wb * f) AS h0, sum(wb * p * f) AS h1, sum(a * wb * f) AS q0, sum(a * wb * p * f) AS q1, avg(p) AS m FROM f GROUP BY 1),
+      c AS (SELECT sf.id, sum(h0) AS h0, sum(h1) AS h1 FROM sf JOIN hz ON hz.ft <= sf.ft GROUP BY 1),
+      u AS (SELECT sf.w, ot * (x - coalesce(m, 0)) - exp(b * x) * (x * (coalesce(c.h0, 0) - ot * coalesce(q0, 0))
+        - (coalesce(c.h1, 0) - ot * coalesce(q1, 0))) AS u FROM sf LEFT JOIN c USING (id) LEFT JOIN hz USING (ft), fin)
+    SELECT 'x' AS term, round(b, 6) AS estimate, round(1 / sqrt(info), 6) AS std_err,
+      round((SELECT sqrt(sum(w * w * u * u)) FROM u) / info, 6) AS robust_se FROM fin""",
+)
+def cox_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted Cox regression with model-based and sandwich standard errors."""
+    fit = cox(survival_frame(spark, sf), "ft", "ot", ["x"], weight="w")
+    robust = fit.tidy("robust").select("term", F.col("std_err").alias("robust_se"))
+    return rounded(_coefficients(fit, "model").join(robust, "term"))
+
+
+@query(
+    "cox_multi",
+    f"""WITH RECURSIVE {SQL_SURVIVAL}, e AS (SELECT ft, count(*)::DOUBLE AS d, sum(x) AS ex, sum(rich) AS er FROM sf WHERE ot = 1 GROUP BY 1),
+      c AS (SELECT e.ft, e.d, e.ex, e.er, sf.x, sf.rich, count(*)::DOUBLE AS n, count(*) FILTER (sf.ft = e.ft AND ot = 1)::DOUBLE AS v
+        FROM e JOIN sf ON sf.ft >= e.ft GROUP BY ALL),
+      l AS (SELECT ft, d, ex / d AS ex, er / d AS er, i, x, rich, n - i / d * v AS m FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) AS i FROM c)),
+      it AS (SELECT 0 AS k, 0::DOUBLE AS b, 0::DOUBLE AS g, 0::DOUBLE AS vb, 0::DOUBLE AS vg UNION ALL
+        SELECT k + 1, b + (irr * ux - ixr * ur) / det, g + (ixx * ur - ixr * ux) / det, irr / det, ixx / det FROM (
+          SELECT *, ixx * irr - ixr * ixr AS det FROM (
+            SELECT k, b, g, sum(ex - sx / s) AS ux, sum(er - sr / s) AS ur, sum(sx / s - sx * sx / (s * s)) AS ixx,
+              sum(sr / s - sr * sr / (s * s)) AS irr, sum(sxr / s - sx * sr / (s * s)) AS ixr FROM (
+              SELECT k, b, g, ft, i, ex, er, sum(z) AS s, sum(z * x) AS sx, sum(z * rich) AS sr, sum(z * x * rich) AS sxr FROM (
+                SELECT *, m * exp(b * x + g * rich) AS z FROM it, l WHERE k < 12) GROUP BY ALL) GROUP BY k, b, g)))
+    SELECT 'x' AS term, round(b, 6) AS estimate, round(sqrt(vb), 6) AS std_err FROM it WHERE k = 12 UNION ALL
+    SELECT 'rich', round(g, 6), round(sqrt(vg), 6) FROM it WHERE k = 12""",
+)
+def cox_multi(spark: SparkSession, sf: str) -> DataFrame:
+    return _coefficients(cox(survival_frame(spark, sf), "ft", "ot", ["x", "rich"]))
+
+
+@query("cox_zph")
+def cox_zph(spark: SparkSession, sf: str) -> DataFrame:
+    """Proportional-hazards test of a two-term model."""
+    frame = survival_frame(spark, sf)
+    fit = cox(frame, "ft", "ot", ["x", "rich"])
+    return ph_test(frame, fit, "ft", "ot")
+
+
+@query(
+    "fit_summary",
+    f"""WITH RECURSIVE {_cox_terms()}, f AS (SELECT b FROM it WHERE k = 15),
+      ll AS (SELECT sum(dx / d * b - ln(n0 - a * (d - dx) + (n1 - a * dx) * exp(b))) AS ll,
+        sum(-ln(n0 - a * (d - dx) + n1 - a * dx)) AS ll0, sum(dx / d - (n1 - a * dx) / (n0 + n1 - i)) AS u,
+        sum((n1 - a * dx) / (n0 + n1 - i) * (1 - (n1 - a * dx) / (n0 + n1 - i))) AS i0 FROM l, f),
+      tot AS (SELECT count(*) AS n, sum(ot) AS e, (SELECT info FROM it WHERE k = 15) AS info FROM sf)
+    SELECT 'cox' AS model, 'n' AS statistic, CAST(n AS DOUBLE) AS value FROM tot UNION ALL SELECT 'cox', 'events', CAST(e AS DOUBLE) FROM tot
+    UNION ALL SELECT 'cox', 'loglik', round(ll, 5) FROM ll UNION ALL SELECT 'cox', 'loglik_null', round(ll0, 5) FROM ll
+    UNION ALL SELECT 'cox', 'lr_chisq', round(2 * (ll - ll0), 5) FROM ll UNION ALL SELECT 'cox', 'wald_chisq', round(b * b * info, 5) FROM f, tot
+    UNION ALL SELECT 'cox', 'score_chisq', round(u * u / i0, 5) FROM ll
+    UNION ALL SELECT 'logistic', statistic, value FROM (
+      SELECT unnest(['n', 'events', 'null_deviance', 'deviance', 'aic', 'loglik']) AS statistic,
+        unnest([n, e, round(-2 * l0, 5), round(-2 * l1, 5), round(-2 * l1 + 4, 5), round(l1, 5)]) AS value FROM (
+        SELECT sum(n) AS n, sum(s) AS e, sum(s * ln(s / n) + (n - s) * ln(1 - s / n)) AS l1,
+          sum(s) * ln(sum(s) / sum(n)) + (sum(n) - sum(s)) * ln(1 - sum(s) / sum(n)) AS l0
+        FROM (SELECT x, count(*)::DOUBLE AS n, sum(ot)::DOUBLE AS s FROM sf GROUP BY 1)))""",
+)
+def fit_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Deviances, likelihoods and global tests of a logistic and a Cox model."""
+    frame = survival_frame(spark, sf)
+    both = fit_overview({"cox": cox(frame, "ft", "ot", ["x"]), "logistic": logistic(frame, "ot", ["x"])})
+    shown = ["n", "events", "loglik", "loglik_null", "lr_chisq", "wald_chisq", "score_chisq", "null_deviance", "deviance", "aic"]
+    return rounded(both.filter(F.col("statistic").isin(shown)), 5)
+
+
+SQL_PS = f"""{SQL_SURVIVAL}, p AS (SELECT *, avg(treat) OVER (PARTITION BY x, rich) AS ps, avg(treat) OVER () AS ep FROM sf),
+    iw AS (SELECT *, treat * ep / ps + (1 - treat) * (1 - ep) / (1 - ps) AS iptw FROM p)"""
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Propensity score from a saturated model of two binary covariates."""
+    frame = survival_frame(spark, sf).withColumn("xr", F.col("x") * F.col("rich"))
+    return weights.propensity(frame, "treat", ["x", "rich", "xr"])[0]
+
+
+@query("ps_saturated", f"WITH {SQL_PS} SELECT id, round(ps, 6) AS ps FROM p")
+def ps_saturated(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scored(spark, sf).select("id", "ps"))
+
+
+@query("iptw", f"WITH {SQL_PS} SELECT id, round(iptw, 6) AS iptw FROM iw")
+def iptw(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(weights.iptw(scored(spark, sf), "treat", "ps").select("id", "iptw"))
+
+
+@query(
+    "ps_histogram",
+    f"""WITH {SQL_PS} SELECT treat, bin, count(*) AS n, round((bin - 1) * 0.05::DOUBLE, 9) AS bin_lo, round(bin * 0.05::DOUBLE, 9) AS bin_hi
+    FROM (SELECT treat, CAST(greatest(ceil(round(ps / 0.05, 9)), 1) AS INT) AS bin FROM p) GROUP BY 1, 2""",
+)
+def ps_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return describe.histogram(scored(spark, sf), "ps", ["treat"])
+
+
+@query(
+    "weighted_smd_iptw",
+    f"""WITH {SQL_PS}, m AS (SELECT treat, sum(iptw * x) / sum(iptw) AS x, sum(iptw * rich) / sum(iptw) AS rich, count(*) AS n FROM iw GROUP BY 1),
+    r AS (SELECT 'x' AS variable, a.n AS n_0, b.n AS n_1, a.x AS m0, b.x AS m1 FROM m a, m b WHERE a.treat = 0 AND b.treat = 1 UNION ALL
+      SELECT 'rich', a.n, b.n, a.rich, b.rich FROM m a, m b WHERE a.treat = 0 AND b.treat = 1)
+    SELECT variable, 'binary' AS kind, n_0, n_1, round(m0, 6) AS mean_0, round(m1, 6) AS mean_1 FROM r""",
+)
+def weighted_smd_iptw(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted means agree between the groups when the propensity model is saturated."""
+    weighted = weights.iptw(scored(spark, sf), "treat", "ps")
+    out = describe.baseline_smd(weighted, "treat", [], ["x", "rich"], "iptw")
+    return rounded(out.drop("sd_0", "sd_1", "smd"))
+
+
+def propensity_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Continuous and binary covariates for matching."""
+    return survival_frame(spark, sf).withColumns(
+        {"age": F.round(F.col("balance") / 100), "high": flag(F.col("amount") > 250000)}
+    )
+
+
+@query("psm_pairs")
+def psm_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest-neighbour pairs within 0.2 standard deviations of the score."""
+    df = weights.propensity(propensity_input(spark, sf), "treat", ["x", "high", "age"])[0]
+    return matching.ps_match(df, "id", "treat", "ps")
+
+
+@query(
+    "rate_ratio_gee_independence",
+    f"""WITH {SQL_PF}, k AS (SELECT sum(ot) FILTER (exposed = 1) / count(*) FILTER (exposed = 1) AS m1, sum(ot) FILTER (exposed = 0) / count(*) FILTER (exposed = 0) AS m0,
+      sum(ot) FILTER (exposed = 1) AS y1, sum(ot) FILTER (exposed = 0) AS y0 FROM pf),
+    u AS (SELECT id, sum(CASE WHEN exposed = 1 THEN ot - m1 ELSE 0 END) / any_value(y1) AS e1,
+      sum(CASE WHEN exposed = 0 THEN ot - m0 ELSE 0 END) / any_value(y0) AS e0 FROM pf, k GROUP BY 1)
+    SELECT '(Intercept)' AS term, round(ln(m0), 6) AS estimate, round((SELECT sqrt(sum(e0 * e0)) FROM u), 6) AS std_err FROM k UNION ALL
+    SELECT 'exposed', round(ln(m1 / m0), 6), round((SELECT sqrt(sum(pow(e1 - e0, 2))) FROM u), 6) FROM k""",
+)
+def rate_ratio_gee_independence(spark: SparkSession, sf: str) -> DataFrame:
+    return _coefficients(poisson_gee(panel_frame(spark, sf), "ot", ["exposed"], "id", corr="independence"))
+
+
+@query(
+    "gee_exchangeable",
+    f"""WITH RECURSIVE {SQL_PF}, it AS (SELECT 0 AS k, ln(avg(ot)) AS a, 0::DOUBLE AS b, 0::DOUBLE AS rho, 0::DOUBLE AS va, 0::DOUBLE AS vb FROM pf UNION ALL
+      SELECT k + 1, a + (b11 * u0 - b01 * u1) / det, b + (b00 * u1 - b01 * u0) / det, crs / (ee / (nn - 2) * (prs - 2)),
+        (b11 * b11 * m00 - 2 * b11 * b01 * m01 + b01 * b01 * m11) / (det * det), (b01 * b01 * m00 - 2 * b01 * b00 * m01 + b00 * b00 * m11) / (det * det)
+      FROM (SELECT *, b00 * b11 - b01 * b01 AS det FROM (
+        SELECT k, a, b, rho, sum(n) AS nn, sum(n * (n - 1) / 2) AS prs, sum(ee) AS ee, sum((e * e - ee) / 2) AS crs, sum(u0) AS u0, sum(u1) AS u1,
+          sum((zz00 - c * z0 * z0) / (1 - rho)) AS b00, sum((zz01 - c * z0 * z1) / (1 - rho)) AS b01, sum((zz11 - c * z1 * z1) / (1 - rho)) AS b11,
+          sum(u0 * u0) AS m00, sum(u0 * u1) AS m01, sum(u1 * u1) AS m11
+        FROM (SELECT *, (ze0 - c * z0 * e) / (1 - rho) AS u0, (ze1 - c * z1 * e) / (1 - rho) AS u1 FROM (
+          SELECT *, rho / (1 + (n - 1) * rho) AS c FROM (
+            SELECT k, a, b, rho, id, count(*)::DOUBLE AS n, sum(sqrt(mu)) AS z0, sum(exposed * sqrt(mu)) AS z1, sum((ot - mu) / sqrt(mu)) AS e,
+              sum(pow(ot - mu, 2) / mu) AS ee, sum(mu) AS zz00, sum(exposed * mu) AS zz01, sum(exposed * mu) AS zz11,
+              sum(ot - mu) AS ze0, sum(exposed * (ot - mu)) AS ze1
+            FROM (SELECT it.*, pf.id, pf.ot, pf.exposed, exp(a + b * exposed) AS mu FROM it, pf WHERE k < 25) GROUP BY k, a, b, rho, id)))
+        GROUP BY k, a, b, rho)))
+    SELECT '(Intercept)' AS term, round(a, 6) AS estimate, round(sqrt(va), 6) AS std_err, round(rho, 6) AS alpha FROM it WHERE k = 25 UNION ALL
+    SELECT 'exposed', round(b, 6), round(sqrt(vb), 6), round(rho, 6) FROM it WHERE k = 25""",
+)
+def gee_exchangeable(spark: SparkSession, sf: str) -> DataFrame:
+    """Poisson rates with exchangeable correlation inside persons."""
+    fit = poisson_gee(panel_frame(spark, sf), "ot", ["exposed"], "id")
+    return rounded(_coefficients(fit).withColumn("alpha", F.lit(float(fit.stats["alpha"]))))
+
+
+@query("rate_ratio_table")
+def rate_ratio_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Rate ratios with 1.96-limits from the robust standard error, rounded to two digits."""
+    fit = poisson_gee(panel_frame(spark, sf), "ot", ["exposed", "rich"], "id")
+    return ratio_table(fit, "robust", 1.96, (2, 2, 4))
+
+
+@query("design_comparison")
+def design_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Incidence rates and hazard ratios of the crude, matched and weighted designs."""
+    frame = propensity_input(spark, sf)
+    sets, _ = propensity_study.designs(frame, "id", "treat", ["x", "high", "age"])
+    sets = {n: d.persist() for n, d in sets.items()}
+    w = {"crude": None, "matched": None, "weighted": "iptw"}
+    fits = {
+        "crude": cox(sets["crude"], "ft", "ot", ["treat", "x", "high", "age"]),
+        "matched": cox(sets["matched"], "ft", "ot", ["treat"], strata=["pair_id"]),
+        "weighted": cox(sets["weighted"], "ft", "ot", ["treat"], weight="iptw"),
+    }
+    hazards = describe.compare_designs({n: ratio_table(f).filter("term = 'treat'") for n, f in fits.items()})
+    rates = describe.compare_designs(
+        {n: describe.incidence(d, "ft", "ot", ["treat"], 100, w[n]) for n, d in sets.items()}
+    )
+    return union_all(
+        hazards.select("design", F.lit("hazard ratio").alias("measure"), "term", F.col("ratio").alias("value")),
+        rates.select("design", F.lit("rate").alias("measure"), F.col("treat").cast("string").alias("term"), F.col("rate").alias("value")),
+    )
+
+
+@query(
+    "labels_odds",
+    """SELECT round(ln(a * d / (b * c)), 6) AS estimate FROM (SELECT count(*) FILTER (toxic = 1 AND quality = 1)::DOUBLE AS a,
+    count(*) FILTER (toxic = 1 AND quality = 0)::DOUBLE AS b, count(*) FILTER (toxic = 0 AND quality = 1)::DOUBLE AS c,
+    count(*) FILTER (toxic = 0 AND quality = 0)::DOUBLE AS d FROM labels)""",
+)
+def labels_odds(spark: SparkSession, sf: str) -> DataFrame:
+    """Log odds ratio of two given 0/1 labels."""
+    fit = logistic(table(spark, sf, "labels", "quality", "toxic"), "quality", ["toxic"])
+    return rounded(fit.tidy().filter("term = 'toxic'").select("estimate"))
