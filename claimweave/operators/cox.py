@@ -55,15 +55,21 @@ class _Problem:
         patterns = rows.groupBy(*self.s, "_t", "_e", *self.x).agg(
             F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_w")).alias("ww")
         )
-        # Up to _WHOLE distinct times per stratum, one task runs a stratum's window; beyond, times are cut
-        # into buckets. The count is exact, so what a task holds is bounded either way.
-        whole = patterns.withColumn(BUCKET, F.lit(0)).repartition(*self.s, "_t").persist(StorageLevel.MEMORY_AND_DISK)
-        times = whole.select(*self.s, "_t").distinct()
-        longest = times.groupBy(*self.s).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
-        self.cut, self.patterns = longest > _WHOLE, whole
+        # How patterns are laid out for the Newton steps follows from exact counts, so that what one task
+        # holds is bounded: small strata stay whole, a long one is spread over its times, and beyond
+        # _WHOLE distinct times the times themselves are cut into buckets.
+        base = patterns.withColumn(BUCKET, F.lit(0)).persist(StorageLevel.MEMORY_AND_DISK)
+        per_time = base.groupBy(*self.s, "_t").agg(F.count(F.lit(1)).alias("k"))
+        per_stratum = per_time.groupBy(*self.s).agg(F.count(F.lit(1)).alias("times"), F.sum("k").alias("rows"))
+        most = per_stratum.agg(F.max("times").alias("times"), F.max("rows").alias("rows")).first()
+        self.cut = (most["times"] or 0) > _WHOLE
         if self.cut:
-            self.patterns = value_buckets(whole.drop(BUCKET), "_t").repartition(*self.s, BUCKET)
-            self.patterns = self.patterns.persist(StorageLevel.MEMORY_AND_DISK)
+            laid = value_buckets(base.drop(BUCKET), "_t").repartition(*self.s, BUCKET)
+        elif self.s and (most["rows"] or 0) <= _WHOLE:
+            laid = base.repartition(*self.s)
+        else:
+            laid = base.repartition(*self.s, "_t")
+        self.patterns = laid.persist(StorageLevel.MEMORY_AND_DISK)
         size = self.patterns.agg(
             F.sum("n").alias("n"),
             F.sum(F.col("n") * F.col("_e")).alias("events"),
@@ -71,8 +77,7 @@ class _Problem:
         ).first()
         if not size["n"] or not size["events"]:
             raise ValueError("no complete rows with an event")
-        if self.cut:
-            whole.unpersist()
+        base.unpersist()
         self.n, self.events = int(size["n"]), int(size["events"])
         self.center = vector(size, "x", self.p)
 
@@ -282,16 +287,15 @@ def conditional_logistic(df: DataFrame, y: str, xs: Sequence[str], set_id: str,
     With one case per set the conditional likelihood is the partial likelihood at one common time. Sets
     with several cases need another likelihood and are refused.
     """
-    complete = df.dropna(subset=[y, *xs, set_id])
-    worst = (
-        complete.groupBy(set_id)
-        .agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("cases"))
-        .agg(F.max("cases"))
-        .first()[0]
-    )
-    if worst is not None and worst > 1:
-        raise ValueError("a matched set holds more than one case")
-    fit = cox(complete.withColumn("_one", F.lit(1.0)), "_one", y, xs, [set_id], max_iter=max_iter)
+    held = df.dropna(subset=[y, *xs, set_id]).select(set_id, y, *xs).withColumn("_one", F.lit(1.0))
+    held = held.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cases = held.groupBy(set_id).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("cases"))
+        if (cases.agg(F.max("cases")).first()[0] or 0) > 1:
+            raise ValueError("a matched set holds more than one case")
+        fit = cox(held, "_one", y, xs, [set_id], max_iter=max_iter)
+    finally:
+        held.unpersist()
     fit.kind = "conditional_logistic"
     return fit
 

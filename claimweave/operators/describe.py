@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from claimweave.operators.ordered import null_safe_join, running_sums, value_buckets
+from claimweave.operators.ordered import held, null_safe_join, running_sums, value_buckets
 
 
 def frequency(df: DataFrame, columns: str | Sequence[str], keep_null: bool = False) -> DataFrame:
@@ -39,13 +39,14 @@ def summarise_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     distinct values, so no group's values are gathered in one place.
     """
     keys = [*by, "variable"]
+    counts = held(counts)
     n = F.col("n")
     totals = counts.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), n)), F.lit(0)).alias("count"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), n)), F.lit(0)).alias("n_missing"),
         (F.sum(F.col("value") * n) / F.sum(F.when(F.col("value").isNotNull(), n))).alias("mean"),
     )
-    known = value_buckets(counts.filter(F.col("value").isNotNull()), "value")
+    known = held(value_buckets(counts.filter(F.col("value").isNotNull()), "value"))
     placed = null_safe_join(totals, running_sums(known, keys, "value", {"_cum": "n"}), keys, "left")
 
     def quantile(p: float) -> Column:

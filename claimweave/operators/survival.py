@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.functions.tails import Z95, chi2_tail
-from claimweave.operators.ordered import running_sums, value_buckets
+from claimweave.operators.ordered import held, running_sums, value_buckets
 
 
 def kaplan_meier(
@@ -26,7 +26,7 @@ def kaplan_meier(
     times = data.groupBy(*keys, F.col(time).cast("double").alias("time")).agg(
         F.sum(w).alias("_n"), F.sum(F.when(F.col(event) == 1, w).otherwise(w * 0)).alias("n_event")
     )
-    risk = running_sums(value_buckets(times, "time"), keys, "time", {"n_risk": "_n"}, descending=True)
+    risk = running_sums(held(value_buckets(held(times), "time")), keys, "time", {"n_risk": "_n"}, descending=True)
     steps = risk.withColumns(
         {
             "_last": F.expr("n_event > 0 AND n_risk - n_event <= 1e-12 * n_risk"),
@@ -108,7 +108,7 @@ def logrank(
         .agg(*counts)
     )
     risk = running_sums(
-        value_buckets(times, "time"), [], "time", {f"r{i}": f"n{i}" for i in range(k)}, descending=True
+        held(value_buckets(held(times), "time")), [], "time", {f"r{i}": f"n{i}" for i in range(k)}, descending=True
     )
     d = "(" + "+".join(f"d{i}" for i in range(k)) + ")"
     r = "(" + "+".join(f"r{i}" for i in range(k)) + ")"
