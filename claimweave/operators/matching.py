@@ -58,14 +58,18 @@ def frequency_match(
 
 
 _FLOW = "seg int, t_ps double, c_ps double, t_from long, c_from long, k long"
+_PEEK = -1  # k of the marker row of a segment that needs to see more controls
 
 
 def _nearest_free(pdf: pd.DataFrame, caliper: float) -> pd.DataFrame:
     """Serve the treated values of one segment, highest score first, from the nearest free controls.
 
     Rows are distinct scores with the number of treated, of controls and of controls already used. Two
-    arrays of links lead from a score to the nearest score above or below that still has controls.
+    arrays of links lead from a score to the nearest score above or below that still has controls. The
+    segment sees all controls between ``edge_lo`` and ``edge_hi``; if one outside could be nearer than
+    the best inside, a marker row asks for a wider view.
     """
+    edge_lo, edge_hi = float(pdf["edge_lo"].iloc[0]), float(pdf["edge_hi"].iloc[0])
     pdf = pdf.groupby("ps", as_index=False).agg(n_t=("n_t", "sum"), n_c=("n_c", "sum"), used=("used", "sum"))
     pdf = pdf.sort_values("ps", ignore_index=True)
     ps, need, used = pdf["ps"].to_numpy(), pdf["n_t"].to_numpy(), pdf["used"].to_numpy().copy()
@@ -91,6 +95,9 @@ def _nearest_free(pdf: pd.DataFrame, caliper: float) -> pd.DataFrame:
             gap_above = ps[above] - ps[i] if above < size else math.inf
             gap_below = ps[i] - ps[below] if below >= 0 else math.inf
             j, gap = (above, gap_above) if gap_above <= gap_below else (below, gap_below)
+            unseen = min(ps[i] - edge_lo, edge_hi - ps[i])
+            if gap > unseen and unseen < caliper:
+                return pd.DataFrame([(ps[i], ps[i], 0, 0, _PEEK)], columns=["t_ps", "c_ps", "t_from", "c_from", "k"])
             if not math.isfinite(gap) or gap > caliper:
                 break
             take = min(left, int(free[j]))
@@ -116,46 +123,51 @@ def _match_values(values: DataFrame, caliper: float, distinct: int, per_segment:
     """Flows ``k`` treated of one score to controls of another, equal to the serial greedy rule.
 
     Scores are cut into segments. Treated are served from high to low, so a segment depends only on the
-    controls used by higher segments within the caliper. All segments are solved at once from the usage
-    of the last round until no usage changes; by then the top segment is right, hence the next, and so on.
+    controls used by higher segments. All segments are solved at once from the usage of the last round
+    until no usage changes; by then the top segment is right, hence the next, and so on. A segment sees
+    its own and the neighbouring segments' controls, and twice as many each time it asks for more.
     """
+    inf = F.lit(math.inf)
+    zero = F.lit(0).cast("long")
     if distinct <= per_segment:
-        one = values.select(F.lit(0).alias("seg"), "ps", "n_t", "n_c", F.lit(0).cast("long").alias("used"))
+        one = values.select(F.lit(0).alias("seg"), "ps", "n_t", "n_c", zero.alias("used"), (-inf).alias("edge_lo"), inf.alias("edge_hi"))
         return _segment_flows(one, caliper)
-    ensure_checkpoint_dir(values.sparkSession)
-    cut = value_buckets(values, "ps", math.ceil(distinct / per_segment)).withColumnRenamed(BUCKET, "seg")
-    cut = cut.checkpoint()
+    spark = values.sparkSession
+    ensure_checkpoint_dir(spark)
+    cut = value_buckets(values, "ps", math.ceil(distinct / per_segment)).withColumnRenamed(BUCKET, "seg").checkpoint()
     treated = cut.filter("n_t > 0").select("seg", "ps", "n_t")
-    # One row per segment: their number is distinct / per_segment.
-    ends = treated.groupBy("seg").agg(F.min("ps").alias("lo"), F.max("ps").alias("hi"))
-    bounds = sorted((r["seg"], r["lo"], r["hi"]) for r in ends.collect())
-    span = max(
-        (abs(b - a) for a, lo, hi in bounds for b, lo2, hi2 in bounds if lo2 - caliper <= hi and hi2 + caliper >= lo),
-        default=0,
-    ) + 1
-    reach = F.explode(F.sequence(F.col("seg") - span, F.col("seg") + span)).alias("to")
-    controls = (
-        cut.filter("n_c > 0")
-        .select("ps", "n_c", reach)
-        .join(ends.withColumnRenamed("seg", "to"), "to")
-        .filter((F.col("ps") >= F.col("lo") - caliper) & (F.col("ps") <= F.col("hi") + caliper))
-        .select(F.col("to").alias("seg"), "ps", "n_c")
-        .checkpoint()
-    )
-    state = controls.withColumn("own", F.lit(0).cast("long"))
+    controls = cut.filter("n_c > 0").select("seg", "ps", "n_c")
+    # One row per segment reaches the driver: their number is distinct / per_segment.
+    ends = {r["seg"]: (r["lo"], r["hi"]) for r in cut.groupBy("seg").agg(F.min("ps").alias("lo"), F.max("ps").alias("hi")).collect()}
+    order = sorted(ends)
+    view = {seg: 1 for seg in order}
+    own = spark.createDataFrame([], "seg int, ps double, own long")
     higher = W.partitionBy("ps").orderBy(F.col("seg").desc()).rowsBetween(W.unboundedPreceding, -1)
     while True:
-        used = F.least(F.coalesce(F.sum("own").over(higher), F.lit(0)), F.col("n_c"))
-        groups = treated.select("seg", "ps", "n_t", F.lit(0).cast("long").alias("n_c"), F.lit(0).cast("long").alias("used"))
-        groups = groups.unionByName(
-            state.select("seg", "ps", F.lit(0).cast("long").alias("n_t"), "n_c", used.alias("used"))
-        )
+        rows = []
+        for i, seg in enumerate(order):
+            first, last = i - view[seg], i + view[seg]
+            lo = ends[order[first]][0] if first > 0 else -math.inf
+            hi = ends[order[last]][1] if last < len(order) - 1 else math.inf
+            rows += [(seg, s, lo, hi) for s in order[max(first, 0) : last + 1]]
+        seen = spark.createDataFrame(rows, "to int, seg int, edge_lo double, edge_hi double")
+        edges = seen.select(F.col("to").alias("seg"), "edge_lo", "edge_hi").distinct()
+        offered = controls.join(seen, "seg").select(F.col("to").alias("seg"), "ps", "n_c", "edge_lo", "edge_hi")
+        state = offered.join(own, ["seg", "ps"], "left")
+        used = F.least(F.coalesce(F.sum("own").over(higher), zero), F.col("n_c"))
+        groups = treated.join(edges, "seg").select("seg", "ps", "n_t", zero.alias("n_c"), zero.alias("used"), "edge_lo", "edge_hi")
+        groups = groups.unionByName(state.select("seg", "ps", zero.alias("n_t"), "n_c", used.alias("used"), "edge_lo", "edge_hi"))
         flows = _segment_flows(groups, caliper).checkpoint()
-        taken = flows.groupBy("seg", F.col("c_ps").alias("ps")).agg(F.sum("k").alias("now"))
-        joined = state.join(taken, ["seg", "ps"], "left").withColumn("now", F.coalesce("now", F.lit(0)))
-        if joined.filter("now <> own").isEmpty():
+        asking = [r["seg"] for r in flows.filter(F.col("k") == _PEEK).select("seg").distinct().collect()]
+        for seg in asking:
+            view[seg] *= 2
+        now = flows.filter("k > 0").groupBy("seg", F.col("c_ps").alias("ps")).agg(F.sum("k").alias("now"))
+        both = own.join(now, ["seg", "ps"], "full").select(
+            "seg", "ps", F.coalesce("own", zero).alias("own"), F.coalesce("now", zero).alias("now")
+        )
+        if not asking and both.filter("now <> own").isEmpty():
             return flows
-        state = joined.select("seg", "ps", "n_c", F.col("now").alias("own")).checkpoint()
+        own = both.filter("now > 0").select("seg", "ps", F.col("now").alias("own")).checkpoint()
 
 
 def ps_match(

@@ -302,6 +302,22 @@ def cox_zph(spark: SparkSession, sf: str) -> DataFrame:
     return ph_test(frame, fit, "ft", "ot")
 
 
+@query(
+    "cox_zph_uni",
+    f"""WITH RECURSIVE {_cox_terms()}, dn AS (SELECT ft, count(*)::DOUBLE AS n, sum(ot)::DOUBLE AS d FROM sf GROUP BY 1),
+      rk AS (SELECT *, sum(n) OVER (ORDER BY ft DESC) AS r FROM dn),
+      g AS (SELECT ft, 1 - exp(coalesce(sum(CASE WHEN d > 0 AND d < r THEN ln(1 - d / r) ELSE 0 END) OVER (
+        ORDER BY ft ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS g FROM rk),
+      t AS (SELECT g.g, dx / l.d - p AS u, p - p * p AS v FROM (SELECT l.*, (n1 - a * dx) * exp(b) / (n0 - a * (dw - dx) + (n1 - a * dx) * exp(b)) AS p
+        FROM l, it WHERE it.k = 15) l JOIN g USING (ft)),
+      z AS (SELECT round(pow(sum(g * u), 2) / (sum(g * g * v) - pow(sum(g * v), 2) / sum(v)), 5) AS chisq FROM t)
+    SELECT 'x' AS term, chisq, 1 AS df FROM z UNION ALL SELECT 'GLOBAL', chisq, 1 FROM z""",
+)
+def cox_zph_uni(spark: SparkSession, sf: str) -> DataFrame:
+    frame = survival_frame(spark, sf)
+    return rounded(ph_test(frame, cox(frame, "ft", "ot", ["x"]), "ft", "ot").drop("p_value"), 5)
+
+
 @query(
     "fit_summary",
     f"""WITH RECURSIVE {_cox_terms()}, f AS (SELECT b FROM it WHERE k = 15),
@@ -385,6 +401,26 @@ def psm_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return matching.ps_match(df, "id", "treat", "ps")
 
 
+@query(
+    "psm_given_score",
+    f"""WITH RECURSIVE {SQL_SURVIVAL}, s AS (SELECT id, treat, floor((balance + 1000) / 110) / 100 AS ps, md5(id || ':0') AS h FROM sf),
+      cal AS (SELECT 0.2::DOUBLE * stddev_samp(ps) AS cal FROM s),
+      t AS (SELECT *, row_number() OVER (ORDER BY ps DESC, h, id) AS rn FROM s WHERE treat = 1),
+      c AS (SELECT * FROM s WHERE treat = 0),
+      it AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS tid, NULL::BIGINT AS cid UNION ALL
+        SELECT k + 1, CASE WHEN cid IS NULL THEN used ELSE list_append(used, cid) END, tid, cid FROM (
+          SELECT it.k, it.used, t.id AS tid, arg_min(c.id, (abs(c.ps - t.ps), -c.ps, c.h, c.id)) AS cid
+          FROM it JOIN t ON t.rn = it.k + 1 CROSS JOIN cal
+          LEFT JOIN c ON abs(c.ps - t.ps) <= cal.cal AND NOT list_contains(it.used, c.id) GROUP BY it.k, it.used, t.id)),
+      pr AS (SELECT tid, cid FROM it WHERE cid IS NOT NULL)
+    SELECT s.id, tid AS pair_id, treat, ps, 1.0::DOUBLE AS weight FROM pr JOIN s ON s.id = pr.tid OR s.id = pr.cid""",
+)
+def psm_given_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest-neighbour pairs on a score with many equal values."""
+    score = F.floor((F.col("balance") + 1000) / 110) / 100
+    return matching.ps_match(survival_frame(spark, sf).withColumn("ps", score), "id", "treat", "ps")
+
+
 @query(
     "rate_ratio_gee_independence",
     f"""WITH {SQL_PF}, k AS (SELECT sum(ot) FILTER (exposed = 1) / count(*) FILTER (exposed = 1) AS m1, sum(ot) FILTER (exposed = 0) / count(*) FILTER (exposed = 0) AS m0,
@@ -398,9 +434,7 @@ def rate_ratio_gee_independence(spark: SparkSession, sf: str) -> DataFrame:
     return _coefficients(poisson_gee(panel_frame(spark, sf), "ot", ["exposed"], "id", corr="independence"))
 
 
-@query(
-    "gee_exchangeable",
-    f"""WITH RECURSIVE {SQL_PF}, it AS (SELECT 0 AS k, ln(avg(ot)) AS a, 0::DOUBLE AS b, 0::DOUBLE AS rho, 0::DOUBLE AS va, 0::DOUBLE AS vb FROM pf UNION ALL
+SQL_GEE = f"""{SQL_PF}, it AS (SELECT 0 AS k, ln(avg(ot)) AS a, 0::DOUBLE AS b, 0::DOUBLE AS rho, 0::DOUBLE AS va, 0::DOUBLE AS vb FROM pf UNION ALL
       SELECT k + 1, a + (b11 * u0 - b01 * u1) / det, b + (b00 * u1 - b01 * u0) / det, crs / (ee / (nn - 2) * (prs - 2)),
         (b11 * b11 * m00 - 2 * b11 * b01 * m01 + b01 * b01 * m11) / (det * det), (b01 * b01 * m00 - 2 * b01 * b00 * m01 + b00 * b00 * m11) / (det * det)
       FROM (SELECT *, b00 * b11 - b01 * b01 AS det FROM (
@@ -413,7 +447,12 @@ def rate_ratio_gee_independence(spark: SparkSession, sf: str) -> DataFrame:
               sum(pow(ot - mu, 2) / mu) AS ee, sum(mu) AS zz00, sum(exposed * mu) AS zz01, sum(exposed * mu) AS zz11,
               sum(ot - mu) AS ze0, sum(exposed * (ot - mu)) AS ze1
             FROM (SELECT it.*, pf.id, pf.ot, pf.exposed, exp(a + b * exposed) AS mu FROM it, pf WHERE k < 25) GROUP BY k, a, b, rho, id)))
-        GROUP BY k, a, b, rho)))
+        GROUP BY k, a, b, rho)))"""
+
+
+@query(
+    "gee_exchangeable",
+    f"""WITH RECURSIVE {SQL_GEE}
     SELECT '(Intercept)' AS term, round(a, 6) AS estimate, round(sqrt(va), 6) AS std_err, round(rho, 6) AS alpha FROM it WHERE k = 25 UNION ALL
     SELECT 'exposed', round(b, 6), round(sqrt(vb), 6), round(rho, 6) FROM it WHERE k = 25""",
 )
@@ -423,6 +462,17 @@ def gee_exchangeable(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_coefficients(fit).withColumn("alpha", F.lit(float(fit.stats["alpha"]))))
 
 
+@query(
+    "rate_ratio_exposed",
+    f"""WITH RECURSIVE {SQL_GEE} SELECT 'exposed' AS term, round(exp(b), 2) AS ratio, round(exp(b - 1.96 * sqrt(vb)), 2) AS lower,
+    round(exp(b + 1.96 * sqrt(vb)), 2) AS upper FROM it WHERE k = 25""",
+)
+def rate_ratio_exposed(spark: SparkSession, sf: str) -> DataFrame:
+    """Rate ratio of the exposure with 1.96-limits from the robust standard error."""
+    fit = poisson_gee(panel_frame(spark, sf), "ot", ["exposed"], "id")
+    return ratio_table(fit, "robust", 1.96, (2, 2, 4)).filter("term = 'exposed'").drop("p_value")
+
+
 @query("rate_ratio_table")
 def rate_ratio_table(spark: SparkSession, sf: str) -> DataFrame:
     """Rate ratios with 1.96-limits from the robust standard error, rounded to two digits."""
