@@ -56,19 +56,22 @@ class _Problem:
             F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_w")).alias("ww")
         )
         # How patterns are laid out for the Newton steps follows from exact counts, so that what one task
-        # holds is bounded: small strata stay whole, a long one is spread over its times, and beyond
-        # _WHOLE distinct times the times themselves are cut into buckets.
+        # holds is bounded: small strata are put together; otherwise rows stay spread as they are, since a
+        # single time (the end of the study) may hold very many; and beyond _WHOLE distinct times the times
+        # are cut into buckets, which are put together unless one of them is heavy.
         base = patterns.withColumn(BUCKET, F.lit(0)).persist(StorageLevel.MEMORY_AND_DISK)
         per_time = base.groupBy(*self.s, "_t").agg(F.count(F.lit(1)).alias("k"))
         per_stratum = per_time.groupBy(*self.s).agg(F.count(F.lit(1)).alias("times"), F.sum("k").alias("rows"))
-        most = per_stratum.agg(F.max("times").alias("times"), F.max("rows").alias("rows")).first()
+        most = per_stratum.agg(F.max("times").alias("times"), F.max("rows").alias("rows"), F.sum("rows").alias("all")).first()
         self.cut = (most["times"] or 0) > _WHOLE
+        laid = base
         if self.cut:
-            laid = value_buckets(base.drop(BUCKET), "_t").repartition(*self.s, BUCKET)
+            laid = value_buckets(base.drop(BUCKET), "_t")
+            heavy = laid.groupBy(*self.s, BUCKET).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0]
+            if heavy <= max(_WHOLE, most["all"] // 64):
+                laid = laid.repartition(*self.s, BUCKET)
         elif self.s and (most["rows"] or 0) <= _WHOLE:
             laid = base.repartition(*self.s)
-        else:
-            laid = base.repartition(*self.s, "_t")
         self.patterns = laid.persist(StorageLevel.MEMORY_AND_DISK)
         size = self.patterns.agg(
             F.sum("n").alias("n"),
@@ -77,7 +80,8 @@ class _Problem:
         ).first()
         if not size["n"] or not size["events"]:
             raise ValueError("no complete rows with an event")
-        base.unpersist()
+        if laid is not base:
+            base.unpersist()
         self.n, self.events = int(size["n"]), int(size["events"])
         self.center = vector(size, "x", self.p)
 

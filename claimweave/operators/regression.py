@@ -12,6 +12,7 @@ from claimweave.functions.tails import Z95
 from claimweave.operators.fits import Fit, linear, symmetric, upper_triangle, vector
 
 INTERCEPT = "(Intercept)"
+_TOGETHER = 50_000  # most patterns of one cluster that are kept in one task
 
 
 def _patterns(df: DataFrame, y: str, xs: Sequence[str], weight: str | None) -> DataFrame:
@@ -172,8 +173,13 @@ def poisson_gee(
         F.sum("y").alias("sy"),
         F.sum(F.col("y") * F.col("y")).alias("syy"),
     )
-    # Clusters stay on one partition for all passes; patterns keep even a very large cluster short.
-    patterns = patterns.repartition("_id").persist(StorageLevel.MEMORY_AND_DISK)
+    # Clusters stay together for all passes, unless one has very many patterns: then they stay spread and
+    # each pass sums them in two steps.
+    spread = patterns.persist(StorageLevel.MEMORY_AND_DISK)
+    widest = spread.groupBy("_id").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+    patterns = spread
+    if widest <= _TOGETHER:
+        patterns = spread.repartition("_id").persist(StorageLevel.MEMORY_AND_DISK)
 
     def one_pass(beta: np.ndarray, alpha: float):
         at = patterns.withColumn("mu", F.expr(f"exp({linear(beta, names)} + _off)"))
@@ -211,6 +217,8 @@ def poisson_gee(
 
     try:
         first = patterns.agg(F.sum("sy").alias("y"), F.sum(F.expr("n * exp(_off)")).alias("t")).first()
+        if patterns is not spread:
+            spread.unpersist()
         if not first["y"]:
             raise ValueError("no events")
         beta, alpha = np.zeros(p), 0.0
