@@ -365,3 +365,8 @@ def fit_overview(fits: Mapping[str, Fit]) -> DataFrame:
     if out is None:
         raise ValueError("no fits given")
     return out
+
+
+def risk_score(df: DataFrame, fit: Fit, name: str = "risk") -> DataFrame:
+    """Add the fitted linear predictor as a plain column expression."""
+    return df.withColumn(name, F.expr(linear(fit.beta, [f"CAST(`{c}` AS DOUBLE)" for c in fit.terms])))

@@ -141,3 +141,54 @@ def logrank(
         "chisq double, df int, p_value double"
     )
     return df.sparkSession.createDataFrame(rows, schema)
+
+
+def concordance(
+    df: DataFrame, time: str, event: str, score: str, strata: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """Share of comparable pairs in which the person with the earlier event has the higher score.
+
+    No pairs are formed. Scores become ranks; two different ranks first differ at one binary digit, so
+    every pair is counted at exactly one (digit, leading digits) group, from the event's side as events
+    times those still at risk later on the other side. Work grows with persons times digits. Equal scores
+    count one half, events at equal times are not compared.
+    """
+    keys = list(strata)
+    w = F.col(weight) if weight else F.lit(1)
+    rows = df.dropna(subset=[time, event, score, *keys, *([weight] if weight else [])])
+    cells = held(
+        rows.groupBy(*keys, F.col(time).cast("double").alias("_t"), F.col(score).cast("double").alias("_s")).agg(
+            F.sum(w).alias("n"), F.sum(F.when(F.col(event) == 1, w).otherwise(w * 0)).alias("d")
+        )
+    )
+    scores = held(value_buckets(cells.select("_s").distinct(), "_s"))
+    digits = max(scores.count() - 1, 1).bit_length()
+    ranks = running_sums(scores, [], "_s", {"_k": "1"}, inclusive=False).select("_s", F.col("_k").cast("long").alias("_k"))
+    # Level -1 groups equal scores; level l >= 0 compares digit l below equal leading digits.
+    spread = cells.join(ranks, "_s").select(
+        *keys, "_t", "n", "d", "_k", F.explode(F.sequence(F.lit(-1), F.lit(digits - 1))).alias("_level")
+    )
+    spread = spread.withColumns(
+        {
+            "_group": F.expr("shiftright(_k, _level + 1)"),
+            "_high": F.expr("CASE WHEN _level >= 0 THEN shiftright(_k, greatest(_level, 0)) & 1 ELSE 0 END = 1"),
+        }
+    )
+    sides = {
+        f"{c}{i}": F.sum(F.when(F.col("_high") if i else ~F.col("_high"), F.col(c)).otherwise(F.col(c) * 0))
+        for c in "nd" for i in (0, 1)
+    }
+    group = [*keys, "_level", "_group"]
+    tree = held(spread.groupBy(*group, "_t").agg(*[v.alias(k) for k, v in sides.items()]))
+    later = running_sums(
+        held(value_buckets(tree, "_t")), group, "_t", {"l0": "n0", "l1": "n1"}, descending=True, inclusive=False
+    )
+    low, high = F.expr("l0 + n0 - d0"), F.expr("l1 + n1 - d1")
+    counts = later.agg(
+        F.sum(F.col("d1") * low).alias("concordant"),
+        F.sum(F.col("d0") * high).alias("discordant"),
+        F.sum(F.when(F.col("_level") == -1, F.col("d0") * low).otherwise(F.lit(0))).alias("tied_score"),
+    )
+    total = F.col("concordant") + F.col("discordant") + F.col("tied_score")
+    share = F.try_divide(F.col("concordant") + F.col("tied_score") / 2, total)
+    return counts.withColumn("concordance", share)

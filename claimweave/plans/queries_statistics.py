@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimweave.functions.clean import flag
 from claimweave.operators import describe, matching, survival, weights
-from claimweave.operators.cox import conditional_logistic, cox, fit_overview, ph_test
+from claimweave.operators.cox import conditional_logistic, cox, fit_overview, ph_test, risk_score
 from claimweave.operators.fits import ratio_table
 from claimweave.operators.regression import logistic, poisson_gee
 from claimweave.plans import propensity_study
@@ -512,3 +512,26 @@ def labels_odds(spark: SparkSession, sf: str) -> DataFrame:
     """Log odds ratio of two given 0/1 labels."""
     fit = logistic(table(spark, sf, "labels", "quality", "toxic"), "quality", ["toxic"])
     return rounded(fit.tidy().filter("term = 'toxic'").select("estimate"))
+
+
+def _concordance_sql(score: str) -> str:
+    return f"""WITH {SQL_SURVIVAL}, c AS (SELECT {score} AS s, ft, ot FROM sf), g AS (SELECT s, ft, ot, count(*) AS n FROM c GROUP BY ALL),
+      p AS (SELECT sum(CASE WHEN b.s < a.s THEN a.n * b.n ELSE 0 END) AS c, sum(CASE WHEN b.s > a.s THEN a.n * b.n ELSE 0 END) AS d,
+        sum(CASE WHEN b.s = a.s THEN a.n * b.n ELSE 0 END) AS t FROM g a JOIN g b ON b.ft > a.ft OR (b.ft = a.ft AND b.ot = 0) WHERE a.ot = 1)
+    SELECT CAST(c AS BIGINT) AS concordant, CAST(d AS BIGINT) AS discordant, CAST(t AS BIGINT) AS tied_score,
+      round((c + t / 2) / (c + d + t), 6) AS concordance FROM p"""
+
+
+@query("concordance", _concordance_sql("floor(balance / 50)"))
+def concordance(spark: SparkSession, sf: str) -> DataFrame:
+    """Concordance of a score with many values and ties."""
+    df = survival_frame(spark, sf).withColumn("score", F.floor(F.col("balance") / 50))
+    return rounded(survival.concordance(df, "ft", "ot", "score"))
+
+
+@query("concordance_of_fit")
+def concordance_of_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Concordance of the linear predictor of a fitted Cox model."""
+    frame = survival_frame(spark, sf)
+    fit = cox(frame, "ft", "ot", ["x", "rich"])
+    return survival.concordance(risk_score(frame, fit), "ft", "ot", "risk")

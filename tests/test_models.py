@@ -263,3 +263,31 @@ def test_logrank_example(spark):
     a = survival.logrank(df, "t", "e", "g").filter("level = 'A'").first()
     assert (a.observed, round(a.expected, 6), round(a.variance, 6)) == (2, 0.833333, 0.472222)
     assert a.chisq == pytest.approx(2.882353, abs=1e-6) and a.p_value == pytest.approx(0.089555, abs=1e-6)
+
+
+@pytest.mark.parametrize("strata, weight", [([], None), (["s"], None), ([], "w")])
+def test_concordance_counts_all_pairs(spark, strata, weight):
+    df = survival_data(8)
+    df["score"] = (df.b * 4).round() / 4
+    row = survival.concordance(spark.createDataFrame(df).repartition(3), "t", "e", "score", strata, weight).first()
+    w = df[weight] if weight else pd.Series(1.0, index=df.index)
+    want = {1: 0.0, -1: 0.0, 0: 0.0}
+    for i, a in df[df.e == 1].iterrows():
+        for j, b in df.iterrows():
+            same = all(a[c] == b[c] for c in strata)
+            if same and (b.t > a.t or (b.t == a.t and b.e == 0)):
+                want[int(np.sign(a.score - b.score))] += w[i] * w[j]
+    assert [row.concordant, row.discordant, row.tied_score] == pytest.approx([want[1], want[-1], want[0]], rel=1e-9)
+    assert row.concordance == pytest.approx((want[1] + want[0] / 2) / sum(want.values()), rel=1e-9)
+
+
+def test_gee_with_a_cluster_too_wide_for_one_task(spark, monkeypatch):
+    from claimweave.operators import regression
+
+    monkeypatch.setattr(regression, "_TOGETHER", 1)
+    rng = np.random.default_rng(6)
+    df = pd.DataFrame({"id": np.minimum(np.arange(60) // 2, 19), "x": rng.integers(0, 2, 60), "z": rng.normal(size=60).round(1)})
+    df["y"] = rng.poisson(np.exp(0.2 + 0.4 * df.x))
+    beta, robust, _, _ = dense_gee(df, ["x", "z"])
+    fit = poisson_gee(spark.createDataFrame(df), "y", ["x", "z"], "id")
+    assert np.allclose(fit.beta, beta, atol=1e-7) and np.allclose(fit.robust, robust, rtol=1e-5)
