@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from claimweave.llm.stages import small_batches, staged
 
 SHARD = 2500
-DEGREE = 24
-BEAM_BUILD = 40
-BEAM = 64
+DEGREE = 32
+BEAM_BUILD = 64
+BEAM = 128
 ALPHA = 1.2
 BLOCK = 512  # queries searched together
 
