@@ -93,7 +93,7 @@ def canonical(records: DataFrame, record_col: str = "record", layouts: tuple[Lay
 
 def escape(text: Column) -> Column:
     text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("</turn>"), F.lit("<\\/turn>"))
-    return F.regexp_replace(text, "#(?=#)", "#\\\\\\\\")
+    return F.regexp_replace(text, "#(?=#)", r"#\\")
 
 
 def unescape(text: Column) -> Column:
