@@ -154,7 +154,8 @@ def _fine(shared):
                 line, kind, key = (np.concatenate(c) for c in (lines, kinds, keys))
                 own = np.unique(line)
                 line, kind, key = np.append(line, own), np.append(kind, np.full(len(own), _TEXT)), np.append(key, x.a[own])
-                _, first = np.unique(np.stack([key.view(np.int64), kind, x.a[line].view(np.int64)]), axis=1, return_index=True) if len(line) else (0, [])
+                with np.errstate(over="ignore"):
+                    _, first = np.unique(mix(key + mix(x.a[line] * BASE + kind.astype(_U))), return_index=True)
                 line, kind, key = line[first], kind[first], key[first]
                 text = [
                     x.words.data[x.start[i] : x.end[i]].tobytes() if k == _TEXT else None for i, k in zip(line, kind)
