@@ -159,12 +159,15 @@ def baseline_smd(
 ) -> DataFrame:
     """Group means, SDs and absolute standardised differences of a 0/1 treatment, optionally weighted.
 
-    One aggregate pass. The weighted variance of a continuous variable is scaled by n / (n - 1).
+    The weighted variance of a continuous variable is scaled by n / (n - 1). Continuous values are summed as differences
+    from their overall mean, so a large mean costs no digits.
     """
     w = F.col(weight) if weight else F.lit(1.0)
+    middle = df.agg(F.lit(1), *(F.avg(F.col(v).cast("double")).alias(v) for v in cont)).first()
     aggs, rows = [], []
     for v in [*cont, *binary]:
-        x = F.col(v).cast("double")
+        shift = (middle[v] or 0.0) if v in cont else 0.0
+        x = F.col(v).cast("double") - F.lit(shift)
         for g in (0, 1):
             here = (F.col(treat) == g) & x.isNotNull()
             aggs += [
@@ -173,7 +176,7 @@ def baseline_smd(
                 F.sum(F.when(here, w * x)).alias(f"{v}_s{g}"),
                 F.sum(F.when(here, w * x * x)).alias(f"{v}_q{g}"),
             ]
-        mean = {g: F.try_divide(F.col(f"{v}_s{g}"), F.col(f"{v}_w{g}")) for g in (0, 1)}
+        mean = {g: F.try_divide(F.col(f"{v}_s{g}"), F.col(f"{v}_w{g}")) for g in (0, 1)}  # less the shift
         var = {}
         for g in (0, 1):
             if v in binary:
@@ -181,15 +184,15 @@ def baseline_smd(
             else:
                 raw = F.try_divide(F.col(f"{v}_q{g}"), F.col(f"{v}_w{g}")) - mean[g] * mean[g]
                 n = F.col(f"{v}_n{g}").cast("double")
-                var[g] = F.greatest(raw, F.lit(0.0)) * F.try_divide(n, n - 1)
+                var[g] = raw * F.try_divide(n, n - 1)
         rows.append(
             F.struct(
                 F.lit(v).alias("variable"),
                 F.lit("binary" if v in binary else "continuous").alias("kind"),
                 F.col(f"{v}_n0").alias("n_0"),
                 F.col(f"{v}_n1").alias("n_1"),
-                mean[0].alias("mean_0"),
-                mean[1].alias("mean_1"),
+                (mean[0] + F.lit(shift)).alias("mean_0"),
+                (mean[1] + F.lit(shift)).alias("mean_1"),
                 F.sqrt(var[0]).alias("sd_0"),
                 F.sqrt(var[1]).alias("sd_1"),
                 F.try_divide(F.abs(mean[1] - mean[0]), F.sqrt((var[1] + var[0]) / 2)).alias("smd"),

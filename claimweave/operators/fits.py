@@ -119,10 +119,5 @@ def vector(row, prefix: str, p: int) -> np.ndarray:
 
 
 def linear(beta: Sequence[float], names: Sequence[str]) -> str:
-    """SQL text of a linear predictor with full-precision coefficients.
-
-    Coefficients come as one array value, not as numbers inside the expression, so generated code is
-    the same in every Newton step and is compiled once.
-    """
-    values = ", ".join(f"{float(b)!r}D" for b in beta)
-    return f"aggregate(zip_with(array({', '.join(names)}), array({values}), (x, b) -> x * b), 0D, (s, v) -> s + v)"
+    """SQL text of a linear predictor with full-precision coefficients, as a plain sum that is compiled whole."""
+    return "(" + (" + ".join(f"{name} * {float(b)!r}D" for b, name in zip(beta, names)) or "0D") + ")"

@@ -61,9 +61,11 @@ def period_exposure(
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
     first = F.greatest(F.coalesce(F.col(episode_start), lo), lo)
     last = F.least(F.coalesce(F.col(episode_end), hi), hi)
+    # A supply of no or negative days ends before it starts; it still counts in a month that holds both days.
+    months = _months_between(F.trunc(first, "month"), F.trunc(last, "month"))
     exposed = (
-        episodes.filter(F.col(flag) == 1)
-        .select(by, F.explode(_months_between(first, last)).alias("_month"))
+        episodes.filter((F.col(flag) == 1) & (first <= hi) & (last >= lo))
+        .select(by, F.explode(months).alias("_month"))
         .select(by, _month(F.col("_month")).alias("obs_ym"))
         .distinct()
         .withColumn(flag, F.lit(1))

@@ -271,3 +271,32 @@ def test_treatment_visits_and_index_day(spark):
     }
     (first,) = treatment_cohort.index_dates(ep).collect()
     assert (first.index_date, first.insulin) == (d("2014-04-01"), 0)
+
+
+def test_supplies_without_days_count_in_their_month(spark):
+    """A supply that ends the day before it starts, or earlier, is exposed in a month that holds both days."""
+    import datetime as dt
+
+    from claimweave.operators import panel
+
+    day = dt.date
+    people = spark.createDataFrame([(1, day(2014, 1, 1)), (2, day(2014, 1, 1)), (3, day(2014, 1, 1))], "id long, index_date date")
+    periods = panel.person_periods(people, "id", "index_date", "2014-01-01", "2014-12-31")
+    episodes = spark.createDataFrame(
+        [(1, 1, day(2014, 3, 10), day(2014, 3, 9)), (2, 1, day(2014, 3, 1), day(2014, 2, 28)), (3, 1, day(2014, 3, 10), day(2014, 3, 8))],
+        "id long, drug int, start_date date, end_date date",
+    )
+    out = panel.period_exposure(periods, episodes, "id", "drug", "2014-01-01", "2014-12-31")
+    assert sorted((r.id, r.obs_ym) for r in out.filter("drug = 1").collect()) == [(1, "201403"), (3, "201403")]
+
+
+def test_large_means_leave_the_smd_as_it_is(spark):
+    from pyspark.sql import functions as F
+
+    from claimweave.operators import describe
+
+    df = spark.range(1000).select((F.col("id") % 2).cast("int").alias("t"), (F.sin("id") + F.col("id") % 2).alias("x"), (1 + F.col("id") % 3).cast("double").alias("w"))
+    for weight in (None, "w"):
+        near = describe.baseline_smd(df, "t", ["x"], [], weight).first()
+        far = describe.baseline_smd(df.withColumn("x", F.col("x") + 1e8), "t", ["x"], [], weight).first()
+        assert abs(near.smd - far.smd) < 1e-6 and near.smd > 1
