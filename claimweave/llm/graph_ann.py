@@ -101,6 +101,8 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM_BUILD, alpha: fl
             graph[block] = _prune(x, block, np.concatenate([found, graph[block]], 1), degree, a)
             source, target = np.repeat(block, degree), graph[block].ravel()
             source, target = source[target >= 0], target[target >= 0]
+            if not len(target):  # a single vector
+                continue
             order = np.argsort(target, kind="stable")
             source, target = source[order], target[order]
             nodes, first, count = np.unique(target, return_index=True, return_counts=True)
