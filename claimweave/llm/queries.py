@@ -54,7 +54,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.union(spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    rows = rows.union(spark.range(2).select(F.lit(-7).cast("long"), "id", role, F.lit(text)))
     records = chat.canonical(chat.from_rows(rows))
     return chat.digests(chat.formatted(records, "conv_id"))
 
