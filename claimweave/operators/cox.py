@@ -77,13 +77,14 @@ class _Problem:
             F.sum("n").alias("n"),
             F.sum(F.col("n") * F.col("_e")).alias("events"),
             *[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in self.x],
+            *[(F.max(c) - F.min(c)).alias(f"r{c}") for c in self.x],
         ).first()
         if not size["n"] or not size["events"]:
             raise ValueError("no complete rows with an event")
         if laid is not base:
             base.unpersist()
         self.n, self.events = int(size["n"]), int(size["events"])
-        self.center = vector(size, "x", self.p)
+        self.center, self.width = vector(size, "x", self.p), vector(size, "rx", self.p)
 
     def close(self) -> None:
         self.patterns.unpersist()
@@ -245,9 +246,11 @@ def _newton(problem: _Problem, max_iter: int, tol: float):
         beta = beta + scale * delta
         change = abs(new_ll - ll)
         ll, u, info = new_ll, new_u, new_info
-        if change <= tol * (abs(ll) + 1) and np.max(np.abs(scale * delta)) < 1e-6:
+        # Coefficients are judged by what they change in the linear predictor, whatever the covariates' units.
+        if change <= tol * (abs(ll) + 1) and np.max(np.abs(scale * delta) * problem.width) < 1e-6:
             # A flat likelihood with a huge coefficient is separation, not convergence.
-            return beta, ll, info, start, iteration, bool(np.max(np.abs(beta)) < 15)
+            unsure = np.square(beta) < np.diag(np.linalg.pinv(info))
+            return beta, ll, info, start, iteration, not np.any((np.abs(beta) * problem.width > 15) & unsure)
     return beta, ll, info, start, max_iter, False
 
 

@@ -12,7 +12,6 @@ from claimweave.functions.tails import Z95
 from claimweave.operators.fits import Fit, linear, symmetric, upper_triangle, vector
 
 INTERCEPT = "(Intercept)"
-_TOGETHER = 50_000  # most patterns of one cluster that are kept in one task
 
 
 def _patterns(df: DataFrame, y: str, xs: Sequence[str], weight: str | None) -> DataFrame:
@@ -92,10 +91,13 @@ def logistic(
         size = patterns.agg(
             F.sum("n").alias("n"), F.sum(F.expr("n * y")).alias("events"), F.sum("w").alias("w"),
             F.sum(F.expr("w * y")).alias("wy"),
+            *[(F.max(f"x{j + 1}") - F.min(f"x{j + 1}")).alias(f"r{j}") for j in range(len(xs))],
         ).first()
         if not size["w"] or not 0 < size["wy"] < size["w"]:
             raise ValueError("the outcome does not take both values")
         w, wy = float(size["w"]), float(size["wy"])
+        # Coefficients are judged by what they change in the linear predictor, whatever the covariates' units.
+        width = np.append(1.0, vector(size, "r", len(xs)))
         null_ll = wy * np.log(wy / w) + (w - wy) * np.log(1 - wy / w)
         beta = np.zeros(len(xs) + 1)
         beta[0] = np.log(wy / (w - wy))
@@ -108,9 +110,9 @@ def logistic(
                 scale /= 2
                 ((new, new_u, new_info),) = _binomial_pass(patterns, (beta + scale * delta)[None, :])
             beta = beta + scale * delta
-            change, moved = abs(new - ll), float(np.max(np.abs(scale * delta)))
+            change, moved = abs(new - ll), float(np.max(np.abs(scale * delta) * width))
             ll, u, info = new, new_u, new_info
-            if change <= tol * (abs(ll) + 1) and moved < 1e-7 * (1 + float(np.max(np.abs(beta)))):
+            if change <= tol * (abs(ll) + 1) and moved < 1e-7 * (1 + float(np.max(np.abs(beta) * width))):
                 converged = True
                 break
         var = np.linalg.pinv(info)
@@ -123,7 +125,7 @@ def logistic(
             "loglik": ll,
         }
         # A coefficient that keeps growing while the likelihood is flat is separation.
-        separated = bool(np.max(np.sqrt(np.diag(var))) > 1e3)
+        separated = bool(np.any((np.sqrt(np.diag(var)) * width)[1:] > 1e3))
         limits = _profile_limits(patterns, beta, ll, var) if profile else None
         return Fit(
             df.sparkSession, "logistic", [INTERCEPT, *xs], beta, var, stats=stats, limits=limits,
@@ -173,13 +175,8 @@ def poisson_gee(
         F.sum("y").alias("sy"),
         F.sum(F.col("y") * F.col("y")).alias("syy"),
     )
-    # Clusters stay together for all passes, unless one has very many patterns: then they stay spread and
-    # each pass sums them in two steps.
-    spread = patterns.persist(StorageLevel.MEMORY_AND_DISK)
-    widest = spread.groupBy("_id").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
-    patterns = spread
-    if widest <= _TOGETHER:
-        patterns = spread.repartition("_id").persist(StorageLevel.MEMORY_AND_DISK)
+    # Patterns stay spread as they are; each pass sums clusters in two steps, however wide one is.
+    patterns = patterns.persist(StorageLevel.MEMORY_AND_DISK)
 
     def one_pass(beta: np.ndarray, alpha: float):
         at = patterns.withColumn("mu", F.expr(f"exp({linear(beta, names)} + _off)"))
@@ -198,6 +195,7 @@ def poisson_gee(
         aggs = [
             F.expr("sum(n)").alias("rows"),
             F.count(F.lit(1)).alias("clusters"),
+            F.max("n").alias("widest"),
             F.expr("sum(n * (n - 1) / 2)").alias("pairs"),
             F.expr("sum(ee)").alias("ee"),
             F.expr("sum((e * e - ee) / 2)").alias("cross"),
@@ -217,20 +215,23 @@ def poisson_gee(
 
     try:
         first = patterns.agg(F.sum("sy").alias("y"), F.sum(F.expr("n * exp(_off)")).alias("t")).first()
-        if patterns is not spread:
-            spread.unpersist()
         if not first["y"]:
             raise ValueError("no events")
         beta, alpha = np.zeros(p), 0.0
         beta[0] = np.log(first["y"] / first["t"])
         converged, iteration = False, 0
         for iteration in range(1, max_iter + 1):
-            _, u, b, _, _, new_alpha = one_pass(beta, alpha)
+            row, u, b, _, _, new_alpha = one_pass(beta, alpha)
             delta = np.linalg.pinv(b) @ u
             beta = beta + delta
             moved, shift = float(np.max(np.abs(delta))), abs(new_alpha - alpha)
             # Correlation is taken in once the coefficients are near, as residuals far off mislead it.
-            alpha = min(max(new_alpha, -0.99), 0.99) if moved < 0.5 else alpha
+            if moved < 0.5 and np.isfinite(new_alpha):
+                # Beyond the values that a correlation of the widest cluster can have, go half of the way.
+                lowest = -1 / (float(row["widest"]) - 1) if row["widest"] > 1 else -1.0
+                while not lowest < new_alpha < 1:
+                    new_alpha = (alpha + new_alpha) / 2
+                alpha = new_alpha
             if moved < tol and shift < tol:
                 converged = True
                 break

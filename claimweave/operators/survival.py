@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.functions.tails import Z95, chi2_tail
@@ -79,18 +80,31 @@ def life_table(
     return kept.select(*by, F.col("at").alias("time"), "n_risk", "cum_event", "surv")
 
 
-def group_levels(df: DataFrame, by: str, limit: int = 64) -> list:
-    """Levels of a grouping column; refuses a column that is not a small factor."""
-    rows = df.select(by).dropna().distinct().orderBy(by).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{by} has more than {limit} levels")
-    return [r[0] for r in rows]
+def group_levels(df: DataFrame, by: str) -> list:
+    """Levels of a grouping column."""
+    return [r[0] for r in df.select(by).dropna().distinct().orderBy(by).collect()]
+
+
+def _hypergeometric(k: int):
+    """Covariance of the k groups' events, summed over a task's times."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            risk = batch[[f"r{i}" for i in range(k)]].to_numpy(float)
+            d, r = batch["_d"].to_numpy(float), risk.sum(1)
+            spread = np.where(r > 1, d * (r - d) / np.maximum(r - 1, 1), 0)
+            share = risk / r[:, None]
+            total += np.diag(spread @ share) - (share * spread[:, None]).T @ share
+        yield pd.DataFrame({"v": [total.ravel()]})
+
+    return run
 
 
 def logrank(
     df: DataFrame, time: str, event: str, by: str, levels: Sequence[object] | None = None
 ) -> DataFrame:
-    """Log-rank test of equal survival in k groups, one row per group."""
+    """Log-rank test of equal survival in k groups, one row per group; the driver holds their k x k covariance."""
     groups = list(levels) if levels is not None else group_levels(df, by)
     k = len(groups)
     if k < 2:
@@ -110,23 +124,24 @@ def logrank(
     risk = running_sums(
         held(value_buckets(held(times), "time")), [], "time", {f"r{i}": f"n{i}" for i in range(k)}, descending=True
     )
-    d = "(" + "+".join(f"d{i}" for i in range(k)) + ")"
-    r = "(" + "+".join(f"r{i}" for i in range(k)) + ")"
-    spread = f"CASE WHEN {r} > 1 THEN {d} * ({r} - {d}) / ({r} - 1) ELSE 0D END"
+    d, r = ("+".join(f"{c}{i}" for i in range(k)) for c in "dr")
+    risk = risk.withColumns({"_d": F.expr(d), "_r": F.expr(r)}).filter("_r > 0")
     sums = []
     for i in range(k):
         sums += [
             F.expr(f"sum(n{i})").alias(f"N{i}"),
             F.expr(f"sum(d{i})").alias(f"O{i}"),
-            F.expr(f"sum({d} * r{i} / {r})").alias(f"E{i}"),
+            F.expr(f"sum(_d * r{i} / _r)").alias(f"E{i}"),
         ]
-        for j in range(i, k):
-            own = f"r{i} / {r}" if i == j else "0D"
-            sums.append(F.expr(f"sum(({spread}) * ({own} - (r{i} / {r}) * (r{j} / {r})))").alias(f"V{i}_{j}"))
-    row = risk.filter(F.expr(f"{d} > 0 OR {r} > 0")).agg(*sums).first()
+    row = risk.agg(*sums).first()
     observed = np.array([float(row[f"O{i}"] or 0) for i in range(k)])
     expected = np.array([float(row[f"E{i}"] or 0) for i in range(k)])
-    var = np.array([[float(row[f"V{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)])
+    cells = risk.filter("_d > 0").select("_d", *(f"r{i}" for i in range(k))).mapInPandas(_hypergeometric(k), "v array<double>")
+    cells = cells.select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
+    var = np.zeros(k * k)
+    for cell in cells:
+        var[cell["at"]] = cell["v"]
+    var = var.reshape(k, k)
     gap = (observed - expected)[: k - 1]
     chisq = float(gap @ np.linalg.pinv(var[: k - 1, : k - 1]) @ gap)
     p = chi2_tail(chisq, k - 1)

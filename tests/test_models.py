@@ -281,13 +281,38 @@ def test_concordance_counts_all_pairs(spark, strata, weight):
     assert row.concordance == pytest.approx((want[1] + want[0] / 2) / sum(want.values()), rel=1e-9)
 
 
-def test_gee_with_a_cluster_too_wide_for_one_task(spark, monkeypatch):
-    from claimweave.operators import regression
-
-    monkeypatch.setattr(regression, "_TOGETHER", 1)
+def test_gee_with_a_wide_cluster(spark):
     rng = np.random.default_rng(6)
     df = pd.DataFrame({"id": np.minimum(np.arange(60) // 2, 19), "x": rng.integers(0, 2, 60), "z": rng.normal(size=60).round(1)})
     df["y"] = rng.poisson(np.exp(0.2 + 0.4 * df.x))
     beta, robust, _, _ = dense_gee(df, ["x", "z"])
     fit = poisson_gee(spark.createDataFrame(df), "y", ["x", "z"], "id")
     assert np.allclose(fit.beta, beta, atol=1e-7) and np.allclose(fit.robust, robust, rtol=1e-5)
+
+
+def test_verdicts_do_not_depend_on_units(spark):
+    df = survival_data(4)
+    df["far"] = df.b * 1e-5
+    frame = spark.createDataFrame(df)
+    for fit in (lambda x: cx.cox(frame, "t", "e", [x]), lambda x: logistic(frame, "e", [x])):
+        near, far = fit("b"), fit("far")
+        assert near.converged and far.converged
+        assert far.beta[-1] * 1e-5 == pytest.approx(near.beta[-1], rel=1e-6)
+    apart = spark.createDataFrame([(float(i), int(i < 5), int(i < 5)) for i in range(10)], "t double, e int, x int")
+    assert not logistic(apart, "e", ["x"]).converged
+
+
+def test_logrank_of_many_groups(spark):
+    rng = np.random.default_rng(9)
+    df = pd.DataFrame({"g": np.arange(600) % 10, "t": rng.integers(1, 9, 600).astype(float), "e": rng.integers(0, 2, 600)})
+    rows = survival.logrank(spark.createDataFrame(df), "t", "e", "g").collect()
+    expected, cov = np.zeros(10), np.zeros((10, 10))
+    for t in np.unique(df.t):
+        r = np.bincount(df.g[df.t >= t], minlength=10)
+        d, n = int(((df.t == t) & (df.e == 1)).sum()), r.sum()
+        expected += d * r / n
+        cov += d * (n - d) / max(n - 1, 1) * (np.diag(r / n) - np.outer(r, r) / n**2)
+    gap = (np.bincount(df.g[df.e == 1], minlength=10) - expected)[:9]
+    at = [int(r.level) for r in rows]
+    assert len(rows) == 10 and np.allclose([r.expected for r in rows], expected[at]) and np.allclose([r.variance for r in rows], np.diag(cov)[at])
+    assert rows[0].chisq == pytest.approx(gap @ np.linalg.solve(cov[:9, :9], gap), rel=1e-8)
