@@ -201,10 +201,9 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     Earlier is by document id, then by place. ``near`` is false for a copy of an earlier equal line.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = staged(docs.mapInArrow(_occurrences, "doc long, line long, a long, b long"), "lines")
     coarse = docs.mapInArrow(_coarse, "key long, a long, several boolean")
-    keys = staged(coarse.repartition(parts, "key").sortWithinPartitions("key", "a").mapInArrow(_several, "key long"), "keys")
+    keys = staged(coarse.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_several, "key long"), "keys")
     cells = keys.mapInArrow(_bits, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy()

@@ -271,8 +271,7 @@ def near_duplicates(
     reps = filled.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     reps = staged(reps, "classes")
     rows = reps.select("id", "keys").mapInArrow(_combine, "key long, x long, y long")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    edges = rows.repartition(parts, "key").sortWithinPartitions("key", "x").mapInArrow(_link, "key long, x long, y long")
+    edges = rows.repartition("key").sortWithinPartitions("key", "x").mapInArrow(_link, "key long, x long, y long")
     edges = staged(edges, "tree")
     pairs = staged(edges.select("x", "y").distinct(), "pairs")
     sets = _sets_of(docs, pairs.select(F.col("x").alias("id")).union(pairs.select("y")), k)
