@@ -101,8 +101,8 @@ class _Problem:
     def risk_table(self, beta: np.ndarray) -> DataFrame:
         """Risk-set and event sums per (stratum, time), with the tied-event sums of ``_tied``.
 
-        One SQL statement: sums per time, then running sums from the latest time. If times are cut into
-        buckets, bucket totals become offsets and the running sums stay inside a bucket.
+        Sums per time, then running sums from the latest time. If times are cut into buckets, bucket totals
+        become offsets and the running sums stay inside a bucket.
         """
         at = lambda e: f"CASE WHEN _e = 1 THEN {e} ELSE 0D END"
         sums = {"s0": "w * hr"}
@@ -119,27 +119,32 @@ class _Problem:
         frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND"
         same = " AND ".join(f"t.{c} <=> o.{c}" for c in [*self.s, BUCKET])
         kept = [*self.s, BUCKET, "_t", *fixed]
+        # Each step is a frame of its own: a WITH clause is inlined after cached frames are put in, and fails on
+        # a cached frame with an ordering.
+        sql = self.spark.sql
+        rows = sql(self._rows(beta), patterns=self.patterns)
+        t = sql(f"SELECT {keys}, _t, {listed(f'sum({e}) AS {c}' for c, e in (sums | fixed).items())} FROM {{r}} GROUP BY {keys}, _t", r=rows)
         if self.cut:
-            running = f"""
-            b AS (SELECT {keys}, {listed(f"sum({c}) AS {c}" for c in sums)} FROM t GROUP BY {keys}),
-            o AS (SELECT {keys}, {listed(f"coalesce(sum({c}) OVER later, 0D) AS {c}" for c in sums)}
-                  FROM b WINDOW later AS ({within}ORDER BY {BUCKET} DESC {frame} 1 PRECEDING)),
-            risk AS (SELECT {listed(f"t.{c}" for c in kept)},
-                            {listed(f"o.{c} + sum(t.{c}) OVER inside AS {c}" for c in sums)}
-                  FROM t JOIN o ON {same}
-                  WINDOW inside AS (PARTITION BY {listed(f"t.{c}" for c in [*self.s, BUCKET])} ORDER BY t._t DESC
-                                    {frame} CURRENT ROW))"""
+            b = sql(f"SELECT {keys}, {listed(f'sum({c}) AS {c}' for c in sums)} FROM {{t}} GROUP BY {keys}", t=t)
+            o = sql(
+                f"""SELECT {keys}, {listed(f"coalesce(sum({c}) OVER later, 0D) AS {c}" for c in sums)}
+                    FROM {{b}} WINDOW later AS ({within}ORDER BY {BUCKET} DESC {frame} 1 PRECEDING)""",
+                b=b,
+            )
+            risk = sql(
+                f"""SELECT {listed(f"t.{c}" for c in kept)}, {listed(f"o.{c} + sum(t.{c}) OVER inside AS {c}" for c in sums)}
+                    FROM {{t}} t JOIN {{o}} o ON {same}
+                    WINDOW inside AS (PARTITION BY {listed(f"t.{c}" for c in [*self.s, BUCKET])} ORDER BY t._t DESC
+                                      {frame} CURRENT ROW)""",
+                t=t, o=o,
+            )
         else:
-            running = f"""
-            risk AS (SELECT {listed(kept)}, {listed(f"sum({c}) OVER inside AS {c}" for c in sums)}
-                  FROM t WINDOW inside AS ({within}ORDER BY _t DESC {frame} CURRENT ROW))"""
-        text = f"""
-            WITH r AS ({self._rows(beta)}),
-            t AS (SELECT {keys}, _t, {listed(f"sum({e}) AS {c}" for c, e in (sums | fixed).items())}
-                  FROM r GROUP BY {keys}, _t),
-            {running}
-            {self._tied()}"""
-        return self.spark.sql(text, patterns=self.patterns)
+            risk = sql(
+                f"""SELECT {listed(kept)}, {listed(f"sum({c}) OVER inside AS {c}" for c in sums)}
+                    FROM {{t}} WINDOW inside AS ({within}ORDER BY _t DESC {frame} CURRENT ROW)""",
+                t=t,
+            )
+        return sql(self._tied(), risk=risk)
 
     def _tied(self) -> str:
         """SQL text adding f1 = sum f, a1 = sum a f, f2 = sum f2, a2 = sum a f2, b2 = sum a2 f2, gl = sum log 1/f.
@@ -150,7 +155,7 @@ class _Problem:
         ev = lambda f: f"CASE WHEN d > 0 THEN {f} ELSE 0D END"
         if self.ties == "breslow":
             return f"""SELECT *, {ev("d / s0")} AS f1, {ev("d / (s0 * s0)")} AS f2, 0D AS a1, 0D AS a2, 0D AS b2,
-                {ev("d * ln(s0)")} AS gl, {ev("dw / d")} AS wbar FROM risk"""
+                {ev("d * ln(s0)")} AS gl, {ev("dw / d")} AS wbar FROM {{risk}}"""
         fold = lambda f: f"aggregate(args, 0D, (acc, v) -> acc + {f})"
         far = lambda f: f"CASE WHEN lo > 0 THEN {f} ELSE 0D END"
         g1 = far(
@@ -179,7 +184,7 @@ class _Problem:
                                CASE WHEN d > 0 THEN transform(sequence(CAST(lo AS INT), CAST(d AS INT) - 1), l -> c - l)
                                     ELSE array() END AS args
                         FROM (SELECT *, CASE WHEN d > 0 THEN d * s0 / d0 ELSE 1D END AS c,
-                                     CASE WHEN d > {_DIRECT} THEN d - {_TAIL} ELSE 0D END AS lo FROM risk)))"""
+                                     CASE WHEN d > {_DIRECT} THEN d - {_TAIL} ELSE 0D END AS lo FROM {{risk}})))"""
 
     def info_expr(self, j: int, k: int) -> str:
         return (

@@ -316,3 +316,15 @@ def test_logrank_of_many_groups(spark):
     at = [int(r.level) for r in rows]
     assert len(rows) == 10 and np.allclose([r.expected for r in rows], expected[at]) and np.allclose([r.variance for r in rows], np.diag(cov)[at])
     assert rows[0].chisq == pytest.approx(gap @ np.linalg.solve(cov[:9, :9], gap), rel=1e-8)
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_cox_on_cached_sorted_rows(spark, monkeypatch, cut):
+    if cut:
+        monkeypatch.setattr(cx, "_WHOLE", 3)
+    df = survival_data()
+    rows = spark.createDataFrame(df).orderBy("t").cache()
+    rows.count()
+    fit = cx.cox(rows, "t", "e", ["a", "b"], weight="w")
+    rows.unpersist()
+    assert np.allclose(fit.beta, newton(df, ["a", "b"], weight="w"), atol=1e-6)
