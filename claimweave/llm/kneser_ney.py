@@ -1,7 +1,9 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark and mapped into memory by the workers that score.
 
-The model is a bigram model (order 2) over words of the text and an end mark. Bigrams seen once are pruned: their
-mass goes to the back-off weight, so the model stays a proper distribution. Unigram probabilities come from the number
+The model is a bigram model (order 2) over words of the text and an end mark. Every bigram is stored, also those seen
+once; ``fit`` prunes rarer ones only if asked to, and then their mass goes to the back-off weight, so that the model
+stays a proper distribution. Pairs are dealt by ranges of their hashes once, and summed, sorted and written there.
+Unigram probabilities come from the number
 of distinct words before a word, interpolated with the uniform distribution over the vocabulary and one unknown word.
 All tables are sorted arrays of 64-bit hashes with their values, written by executors to the shared folder, one file
 for each range of hashes. A worker maps the files and looks up sorted hashes, so its memory does not grow with the model.
@@ -92,7 +94,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _word_counts(folder: str, files: list[dict], d2: tuple[float, float, float]):
     """(g, n, types, kept) for words: occurrences; distinct contexts; discounted counts of kept bigrams it begins.
 
-    A bigram that was kept adds 1 / n to its word's contexts at each of its n occurrences, one seen once adds 1.
+    A bigram that was kept adds 1 / n to its word's contexts at each of its n occurrences, a pruned one was seen once and adds 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +142,48 @@ def _write(folder: str, names: list[str]):
     return run
 
 
+def _write_counts(folder: str, least: int):
+    """As ``_write`` for (g, n) with n of ``least`` or more; also (all tokens; pairs seen 1 to 4 times) as seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(5)
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, pair = batch.column("n").to_numpy(), batch.column("g").to_numpy() != _signed(TOTAL)
+                seen[0] += n[~pair].sum()
+                seen[1:] += np.bincount(np.minimum(n[pair], 5).astype(np.int64), minlength=6)[1:5]
+                yield batch.filter(pa.array(pair & (n >= least)))
+
+        names = ["first", "last", "rows", "file"]
+        found = list(_write(folder, ["n"])(kept()))
+        columns = found[0].columns if found else [pa.array([None], t) for t in (pa.string(), pa.string(), pa.int64(), pa.string())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([seen.tolist()])], [*names, "seen"])
+
+    return run
+
+
+def _files(found: list) -> list[dict]:
+    return sorted(({"first": int(r["first"]), "last": int(r["last"]), "rows": r["rows"], "file": r["file"]} for r in found), key=lambda f: f["first"])
+
+
+def _store_counts(rows: DataFrame, folder: str, least: int) -> tuple[list[dict], np.ndarray]:
+    """Sum ``rows(g, n)`` and write them sorted by hash; the files in order of hashes, and what was seen in all."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # equal ranges of hashes are equal shares of the pairs: one shuffle, without a sample
+    part = F.expr(f"CAST(((shiftright(g, 32) + 2147483648) * {parts}) DIV 4294967296 AS INT)")
+    dealt = rows.withColumn("part", part).repartitionById(parts, "part").groupBy("part", "g").agg(F.sum("n").alias("n"))
+    dealt = dealt.select("g", "n").sortWithinPartitions("g")
+    found = dealt.mapInArrow(_write_counts(folder, least), "first string, last string, rows long, file string, seen array<double>").collect()  # one row a file
+    return _files([r for r in found if r["file"]]), sum((np.array(r["seen"]) for r in found), np.zeros(5))
+
+
 def _store(rows: DataFrame, folder: str, names: list[str]) -> list[dict]:
     """Write ``rows(g, names)`` sorted by hash; one entry for each file, in order of its hashes."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "g").sortWithinPartitions("g")
     found = ordered.mapInArrow(_write(folder, names), "first string, last string, rows long, file string").collect()  # one row a file
-    return sorted(({"first": int(r["first"]), "last": int(r["last"]), "rows": r["rows"], "file": r["file"]} for r in found), key=lambda f: f["first"])
+    return _files(found)
 
 
 @dataclass
@@ -211,21 +249,20 @@ def _discounted(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.where(n == 1, d[0], np.where(n == 2, d[1], d[2]))
 
 
-def fit(docs: DataFrame) -> str:
-    """Count and store the model of ``docs(text)``; the path of its description. Null texts are empty texts."""
+def fit(docs: DataFrame, least: int = 2) -> str:
+    """Count and store the model of ``docs(text)``; the path of its description. Null texts are empty texts.
+
+    Bigrams seen fewer than ``least`` times (1 or 2) are pruned; 1 keeps all and gives the full model.
+    """
+    if least not in (1, 2):
+        raise ValueError("only bigrams seen once can be pruned")
     spark = docs.sparkSession
     small_batches(spark)
     folder = posix_dir(spark, "kneser-ney")
     os.makedirs(folder)
-    counted = docs.mapInArrow(_pair_counts, "g long, n double").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
-    counted = staged(counted, "bigrams")
-    total = counted.where(F.col("g") == _signed(TOTAL)).first()
-    kept = counted.where(F.col("g") != _signed(TOTAL))
-    tokens = int(total["n"]) if total else docs.count()  # one token at most: an empty text's end
-    histogram = _histogram(kept, "n")
-    histogram[1] = tokens - int(kept.agg(F.sum("n")).first()[0] or 0)
-    d2 = _discounts(histogram)
-    model = {"n": tokens, "v": 0, "d2": d2, "pairs": _store(kept, folder, ["n"]), "words": []}
+    pairs, seen = _store_counts(docs.mapInArrow(_pair_counts, "g long, n double"), folder, least)
+    d2 = _discounts(dict(enumerate(seen.tolist())))
+    model = {"n": int(seen[0]), "v": 0, "d2": d2, "pairs": pairs, "words": []}
     words = docs.mapInArrow(_word_counts(folder, model["pairs"], d2), "g long, n double, types double, kept double")
     words = words.groupBy("g").agg(F.sum("n").alias("n"), F.round(F.sum("types")).alias("c"), F.sum("kept").alias("kept"))
     words = staged(words, "words")
