@@ -154,6 +154,11 @@ def _fine(shared):
                 line, kind, key = (np.concatenate(c) for c in (lines, kinds, keys))
                 own = np.unique(line)
                 line, kind, key = np.append(line, own), np.append(kind, np.full(len(own), _TEXT)), np.append(key, x.a[own])
+                rank = np.empty(len(x.a), np.int64)
+                rank[np.lexsort((x.number, ids[x.owner]))] = np.arange(len(rank))
+                if np.any(rank[1:] < rank[:-1]):  # rows need not ascend by id; of a line's copies the earliest is kept
+                    order = np.argsort(rank[line], kind="stable")
+                    line, kind, key = line[order], kind[order], key[order]
                 with np.errstate(over="ignore"):
                     _, first = np.unique(mix(key + mix(x.a[line] * BASE + kind.astype(_U))), return_index=True)
                 line, kind, key = line[first], kind[first], key[first]

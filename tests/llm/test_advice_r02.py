@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm import kneser_ney, queries
+from claimweave.llm import kneser_ney, line_dedup, queries
+from test_llm_operators import brute_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +41,14 @@ def test_language_model_keeps_bigrams_seen_once(spark):
     for i, w in tokens.items():
         assert np.isclose(got[i].score, sum(np.log10(chance(*p)) for p in zip([0, *w[:-1]], w)))
     assert np.isclose(sum(chance("the", x) for x in types) + chance("the", "?"), 1)
+
+
+def test_lines_of_rows_in_descending_order(spark):
+    """The earliest copy of a line stands for it, in whatever order the rows of a file are."""
+    line = "alpha beta gamma delta epsilon zeta"
+    rows = [(9, f"nine\n{line}"), (5, "alpha beta gamma other epsilon zeta"), (3, f"three\n{line}"), (2, "two"), (1, "alpha beta gamma delta zeta\none")]
+    for some in (rows, rows[:-1]):
+        docs = spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == brute_lines(some)
+    mixed = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select(F.col("doc_id"), "text").orderBy(F.desc("doc_id")).coalesce(1)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(mixed).collect()} == brute_lines([(r.doc_id, r.text) for r in mixed.collect()])
