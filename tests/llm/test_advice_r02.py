@@ -1,14 +1,14 @@
 """What the second review found missing, each against brute force on a case where the earlier code fell short."""
 
 import collections
+import tracemalloc
 import zlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm import kneser_ney, line_dedup, queries
-from test_llm_operators import brute_lines
+from claimweave.llm import bpe, kneser_ney, line_dedup, queries
+from test_llm_operators import brute_lines, public, tokenizers
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +52,19 @@ def test_lines_of_rows_in_descending_order(spark):
         assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == brute_lines(some)
     mixed = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select(F.col("doc_id"), "text").orderBy(F.desc("doc_id")).coalesce(1)
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(mixed).collect()} == brute_lines([(r.doc_id, r.text) for r in mixed.collect()])
+
+
+def test_long_runs_among_failing_words():
+    """A run of 20,000 letters costs no wide grid for the other words, and merges as the tokenizer does."""
+    path = public.path("word_bpe_49k.json")
+    tokenizer, v, rng = tokenizers.Tokenizer.from_file(path), bpe.Vocabulary(path), np.random.default_rng(5)
+    spell = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    words = [spell(20_000), "a" * 9_999, *(spell(int(n)) for n in rng.integers(5, 700, 300))]
+    ids, _ = next(iter(v.encode_texts([" ".join(words)])))
+    assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    symbols = [v.byte_ids[0, np.frombuffer(w.encode(), np.uint8)] for w in [words[0], *(spell(20) for _ in range(3000))]]
+    tracemalloc.start()
+    v.merged(symbols)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
