@@ -29,7 +29,7 @@ HALF = 0.75  # share of a group that an estimate rests on
 STEPS = 3
 MIN_GROUP = 200
 CHI2_MEDIAN = 4.351  # of five degrees of freedom
-CUTOFF = 60.0  # squared distance; under a normal distribution less than one in 10^11 lies beyond
+CUTOFF = 20.515  # squared distance: the 99.9 % point of chi-square of five degrees of freedom
 FLOOR = (0.3, 0.05, 0.02, 0.1, 0.1)  # least standard deviation of each statistic, so that constant ones reject nothing
 _P = 5
 _SMALL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"

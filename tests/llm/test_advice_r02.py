@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from claimweave.llm import bpe, kneser_ney, line_dedup, queries
+from claimweave.llm import bpe, kneser_ney, line_dedup, quality_rules, queries
 from test_llm_operators import brute_lines, public, tokenizers
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +54,19 @@ def test_lines_of_rows_in_descending_order(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(mixed).collect()} == brute_lines([(r.doc_id, r.text) for r in mixed.collect()])
 
 
+def test_moderate_outliers_are_rejected(spark):
+    """A tenth of symbols, or repeated lines in most places, is far from ordinary texts; ordinary texts stay."""
+    rng = np.random.default_rng(3)
+    size = lambda: int(rng.integers(60, 260))
+    plain = [(i, " ".join(f"word{w}" for w in rng.integers(0, 5000, size())), "en", "s") for i in range(600)]
+    signs = [(1000 + i, " ".join(f"word{w}$" for w in rng.integers(0, 5000, 150)), "en", "s") for i in range(8)]
+    lines = [(2000 + i, "\n".join(["same"] * 14 + [" ".join(f"word{w}" for w in rng.integers(0, 5000, 30)) for _ in range(6)]), "en", "s") for i in range(8)]
+    rows = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(plain + signs + lines, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert {i for i, r in rows.items() if i >= 1000 and r.kept} == set()
+    assert sum(not rows[i].kept for i in range(600)) <= 6
+
+
 def test_long_runs_among_failing_words():
     """A run of 20,000 letters costs no wide grid for the other words, and merges as the tokenizer does."""
     path = public.path("word_bpe_49k.json")
