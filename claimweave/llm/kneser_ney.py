@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark and mapped into memory by the workers that score.
 
-The model is a bigram model (order 2) over words of the text and an end mark. Every bigram is stored, also those seen
-once; ``fit`` prunes rarer ones only if asked to, and then their mass goes to the back-off weight, so that the model
-stays a proper distribution. Pairs are dealt by ranges of their hashes once, and summed, sorted and written there.
+The model is a bigram model (order 2) over words of the text and an end mark. With ``least=1``, as in the registered
+query, every bigram is stored; by default those seen once are pruned and their mass goes to the back-off weight, so
+that the model stays a proper distribution. Pairs are dealt by ranges of their hashes once, summed, sorted and written.
 Unigram probabilities come from the number
 of distinct words before a word, interpolated with the uniform distribution over the vocabulary and one unknown word.
 All tables are sorted arrays of 64-bit hashes with their values, written by executors to the shared folder, one file
