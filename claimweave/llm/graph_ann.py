@@ -124,6 +124,7 @@ def _search(k: int):
         graph, start = build(x)
         norms = (x**2).sum(1)
         own, members = ask["id"].to_numpy(), index["ids"].to_numpy()
+        smallest = np.array([ids[0] for ids in members])
         rows = []
         for at in range(0, len(ask), BLOCK):
             q = np.stack(ask["vector"].to_numpy()[at : at + BLOCK]).astype(float)
@@ -131,9 +132,9 @@ def _search(k: int):
             for vector, name, near in zip(q, own[at : at + BLOCK], found):
                 near = near[near >= 0]
                 score = np.sqrt(((exact[near] - vector) ** 2).sum(1))
-                order = np.argsort(score, kind="stable")[: k + 1]
-                cut = np.searchsorted(score[order], score[order[-1]], "right")
-                rows += [(name, list(members[near[i]]), score[i]) for i in order[:cut]]
+                # Of classes at one distance those with the smallest ids come first, over all that the beam holds.
+                order = np.lexsort((smallest[near], score))[: k + 1]
+                rows += [(name, list(members[near[i]]), score[i]) for i in order]
         return pd.DataFrame(rows, columns=["query_id", "ids", "score"])
 
     return run

@@ -235,6 +235,26 @@ def test_graph_search_odd(spark):
     assert graph_ann.nearest(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_graph_search_ties_and_clusters(spark):
+    """Thirty vectors at one distance: the smallest ids win. Tight clusters: recall of at least 0.9."""
+    rows = [(99, [0.0] * 32 + [1.0])] + [(int(i), [3.0 * (j == n) for j in range(32)] + [1.0]) for n, i in enumerate(np.random.default_rng(6).permutation(30))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = graph_ann.nearest(df, df.where("vec_id = 99")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in out] == [(i, 3.0) for i in range(10)]
+    rng = np.random.default_rng(9)
+    x = (rng.normal(0, 1, (25, 1, 16)) + rng.normal(0, 0.02, (25, 100, 16))).reshape(-1, 16).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in graph_ann.nearest(df, df.where("vec_id % 25 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 25):
+        far = ((x.astype(float) - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(set(np.argsort(far)[:10].tolist()) & got[q])
+    assert hits >= 0.9 * len(x) / 25 * 10
+
+
 @pytest.mark.parametrize(("classify", "label"), [(gam.classify, "quality"), (text_cnn.classify, "toxic")])
 def test_classifiers(spark, odd, classify, label):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
