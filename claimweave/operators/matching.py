@@ -7,10 +7,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from claimweave.operators.ordered import BUCKET, hash_buckets, null_safe_join, random_rank, value_buckets
+from claimweave.operators.ordered import BUCKET, hash_buckets, null_safe_join, random_rank, running_sums, value_buckets
 from claimweave.session import ensure_checkpoint_dir
 
 
@@ -58,18 +57,14 @@ def frequency_match(
 
 
 _FLOW = "seg int, t_ps double, c_ps double, t_from long, c_from long, k long"
-_PEEK = -1  # k of the marker row of a segment that needs to see more controls
 
 
 def _nearest_free(pdf: pd.DataFrame, caliper: float) -> pd.DataFrame:
     """Serve the treated values of one segment, highest score first, from the nearest free controls.
 
     Rows are distinct scores with the number of treated, of controls and of controls already used. Two
-    arrays of links lead from a score to the nearest score above or below that still has controls. The
-    segment sees all controls between ``edge_lo`` and ``edge_hi``; if one outside could be nearer than
-    the best inside, a marker row asks for a wider view.
+    arrays of links lead from a score to the nearest score above or below that still has controls.
     """
-    edge_lo, edge_hi = float(pdf["edge_lo"].iloc[0]), float(pdf["edge_hi"].iloc[0])
     pdf = pdf.groupby("ps", as_index=False).agg(n_t=("n_t", "sum"), n_c=("n_c", "sum"), used=("used", "sum"))
     pdf = pdf.sort_values("ps", ignore_index=True)
     ps, need, used = pdf["ps"].to_numpy(), pdf["n_t"].to_numpy(), pdf["used"].to_numpy().copy()
@@ -95,9 +90,6 @@ def _nearest_free(pdf: pd.DataFrame, caliper: float) -> pd.DataFrame:
             gap_above = ps[above] - ps[i] if above < size else math.inf
             gap_below = ps[i] - ps[below] if below >= 0 else math.inf
             j, gap = (above, gap_above) if gap_above <= gap_below else (below, gap_below)
-            unseen = min(ps[i] - edge_lo, edge_hi - ps[i])
-            if gap > unseen and unseen < caliper:
-                return pd.DataFrame([(ps[i], ps[i], 0, 0, _PEEK)], columns=["t_ps", "c_ps", "t_from", "c_from", "k"])
             if not math.isfinite(gap) or gap > caliper:
                 break
             take = min(left, int(free[j]))
@@ -119,55 +111,127 @@ def _segment_flows(groups: DataFrame, caliper: float) -> DataFrame:
     return groups.groupBy("seg").applyInPandas(serve, _FLOW)
 
 
-def _match_values(values: DataFrame, caliper: float, distinct: int, per_segment: int) -> DataFrame:
-    """Flows ``k`` treated of one score to controls of another, equal to the serial greedy rule.
+def _views(state: DataFrame, wave: DataFrame, step: int) -> DataFrame:
+    """Controls that the segments of a wave can need: (seg, ps, n_c, used).
+
+    ``state(ps, n_c, used, free, above)`` holds free units and those at or above each score; ``wave(seg, need, over,
+    upto)`` the units that may be needed on each side, those above the segment's treated, and those down to their
+    lowest. A control is in view if fewer than ``need`` free units lie between it and the treated. Both sides are
+    cut into steps of ``step`` units, so this is an equi-join.
+    """
+    lo, hi = F.greatest(F.col("over") - F.col("need"), F.lit(0)), F.col("upto") + F.col("need")
+    at = lambda c: F.floor(c / step).cast("long")
+    wanted = wave.select("seg", lo.alias("_lo"), hi.alias("_hi"), F.explode(F.sequence(at(lo), at(hi))).alias("_at"))
+    first = F.col("above") - F.col("free")
+    placed = state.filter("free > 0").select("ps", "n_c", "used", first.alias("_first"), F.col("above").alias("_last"))
+    # A score with many free units spans several steps; it is offered to a segment once, at the first they share.
+    placed = placed.withColumn("_at", F.explode(F.sequence(at(F.col("_first")), at(F.col("_last") - 1))))
+    inside = (F.col("_first") < F.col("_hi")) & (F.col("_last") > F.col("_lo"))
+    once = F.col("_at") == F.greatest(at(F.col("_first")), at(F.col("_lo")))
+    return placed.join(wanted, "_at").filter(inside & once).select("seg", "ps", "n_c", "used")
+
+
+def _solve_wave(treated: DataFrame, offered: DataFrame, segments: int, caliper: float) -> DataFrame:
+    """Flows of the segments of one wave, served in order of ``seg``.
 
-    Scores are cut into segments. Treated are served from high to low, so a segment depends only on the
-    controls used by higher segments. All segments are solved at once from the usage of the last round
-    until no usage changes; by then the top segment is right, hence the next, and so on. A segment sees
-    its own and the neighbouring segments' controls, and twice as many each time it asks for more.
+    All are solved at once from what the segments before them used in the last round, until nothing changes. The
+    r-th segment is right after r rounds at the latest.
     """
-    inf = F.lit(math.inf)
     zero = F.lit(0).cast("long")
-    if distinct <= per_segment:
-        one = values.select(F.lit(0).alias("seg"), "ps", "n_t", "n_c", zero.alias("used"), (-inf).alias("edge_lo"), inf.alias("edge_hi"))
-        return _segment_flows(one, caliper)
-    spark = values.sparkSession
-    ensure_checkpoint_dir(spark)
-    cut = value_buckets(values, "ps", math.ceil(distinct / per_segment)).withColumnRenamed(BUCKET, "seg").checkpoint()
-    treated = cut.filter("n_t > 0").select("seg", "ps", "n_t")
-    controls = cut.filter("n_c > 0").select("seg", "ps", "n_c")
-    # One row per segment reaches the driver: their number is distinct / per_segment.
-    ends = {r["seg"]: (r["lo"], r["hi"]) for r in cut.groupBy("seg").agg(F.min("ps").alias("lo"), F.max("ps").alias("hi")).collect()}
-    order = sorted(ends)
-    view = {seg: 1 for seg in order}
-    own = spark.createDataFrame([], "seg int, ps double, own long")
-    higher = W.partitionBy("ps").orderBy(F.col("seg").desc()).rowsBetween(W.unboundedPreceding, -1)
-    while True:
-        rows = []
-        for i, seg in enumerate(order):
-            first, last = i - view[seg], i + view[seg]
-            lo = ends[order[first]][0] if first > 0 else -math.inf
-            hi = ends[order[last]][1] if last < len(order) - 1 else math.inf
-            rows += [(seg, s, lo, hi) for s in order[max(first, 0) : last + 1]]
-        seen = spark.createDataFrame(rows, "to int, seg int, edge_lo double, edge_hi double")
-        edges = seen.select(F.col("to").alias("seg"), "edge_lo", "edge_hi").distinct()
-        offered = controls.join(seen, "seg").select(F.col("to").alias("seg"), "ps", "n_c", "edge_lo", "edge_hi")
+    asking = treated.select("seg", "ps", "n_t", zero.alias("n_c"), zero.alias("used"))
+    if segments == 1:
+        return _segment_flows(asking.unionByName(offered.select("seg", "ps", zero.alias("n_t"), "n_c", "used")), caliper).checkpoint()
+    offered = offered.checkpoint()
+    own = treated.sparkSession.createDataFrame([], "seg int, ps double, own long")
+    before = W.partitionBy("ps").orderBy("seg").rowsBetween(W.unboundedPreceding, -1)
+    for _ in range(segments):
         state = offered.join(own, ["seg", "ps"], "left")
-        used = F.least(F.coalesce(F.sum("own").over(higher), zero), F.col("n_c"))
-        groups = treated.join(edges, "seg").select("seg", "ps", "n_t", zero.alias("n_c"), zero.alias("used"), "edge_lo", "edge_hi")
-        groups = groups.unionByName(state.select("seg", "ps", zero.alias("n_t"), "n_c", used.alias("used"), "edge_lo", "edge_hi"))
+        used = F.least(F.col("used") + F.coalesce(F.sum("own").over(before), zero), F.col("n_c"))
+        groups = asking.unionByName(state.select("seg", "ps", zero.alias("n_t"), "n_c", used.alias("used")))
         flows = _segment_flows(groups, caliper).checkpoint()
-        asking = [r["seg"] for r in flows.filter(F.col("k") == _PEEK).select("seg").distinct().collect()]
-        for seg in asking:
-            view[seg] *= 2
-        now = flows.filter("k > 0").groupBy("seg", F.col("c_ps").alias("ps")).agg(F.sum("k").alias("now"))
-        both = own.join(now, ["seg", "ps"], "full").select(
-            "seg", "ps", F.coalesce("own", zero).alias("own"), F.coalesce("now", zero).alias("now")
-        )
-        if not asking and both.filter("now <> own").isEmpty():
-            return flows
-        own = both.filter("now > 0").select("seg", "ps", F.col("now").alias("own")).checkpoint()
+        now = flows.groupBy("seg", F.col("c_ps").alias("ps")).agg(F.sum("k").alias("now"))
+        both = own.join(now, ["seg", "ps"], "full")
+        if both.filter("NOT own <=> now").isEmpty():
+            break
+        own = now.withColumnRenamed("now", "own").checkpoint()
+    return flows
+
+
+def _heavy_flows(state: DataFrame, score: float, units: int, caliper: float) -> DataFrame:
+    """Flows of one score with very many treated: its nearest free units, by running sums over the distance."""
+    near = state.filter("free > 0").withColumn("_dist", F.abs(F.col("ps") - F.lit(score))).filter(F.col("_dist") <= caliper)
+    near = near.checkpoint()
+    rings = near.groupBy("_dist").agg(F.sum("free").alias("_f"))
+    rings = running_sums(value_buckets(rings, "_dist"), [], "_dist", {"_inner": "_f"}, inclusive=False).select("_dist", "_inner")
+    # At one distance lie at most two scores; the higher is taken first.
+    pair = W.partitionBy("_dist").orderBy(F.col("ps").desc()).rowsBetween(W.unboundedPreceding, -1)
+    first = F.col("_inner") + F.coalesce(F.sum("free").over(pair), F.lit(0))
+    taken = near.join(rings.filter(F.col("_inner") < units), "_dist").withColumn("t_from", first.cast("long"))
+    return taken.filter(F.col("t_from") < units).select(
+        F.lit(0).alias("seg"), F.lit(score).alias("t_ps"), F.col("ps").alias("c_ps"), "t_from", F.col("used").cast("long").alias("c_from"),
+        F.least(F.col("free"), units - F.col("t_from")).cast("long").alias("k"),
+    ).checkpoint()
+
+
+def _match_values(values: DataFrame, caliper: float, per_segment: int, wave: int) -> DataFrame:
+    """Flows ``k`` treated of one score to controls of another, equal to the serial greedy rule.
+
+    Scores are cut from the top into segments of at most ``per_segment`` controlled scores and about as many treated
+    units. Treated are served from high to low, so a segment depends on higher ones only. ``wave`` segments are solved
+    at a time; what they used is then settled. On either side a segment can use no more units than the treated of its
+    wave down to its own, so that many free units are all it needs to see: no group grows with the data, also where
+    controls are exhausted over a long range of scores. A score with more treated than a segment may hold is a step
+    of its own, without any group.
+    """
+    spark = values.sparkSession
+    ensure_checkpoint_dir(spark)
+    zero = F.lit(0).cast("long")
+    size = values.agg(F.sum("n_t").alias("t"), F.count_if(F.col("n_c") > 0).alias("c")).first()
+    if (size["t"] or 0) + size["c"] <= per_segment:
+        # All scores are one segment.
+        every = values.select(F.lit(0).alias("seg"), "ps", "n_t", "n_c", zero.alias("used"))
+        return _solve_wave(every, every.filter("n_c > 0"), 1, caliper)
+    cut = value_buckets(values, "ps")
+    heavy = f"n_t > {per_segment}"
+    costs = {"_cost": f"CASE WHEN {heavy} THEN 0 ELSE n_t END + CAST(n_c > 0 AS INT)", "_phase": f"CAST({heavy} AS INT)"}
+    # A heavy score closes a phase; light segments do not reach across it.
+    placed = running_sums(cut, [], "ps", costs, descending=True, inclusive=False)
+    placed = placed.withColumn("_seg", F.floor(F.col("_cost") / per_segment)).withColumn("_heavy", F.expr(heavy)).checkpoint()
+    light = placed.filter("n_t > 0 AND NOT _heavy").groupBy("_phase", "_seg").agg(
+        F.sum("n_t").alias("m"), F.min("ps").alias("lo"), F.max("ps").alias("hi")
+    )
+    # One row per segment and per heavy score reaches the driver.
+    segments = sorted((r["_phase"], r["_seg"], r["m"], r["lo"], r["hi"]) for r in light.collect())
+    heavies = {r["_phase"]: (r["ps"], r["n_t"]) for r in placed.filter("_heavy").select("_phase", "ps", "n_t").collect()}
+    steps: list[list[tuple] | tuple] = []
+    for phase in sorted({s[0] for s in segments} | set(heavies)):
+        own = [s for s in segments if s[0] == phase]
+        steps += [own[i : i + wave] for i in range(0, len(own), wave)]
+        steps += [heavies[phase]] if phase in heavies else []
+    settled = spark.createDataFrame([], "ps double, used long")
+    done: list[DataFrame] = []
+    for step in steps:
+        state = placed.join(settled, "ps", "left").withColumn("used", F.coalesce("used", zero))
+        state = state.withColumn("free", F.col("n_c") - F.col("used"))
+        if isinstance(step, tuple):
+            flows = _heavy_flows(state, step[0], step[1], caliper)
+        else:
+            ranked = running_sums(state.drop("_cost"), [], "ps", {"above": "free"}, descending=True).checkpoint()
+            needs = np.cumsum([s[2] for s in step]).tolist()
+            listed = spark.createDataFrame(
+                [(i, s[0], s[1], n) for i, (s, n) in enumerate(zip(step, needs))], "seg int, _phase long, _seg long, need long"
+            )
+            treated = ranked.filter("n_t > 0 AND NOT _heavy").join(listed, ["_phase", "_seg"])
+            ends = treated.groupBy("seg", "need").agg(F.min(F.col("above") - F.col("free")).alias("over"), F.max("above").alias("upto"))
+            offered = _views(ranked, ends, max(1, needs[-1]))
+            flows = _solve_wave(treated.select("seg", "ps", "n_t"), offered, len(step), caliper)
+        done.append(flows)
+        used = flows.groupBy(F.col("c_ps").alias("ps")).agg(F.sum("k").alias("used"))
+        settled = settled.unionByName(used).groupBy("ps").agg(F.sum("used").alias("used")).checkpoint()
+    out = spark.createDataFrame([], _FLOW)
+    for flows in done:
+        out = out.unionByName(flows)
+    return out
 
 
 def ps_match(
@@ -178,7 +242,8 @@ def ps_match(
     caliper_sd: float | None = 0.2,
     caliper: float | None = None,
     seed: int = 0,
-    per_segment: int = 50_000,
+    per_segment: int = 20_000,
+    wave: int = 16,
     chunk: int = 10_000,
 ) -> DataFrame:
     """1:1 nearest-neighbour matching without replacement, treated served in descending score.
@@ -186,7 +251,8 @@ def ps_match(
     The caliper is ``caliper_sd`` sample standard deviations of the score, or ``caliper`` in score units.
     Persons with equal scores are interchangeable, so the greedy rule runs on distinct scores with counts
     and its result is expanded back to persons by rank. Returns two rows per pair: the columns ``id``,
-    ``treat``, ``ps``, the ``pair_id`` (the treated person's id) and a unit weight.
+    ``treat``, ``ps``, the ``pair_id`` (the treated person's id) and a unit weight. ``per_segment`` scores make one
+    group of work, which sees at most ``2 * wave * per_segment`` more units around it; results do not depend on either.
     """
     rows = df.select(F.col(id).alias("_id"), F.col(treat).alias("_t"), F.col(ps).cast("double").alias("ps"))
     rows = rows.filter(F.col("_t").isin(0, 1) & F.col("ps").isNotNull())
@@ -197,8 +263,8 @@ def ps_match(
     values = rows.groupBy("ps").agg(
         F.count_if(F.col("_t") == 1).alias("n_t"), F.count_if(F.col("_t") == 0).alias("n_c")
     )
-    values = values.persist(StorageLevel.MEMORY_AND_DISK)
-    flows = _match_values(values, caliper, values.count(), per_segment)
+    ensure_checkpoint_dir(df.sparkSession)
+    flows = _match_values(values.checkpoint(), caliper, per_segment, wave)
     # Flows to pairs in two steps, so that a flow of very many persons is spread before it is unrolled.
     starts = flows.select(
         "t_ps", "c_ps", "t_from", "c_from", "k",

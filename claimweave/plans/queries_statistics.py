@@ -416,9 +416,9 @@ def psm_pairs(spark: SparkSession, sf: str) -> DataFrame:
     SELECT s.id, tid AS pair_id, treat, ps, 1.0::DOUBLE AS weight FROM pr JOIN s ON s.id = pr.tid OR s.id = pr.cid""",
 )
 def psm_given_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest-neighbour pairs on a score with many equal values."""
+    """Nearest-neighbour pairs on a score with many equal values, in segments of 50 scores."""
     score = F.floor((F.col("balance") + 1000) / 110) / 100
-    return matching.ps_match(survival_frame(spark, sf).withColumn("ps", score), "id", "treat", "ps")
+    return matching.ps_match(survival_frame(spark, sf).withColumn("ps", score), "id", "treat", "ps", per_segment=50, wave=8)
 
 
 @query(

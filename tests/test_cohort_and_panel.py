@@ -183,6 +183,25 @@ def test_nearest_neighbour_with_one_score_for_a_third_of_all(spark):
     assert {r.pair_id: r.id for r in out if r.t == 0} == greedy_pairs(rows, 0.02)
 
 
+@pytest.mark.parametrize("treated_above", [True, False])
+def test_groups_stay_bounded_where_controls_run_out(spark, monkeypatch, treated_above):
+    """All treated on one side of all controls: long exhausted ranges, yet no group beyond the set bound."""
+    sizes, solve = [], matching._segment_flows
+
+    def noting(groups, caliper):
+        sizes.append(groups.groupBy("seg").count().agg({"count": "max"}).first()[0])
+        return solve(groups, caliper)
+
+    monkeypatch.setattr(matching, "_segment_flows", noting)
+    rows = [(f"t{i}", 1, (200 + i if treated_above else i) / 512) for i in range(120)]
+    rows += [(f"c{i}", 0, (i if treated_above else 200 + i) / 512) for i in range(150)]
+    df = spark.createDataFrame(rows, "id string, t int, ps double")
+    per_segment, wave = 12, 3
+    out = matching.ps_match(df, "id", "t", "ps", caliper=0.45, per_segment=per_segment, wave=wave).collect()
+    assert {r.pair_id: r.id for r in out if r.t == 0} == greedy_pairs(rows, 0.45)
+    assert len(sizes) > 5 and max(sizes) <= 2 * per_segment + 2 * wave * 2 * per_segment
+
+
 def test_small_caliper_example(spark):
     rows = [("T1", 1, 0.80), ("T2", 1, 0.78), ("C1", 0, 0.79), ("C2", 0, 0.70)]
     out = matching.ps_match(spark.createDataFrame(rows, "id string, t int, ps double"), "id", "t", "ps", caliper=0.1).collect()
