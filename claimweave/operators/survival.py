@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.functions.tails import Z95, chi2_tail
-from claimweave.operators.ordered import held, running_sums, value_buckets
+from claimweave.operators.ordered import BUCKET, held, running_sums, value_buckets
 
 
 def kaplan_meier(
@@ -85,77 +85,87 @@ def group_levels(df: DataFrame, by: str) -> list:
     return [r[0] for r in df.select(by).dropna().distinct().orderBy(by).collect()]
 
 
-def _hypergeometric(k: int):
-    """Covariance of the k groups' events, summed over a task's times."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k))
-        for batch in batches:
-            risk = batch[[f"r{i}" for i in range(k)]].to_numpy(float)
-            d, r = batch["_d"].to_numpy(float), risk.sum(1)
-            spread = np.where(r > 1, d * (r - d) / np.maximum(r - 1, 1), 0)
-            share = risk / r[:, None]
-            total += np.diag(spread @ share) - (share * spread[:, None]).T @ share
-        yield pd.DataFrame({"v": [total.ravel()]})
-
-    return run
+# Event times in one range of the running sums of the log-rank test.
+_RANGE = 4096
 
 
 def logrank(
     df: DataFrame, time: str, event: str, by: str, levels: Sequence[object] | None = None
 ) -> DataFrame:
-    """Log-rank test of equal survival in k groups, one row per group; the driver holds their k x k covariance."""
+    """Log-rank test of equal survival in k groups, one row per group with the global test on each.
+
+    Times become numbers of event times (a censored person counts up to the last event time before), so that what
+    is at risk changes at whole numbers only. Tables are long, one row per (event time, group). With c(t) the
+    hypergeometric variance per pair at risk and C its running sum, two groups' covariance is minus the sum of
+    C(min(Ti, Tj)) over pairs of persons; it is found from C, the persons of one group per time and the risk set of
+    the other at that time, so rows are never paired within a time. The driver holds the k x k covariance. Groups
+    that expect no events take no part in the degrees of freedom.
+    """
     groups = list(levels) if levels is not None else group_levels(df, by)
     k = len(groups)
     if k < 2:
         raise ValueError("at least two groups are needed")
-    counts = []
-    for i, g in enumerate(groups):
-        here = F.col(by) == F.lit(g)
-        counts += [
-            F.count_if(here).alias(f"n{i}"),
-            F.count_if(here & (F.col(event) == 1)).alias(f"d{i}"),
-        ]
-    times = (
+    spark = df.sparkSession
+    known = spark.createDataFrame(list(enumerate(groups)), f"_g int, _by {df.schema[by].dataType.simpleString()}")
+    counts = (
         df.dropna(subset=[time, event, by])
-        .groupBy(F.col(time).cast("double").alias("time"))
-        .agg(*counts)
-    )
-    risk = running_sums(
-        held(value_buckets(held(times), "time")), [], "time", {f"r{i}": f"n{i}" for i in range(k)}, descending=True
+        .groupBy(F.col(by).alias("_by"), F.col(time).cast("double").alias("time"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(event) == 1).alias("d"))
+        .join(known, "_by")
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    d, r = ("+".join(f"{c}{i}" for i in range(k)) for c in "dr")
-    risk = risk.withColumns({"_d": F.expr(d), "_r": F.expr(r)}).filter("_r > 0")
-    sums = []
-    for i in range(k):
-        sums += [
-            F.expr(f"sum(n{i})").alias(f"N{i}"),
-            F.expr(f"sum(d{i})").alias(f"O{i}"),
-            F.expr(f"sum(_d * r{i} / _r)").alias(f"E{i}"),
-        ]
-    row = risk.agg(*sums).first()
-    observed = np.array([float(row[f"O{i}"] or 0) for i in range(k)])
-    expected = np.array([float(row[f"E{i}"] or 0) for i in range(k)])
-    cells = risk.filter("_d > 0").select("_d", *(f"r{i}" for i in range(k))).mapInPandas(_hypergeometric(k), "v array<double>")
-    cells = cells.select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
-    var = np.zeros(k * k)
-    for cell in cells:
-        var[cell["at"]] = cell["v"]
-    var = var.reshape(k, k)
-    gap = (observed - expected)[: k - 1]
-    chisq = float(gap @ np.linalg.pinv(var[: k - 1, : k - 1]) @ gap)
-    p = chi2_tail(chisq, k - 1)
-    rows = [
-        (
-            str(g), int(row[f"N{i}"] or 0), int(observed[i]), float(expected[i]), float(var[i, i]), chisq, k - 1, p,
+    times = value_buckets(counts.groupBy("time").agg(F.sum("d").alias("d")), "time")
+    nth = running_sums(times, [], "time", {"e": "CAST(d > 0 AS LONG)"}).select("time", "e")
+    cells = counts.join(nth, "time").groupBy("e", "_g").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    cells, dense = cells.persist(StorageLevel.MEMORY_AND_DISK), None
+    try:
+        last = cells.agg(F.max("e")).first()[0] or 0
+        # Every event time with every group, by unrolling the list of groups.
+        grid = spark.range(1, last + 1).select(F.col("id").alias("e"), F.explode(F.array(*map(F.lit, range(k)))).alias("_g"))
+        dense = grid.join(cells, ["e", "_g"], "left").fillna(0, ["n", "d"]).withColumn(BUCKET, F.expr(f"e div {_RANGE}"))
+        dense = running_sums(dense, ["_g"], "e", {"r": "n"}, descending=True).persist(StorageLevel.MEMORY_AND_DISK)
+        both = dense.groupBy("e", BUCKET).agg(F.sum("d").alias("_d"), F.sum("r").alias("_r"))
+        both = both.withColumn("s", F.expr("CASE WHEN _r > 1 THEN _d * (_r - _d) / (_r - 1) ELSE 0D END"))
+        sums = dense.join(both, "e").groupBy("_g").agg(
+            F.expr("sum(_d * r / _r)").alias("expected"),
+            F.expr("sum(s * (r / _r) * (1 - r / _r))").alias("variance"),
+        )
+        totals = cells.groupBy("_g").agg(F.sum("n").alias("n"), F.sum("d").alias("observed"))
+        found = {r["_g"]: r for r in totals.join(sums, "_g", "left").collect()}
+        value = lambda g, c: float(found[g][c] or 0) if g in found else 0.0
+        observed, expected, variance = (
+            np.array([value(g, c) for g in range(k)]) for c in ("observed", "expected", "variance")
         )
+        cov = np.diag(variance)
+        tested = np.flatnonzero(expected > 0)
+        if len(tested) > 2:
+            own = cells.filter("e > 0").select("e", F.col("_g").alias("g"), F.col("n").alias("m"))
+            c = running_sums(both, [], "e", {"c": "s / _r / _r"}).select("e", "c")
+            pairs = own.join(dense.select("e", "_g", "n", "r").join(c, "e"), "e").filter("g <> _g").groupBy("g", "_g").agg(
+                F.expr("sum(m * c * r)").alias("later"), F.expr("sum(m * c * n)").alias("same")
+            )
+            for row in pairs.collect():
+                # Pairs with one's time not after the other's, from both sides; equal times were counted twice.
+                cov[row["g"], row["_g"]] -= row["later"] - row["same"] / 2
+                cov[row["_g"], row["g"]] -= row["later"] - row["same"] / 2
+    finally:
+        for table in (dense, cells, counts):
+            if table is not None:
+                table.unpersist()
+    chisq, free = 0.0, max(len(tested) - 1, 0)
+    if free:
+        gap, block = (observed - expected)[tested[:-1]], cov[np.ix_(tested[:-1], tested[:-1])]
+        chisq = float(gap @ np.linalg.pinv(block, hermitian=True) @ gap)
+    p = chi2_tail(chisq, free) if free else float("nan")
+    rows = [
+        (str(g), int(value(i, "n")), int(observed[i]), float(expected[i]), float(variance[i]), chisq, free, p)
         for i, g in enumerate(groups)
     ]
     schema = (
         "level string, n long, observed long, expected double, variance double, "
         "chisq double, df int, p_value double"
     )
-    return df.sparkSession.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema)
 
 
 def concordance(

@@ -2,11 +2,14 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from claimweave.operators import cox as cx, survival
 from claimweave.operators.fits import ratio_table
 from claimweave.operators.regression import logistic, poisson_gee, predict_probability
@@ -302,20 +305,36 @@ def test_verdicts_do_not_depend_on_units(spark):
     assert not logistic(apart, "e", ["x"]).converged
 
 
-def test_logrank_of_many_groups(spark):
+@pytest.mark.parametrize("k, days, span", [(2, 9, 4096), (10, 9, 3), (25, 400, 4096), (100, 400, 7)])
+def test_logrank_of_many_groups(spark, monkeypatch, k, days, span):
+    monkeypatch.setattr(survival, "_RANGE", span)
     rng = np.random.default_rng(9)
-    df = pd.DataFrame({"g": np.arange(600) % 10, "t": rng.integers(1, 9, 600).astype(float), "e": rng.integers(0, 2, 600)})
+    df = pd.DataFrame({"g": np.arange(600) % k, "t": rng.integers(1, days, 600).astype(float), "e": rng.integers(0, 2, 600)})
+    start = time.monotonic()
     rows = survival.logrank(spark.createDataFrame(df), "t", "e", "g").collect()
-    expected, cov = np.zeros(10), np.zeros((10, 10))
+    assert time.monotonic() - start < 20
+    expected, cov = np.zeros(k), np.zeros((k, k))
     for t in np.unique(df.t):
-        r = np.bincount(df.g[df.t >= t], minlength=10)
+        r = np.bincount(df.g[df.t >= t], minlength=k)
         d, n = int(((df.t == t) & (df.e == 1)).sum()), r.sum()
         expected += d * r / n
         cov += d * (n - d) / max(n - 1, 1) * (np.diag(r / n) - np.outer(r, r) / n**2)
-    gap = (np.bincount(df.g[df.e == 1], minlength=10) - expected)[:9]
+    gap = (np.bincount(df.g[df.e == 1], minlength=k) - expected)[: k - 1]
     at = [int(r.level) for r in rows]
-    assert len(rows) == 10 and np.allclose([r.expected for r in rows], expected[at]) and np.allclose([r.variance for r in rows], np.diag(cov)[at])
-    assert rows[0].chisq == pytest.approx(gap @ np.linalg.solve(cov[:9, :9], gap), rel=1e-8)
+    assert len(rows) == k and rows[0].df == k - 1 and np.allclose([r.expected for r in rows], expected[at]) and np.allclose([r.variance for r in rows], np.diag(cov)[at])
+    assert rows[0].chisq == pytest.approx(gap @ np.linalg.solve(cov[: k - 1, : k - 1], gap), rel=1e-8)
+
+
+def test_logrank_groups_without_risk(spark):
+    """Groups that are gone before the first event, and levels nobody has, take no part in the test."""
+    rows = [("a", 5.0, 1), ("a", 6.0, 0), ("b", 7.0, 1), ("c", 1.0, 0), ("c", 2.0, 0)]
+    df = spark.createDataFrame(rows, "g string, t double, e int")
+    out = {r.level: r for r in survival.logrank(df, "t", "e", "g", ["a", "b", "c", "d"]).collect()}
+    assert (out["c"].n, out["c"].expected, out["d"].n, out["a"].df) == (2, 0.0, 0, 1)
+    two = survival.logrank(df.filter("g <> 'c'"), "t", "e", "g").first()
+    assert out["a"].chisq == pytest.approx(two.chisq) and out["a"].p_value == pytest.approx(two.p_value)
+    none = survival.logrank(df.withColumn("e", F.lit(0)), "t", "e", "g").first()
+    assert none.df == 0 and none.chisq == 0
 
 
 @pytest.mark.parametrize("cut", [False, True])
