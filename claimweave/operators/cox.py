@@ -7,14 +7,16 @@ Only the gradient and the information matrix reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.functions.tails import chi2_tail
-from claimweave.operators.fits import Fit, likelihood_tests, linear, symmetric, upper_triangle, vector, wald
+from claimweave.operators.fits import Fit, independent, inverse, likelihood_tests, linear, symmetric, upper_triangle, vector, wald
 from claimweave.operators.ordered import BUCKET, null_safe_join, running_sums, value_buckets
 
 # Tied events up to this number are summed term by term; above it, all but the last terms use the
@@ -237,12 +239,13 @@ class _Problem:
         return symmetric(row, "v", self.p)
 
 
-def _newton(problem: _Problem, max_iter: int, tol: float):
+def _newton(problem, max_iter: int, tol: float):
+    """Coefficients, log-likelihood, information, the start's values, iterations, verdict and the kept terms."""
     beta = np.zeros(problem.p)
     ll, u, info = problem.step(beta)
-    start = (ll, u, info)
+    start, kept = (ll, u, info), independent(info)
     for iteration in range(1, max_iter + 1):
-        delta = np.linalg.pinv(info) @ u
+        delta = inverse(info, kept) @ u
         scale = 1.0
         new_ll, new_u, new_info = problem.step(beta + delta)
         while (not np.isfinite(new_ll) or new_ll < ll - 1e-9 * (abs(ll) + 1)) and scale > 1e-4:
@@ -254,9 +257,9 @@ def _newton(problem: _Problem, max_iter: int, tol: float):
         # Coefficients are judged by what they change in the linear predictor, whatever the covariates' units.
         if change <= tol * (abs(ll) + 1) and np.max(np.abs(scale * delta) * problem.width) < 1e-6:
             # A flat likelihood with a huge coefficient is separation, not convergence.
-            unsure = np.square(beta) < np.diag(np.linalg.pinv(info))
-            return beta, ll, info, start, iteration, not np.any((np.abs(beta) * problem.width > 15) & unsure)
-    return beta, ll, info, start, max_iter, False
+            unsure = np.square(beta) < np.diag(inverse(info, kept))
+            return beta, ll, info, start, iteration, not np.any((np.abs(beta) * problem.width > 15) & unsure), kept
+    return beta, ll, info, start, max_iter, False, kept
 
 
 def cox(
@@ -273,43 +276,133 @@ def cox(
 ) -> Fit:
     """Proportional-hazards regression. Rows with a missing model column are left out.
 
-    ``robust`` defaults to on for a weighted fit.
+    ``robust`` defaults to on for a weighted fit. Terms that earlier ones determine are dropped: null in all tables.
     """
     problem = _Problem(df, time, event, xs, strata, weight, ties)
     try:
-        beta, ll, info, (ll0, u0, info0), iterations, converged = _newton(problem, max_iter, tol)
-        var = np.linalg.pinv(info)
+        beta, ll, info, (ll0, u0, info0), iterations, converged, kept = _newton(problem, max_iter, tol)
+        var = inverse(info, kept)
         sandwich = None
         if robust if robust is not None else weight is not None:
             sandwich = var @ problem.meat(beta) @ var
         stats = {"n": problem.n, "events": problem.events}
-        stats |= likelihood_tests(beta, info, u0, info0, ll0, ll)
+        stats |= likelihood_tests(beta, info, u0, info0, ll0, ll, kept)
         if sandwich is not None:
             stats["robust_wald_chisq"] = wald(beta, sandwich)
         return Fit(
-            problem.spark, "cox", list(xs), beta, var, sandwich, stats, converged=converged, iterations=iterations
+            problem.spark, "cox", list(xs), beta, var, sandwich, stats, converged=converged, iterations=iterations, kept=kept
         )
     finally:
         problem.close()
 
 
-def conditional_logistic(df: DataFrame, y: str, xs: Sequence[str], set_id: str, max_iter: int = 30) -> Fit:
-    """Logistic regression conditional on matched sets with one case each.
+class _Sets:
+    """Conditional likelihood of matched sets: the cases' odds over all ways to choose as many of the set.
 
-    With one case per set the conditional likelihood is the partial likelihood at one common time. Sets
-    with several cases need another likelihood and are refused.
+    The sum over all choices of m rows is the elementary symmetric function e_m of the rows' odds. For m = 1 that is
+    a plain sum, so such sets are one SQL aggregate. Otherwise a set's distinct covariate rows are multiplied up as
+    polynomials in z, with derivatives: n equal rows are (1 + v z)^n, whose coefficient of z^j has derivatives j x and
+    j^2 x x' times itself. Only the first m + 1 coefficients are kept. A set's distinct rows are one unit of
+    work; sets without cases or of cases only say nothing and are left out.
     """
-    held = df.dropna(subset=[y, *xs, set_id]).select(set_id, y, *xs).withColumn("_one", F.lit(1.0))
-    held = held.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def __init__(self, df: DataFrame, y: str, xs: Sequence[str], set_id: str):
+        self.spark, self.p = df.sparkSession, len(xs)
+        self.x, self.pairs = [f"x{j}" for j in range(self.p)], upper_triangle(self.p)
+        rows = df.dropna(subset=[y, *xs, set_id]).select(
+            F.col(set_id).alias("_set"), F.when(F.col(y) == 1, 1).otherwise(0).alias("_e"), *[F.col(c).cast("double").alias(n) for c, n in zip(xs, self.x)]
+        )
+        patterns = rows.groupBy("_set", *self.x).agg(F.count(F.lit(1)).alias("n"), F.sum("_e").alias("d"))
+        sets = patterns.groupBy("_set").agg(F.sum("n").alias("_n"), F.sum("d").alias("m"))
+        self.patterns = patterns.join(sets, "_set").persist(StorageLevel.MEMORY_AND_DISK)
+        size = self.patterns.agg(
+            F.sum("n").alias("n"), F.sum("d").alias("events"), F.count_if(F.expr("m > 1 AND m < _n")).alias("many"), F.max("m").alias("most"),
+            *[F.avg(c).alias(c) for c in self.x], *[(F.max(c) - F.min(c)).alias(f"r{c}") for c in self.x],
+        ).first()
+        if not size["n"] or not size["events"]:
+            self.close()
+            raise ValueError("no complete rows with an event")
+        self.n, self.events, self.many = int(size["n"]), int(size["events"]), int(size["many"])
+        self.center, self.width = vector(size, "x", self.p), vector(size, "rx", self.p)
+
+    def close(self) -> None:
+        self.patterns.unpersist()
+
+    def step(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood, gradient and information at ``beta``."""
+        near = self.patterns.filter("m > 0 AND m < _n").withColumns({c: F.col(c) - float(m) for c, m in zip(self.x, self.center)})
+        near = near.withColumn("eta", F.expr(linear(beta, self.x)))
+        odds = near.filter("m = 1").withColumn("v", F.expr("n * exp(eta)"))
+        sums = {"s": "v", "l": "d * eta"} | {f"d{j}": f"d * x{j}" for j in range(self.p)} | {f"s{j}": f"v * x{j}" for j in range(self.p)}
+        sums |= {f"s{j}_{k}": f"v * x{j} * x{k}" for j, k in self.pairs}
+        each = odds.groupBy("_set").agg(*[F.expr(f"sum({e})").alias(c) for c, e in sums.items()])
+        aggs = [F.expr("sum(l - ln(s))").alias("ll")] + [F.expr(f"sum(d{j} - s{j} / s)").alias(f"u{j}") for j in range(self.p)]
+        aggs += [F.expr(f"sum(s{j}_{k} / s - s{j} * s{k} / (s * s))").alias(f"i{j}_{k}") for j, k in self.pairs]
+        parts = each.agg(*aggs)
+        if self.many:
+            names = parts.columns
+            found = near.filter("m > 1").select("_set", "m", "n", "d", "eta", *self.x).groupBy("_set").applyInPandas(
+                _choices(self.p, names), ", ".join(f"{c} double" for c in names)
+            )
+            parts = parts.unionByName(found).agg(*[F.sum(c).alias(c) for c in names])
+        row = parts.first()
+        return float(row["ll"] or 0.0), vector(row, "u", self.p), symmetric(row, "i", self.p)
+
+
+def _choices(p: int, names: list[str]):
+    """Contribution of one set with several cases: log-likelihood, gradient, information."""
+    pairs = upper_triangle(p)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        m = int(rows["m"].iloc[0])
+        eta, n, d = rows["eta"].to_numpy(), rows["n"].to_numpy(), rows["d"].to_numpy(float)
+        x = rows[[f"x{j}" for j in range(p)]].to_numpy(float)
+        top = float(eta.max())
+        # One row for each of the value, p first and p (p + 1) / 2 second derivatives of the coefficients 0..m.
+        total = np.zeros((1 + p + len(pairs), m + 1))
+        total[0, 0], log_scale = 1.0, 0.0
+        for i in range(len(rows)):
+            j = np.arange(min(int(n[i]), m) + 1)
+            log_choose = np.array([math.lgamma(n[i] + 1) - math.lgamma(a + 1) - math.lgamma(n[i] - a + 1) for a in j])
+            log_own = log_choose + j * (eta[i] - top)
+            high = float(log_own.max())
+            own = np.exp(log_own - high)
+            by = lambda c, f=own: np.convolve(total[c], f)[: m + 1]
+            first, second = own * j, own * j * j
+            fresh = np.empty_like(total)
+            plain, once, twice = by(0), by(0, first), by(0, second)
+            fresh[0] = plain
+            moved = [by(1 + a, first) for a in range(p)]
+            for a in range(p):
+                fresh[1 + a] = by(1 + a) + x[i, a] * once
+            for q, (a, b) in enumerate(pairs):
+                fresh[1 + p + q] = by(1 + p + q) + x[i, a] * moved[b] + x[i, b] * moved[a] + x[i, a] * x[i, b] * twice
+            # Only the ratio at m counts; scaling by the largest value keeps it in range.
+            size = float(fresh[0].max())
+            total, log_scale = fresh / size, log_scale + high + math.log(size)
+        whole = total[0, m]
+        if not whole > 0:  # out of range: the step is halved
+            return pd.DataFrame([dict.fromkeys(names, 0.0) | {"ll": -math.inf}])[names]
+        first = total[1 : 1 + p, m] / whole
+        out = {"ll": float(d @ eta) - (math.log(whole) + log_scale + m * top)}
+        out |= {f"u{a}": float(d @ x[:, a]) - first[a] for a in range(p)}
+        out |= {f"i{a}_{b}": total[1 + p + q, m] / whole - first[a] * first[b] for q, (a, b) in enumerate(pairs)}
+        return pd.DataFrame([out])[names]
+
+    return run
+
+
+def conditional_logistic(df: DataFrame, y: str, xs: Sequence[str], set_id: str, max_iter: int = 30, tol: float = 1e-10) -> Fit:
+    """Logistic regression conditional on matched sets, each with any number of cases (exact likelihood)."""
+    sets = _Sets(df, y, xs, set_id)
     try:
-        cases = held.groupBy(set_id).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("cases"))
-        if (cases.agg(F.max("cases")).first()[0] or 0) > 1:
-            raise ValueError("a matched set holds more than one case")
-        fit = cox(held, "_one", y, xs, [set_id], max_iter=max_iter)
+        beta, ll, info, (ll0, u0, info0), iterations, converged, kept = _newton(sets, max_iter, tol)
+        stats = {"n": sets.n, "events": sets.events} | likelihood_tests(beta, info, u0, info0, ll0, ll, kept)
+        return Fit(
+            sets.spark, "conditional_logistic", list(xs), beta, inverse(info, kept), None, stats, converged=converged, iterations=iterations, kept=kept
+        )
     finally:
-        held.unpersist()
-    fit.kind = "conditional_logistic"
-    return fit
+        sets.close()
 
 
 def ph_test(
@@ -352,13 +445,14 @@ def ph_test(
             ]
         row = risk.agg(*aggs).first()
         u, a, b, c = vector(row, "u", p), symmetric(row, "a", p), symmetric(row, "b", p), symmetric(row, "c", p)
-        inner = c - b @ np.linalg.pinv(a) @ b
+        kept = np.ones(p, dtype=bool) if fit.kept is None else fit.kept
+        inner = c - b @ inverse(a, kept) @ b
         rows = []
         for j, term in enumerate(fit.terms):
-            chisq = float(u[j] ** 2 / inner[j, j]) if inner[j, j] > 0 else float("nan")
-            rows.append((term, chisq, 1, chi2_tail(chisq, 1)))
-        total = float(u @ np.linalg.pinv(inner) @ u)
-        rows.append(("GLOBAL", total, p, chi2_tail(total, p)))
+            chisq = float(u[j] ** 2 / inner[j, j]) if kept[j] and inner[j, j] > 0 else None
+            rows.append((term, chisq, 1, None if chisq is None else chi2_tail(chisq, 1)))
+        total, free = float(u @ inverse(inner, kept) @ u), max(int(kept.sum()), 1)
+        rows.append(("GLOBAL", total, free, chi2_tail(total, free)))
         return problem.spark.createDataFrame(rows, "term string, chisq double, df int, p_value double")
     finally:
         problem.close()

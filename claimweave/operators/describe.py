@@ -160,15 +160,23 @@ def baseline_smd(
     """Group means, SDs and absolute standardised differences of a 0/1 treatment, optionally weighted.
 
     The weighted variance of a continuous variable is scaled by n / (n - 1). Continuous values are summed as differences
-    from their overall mean, so a large mean costs no digits.
+    from their group's mean, so a large mean costs no digits; a group of one value has standard deviation 0, and where
+    both groups have, there is no standardised difference.
     """
     w = F.col(weight) if weight else F.lit(1.0)
-    middle = df.agg(F.lit(1), *(F.avg(F.col(v).cast("double")).alias(v) for v in cont)).first()
+    first = [F.lit(1)]
+    for v in cont:
+        for g in (0, 1):
+            own = F.when(F.col(treat) == g, F.col(v).cast("double"))
+            first += [F.avg(own).alias(f"{v}_m{g}"), (F.min(own) == F.max(own)).alias(f"{v}_one{g}"), F.min(own).alias(f"{v}_least{g}")]
+    known = df.agg(*first).first()
     aggs, rows = [], []
     for v in [*cont, *binary]:
-        shift = (middle[v] or 0.0) if v in cont else 0.0
-        x = F.col(v).cast("double") - F.lit(shift)
+        shift = [0.0, 0.0]
+        if v in cont:
+            shift = [(known[f"{v}_least{g}"] if known[f"{v}_one{g}"] else known[f"{v}_m{g}"]) or 0.0 for g in (0, 1)]
         for g in (0, 1):
+            x = F.col(v).cast("double") - F.lit(shift[g])
             here = (F.col(treat) == g) & x.isNotNull()
             aggs += [
                 F.count_if(here).alias(f"{v}_n{g}"),
@@ -191,11 +199,11 @@ def baseline_smd(
                 F.lit("binary" if v in binary else "continuous").alias("kind"),
                 F.col(f"{v}_n0").alias("n_0"),
                 F.col(f"{v}_n1").alias("n_1"),
-                (mean[0] + F.lit(shift)).alias("mean_0"),
-                (mean[1] + F.lit(shift)).alias("mean_1"),
+                (mean[0] + F.lit(shift[0])).alias("mean_0"),
+                (mean[1] + F.lit(shift[1])).alias("mean_1"),
                 F.sqrt(var[0]).alias("sd_0"),
                 F.sqrt(var[1]).alias("sd_1"),
-                F.try_divide(F.abs(mean[1] - mean[0]), F.sqrt((var[1] + var[0]) / 2)).alias("smd"),
+                F.try_divide(F.abs(mean[1] - mean[0] + F.lit(shift[1] - shift[0])), F.sqrt((var[1] + var[0]) / 2)).alias("smd"),
             )
         )
     return df.agg(*aggs).select(F.inline(F.array(*rows)))

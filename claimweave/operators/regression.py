@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.functions.tails import Z95
-from claimweave.operators.fits import Fit, linear, symmetric, upper_triangle, vector
+from claimweave.operators.fits import Fit, independent, inverse, linear, symmetric, upper_triangle, vector
 
 INTERCEPT = "(Intercept)"
 
@@ -39,7 +39,7 @@ def _binomial_pass(patterns: DataFrame, candidates: np.ndarray):
     return [(float(found[i]["ll"]), vector(found[i], "u", p), symmetric(found[i], "i", p)) for i in range(m)]
 
 
-def _profile_limits(patterns: DataFrame, beta: np.ndarray, ll: float, var: np.ndarray) -> np.ndarray:
+def _profile_limits(patterns: DataFrame, beta: np.ndarray, ll: float, var: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """Profile-likelihood limits of all coefficients, both sides, searched together.
 
     For each coefficient and side, Newton steps solve "log-likelihood is the maximum minus z2/2, and the
@@ -47,7 +47,7 @@ def _profile_limits(patterns: DataFrame, beta: np.ndarray, ll: float, var: np.nd
     """
     p = len(beta)
     target = ll - Z95**2 / 2
-    jobs = [(j, side) for j in range(p) for side in (-1.0, 1.0)]
+    jobs = [(j, side) for j in np.flatnonzero(kept) for side in (-1.0, 1.0)]
     theta = np.array([beta + side * Z95 * var[:, j] / np.sqrt(var[j, j]) for j, side in jobs])
     done = np.zeros(len(jobs), dtype=bool)
     for _ in range(30):
@@ -56,13 +56,14 @@ def _profile_limits(patterns: DataFrame, beta: np.ndarray, ll: float, var: np.nd
             break
         for i, (value, u, info) in zip(active, _binomial_pass(patterns, theta[active])):
             j = jobs[i][0]
-            others = [k for k in range(p) if k != j]
+            others = [k for k in np.flatnonzero(kept) if k != j]
             system = np.vstack([u, -info[others]])
             gap = np.concatenate([[target - value], -u[others]])
-            delta = np.linalg.pinv(system) @ gap
+            delta = np.zeros(p)
+            delta[kept] = np.linalg.pinv(system[:, kept]) @ gap
             # Short steps far from the solution: the surface is only nearly quadratic.
             cap = 2.0 * np.sqrt(np.diag(var))
-            delta *= min(1.0, float(np.min(cap / np.maximum(np.abs(delta), 1e-300))))
+            delta *= min(1.0, float(np.min(cap[kept] / np.maximum(np.abs(delta[kept]), 1e-300))))
             theta[i] = theta[i] + delta
             done[i] = np.max(np.abs(gap)) < 1e-8 * (abs(ll) + 1) and np.max(np.abs(delta)) < 1e-7
     limits = np.full((p, 2), np.nan)
@@ -102,9 +103,10 @@ def logistic(
         beta = np.zeros(len(xs) + 1)
         beta[0] = np.log(wy / (w - wy))
         ((ll, u, info),) = _binomial_pass(patterns, beta[None, :])
+        kept = independent(info)
         converged, iteration = False, 0
         for iteration in range(1, max_iter + 1):
-            delta, scale = np.linalg.pinv(info) @ u, 1.0
+            delta, scale = inverse(info, kept) @ u, 1.0
             ((new, new_u, new_info),) = _binomial_pass(patterns, (beta + delta)[None, :])
             while new < ll - 1e-9 * (abs(ll) + 1) and scale > 1e-4:
                 scale /= 2
@@ -115,21 +117,21 @@ def logistic(
             if change <= tol * (abs(ll) + 1) and moved < 1e-7 * (1 + float(np.max(np.abs(beta) * width))):
                 converged = True
                 break
-        var = np.linalg.pinv(info)
+        var = inverse(info, kept)
         stats = {
             "n": float(size["n"]),
             "events": float(size["events"]),
             "null_deviance": -2 * null_ll,
             "deviance": -2 * ll,
-            "aic": -2 * ll + 2 * len(beta),
+            "aic": -2 * ll + 2 * int(kept.sum()),
             "loglik": ll,
         }
         # A coefficient that keeps growing while the likelihood is flat is separation.
         separated = bool(np.any((np.sqrt(np.diag(var)) * width)[1:] > 1e3))
-        limits = _profile_limits(patterns, beta, ll, var) if profile else None
+        limits = _profile_limits(patterns, beta, ll, var, kept) if profile else None
         return Fit(
             df.sparkSession, "logistic", [INTERCEPT, *xs], beta, var, stats=stats, limits=limits,
-            converged=converged and not separated, iterations=iteration,
+            converged=converged and not separated, iterations=iteration, kept=kept,
         )
     finally:
         patterns.unpersist()
@@ -219,10 +221,11 @@ def poisson_gee(
             raise ValueError("no events")
         beta, alpha = np.zeros(p), 0.0
         beta[0] = np.log(first["y"] / first["t"])
-        converged, iteration = False, 0
+        converged, iteration, kept = False, 0, None
         for iteration in range(1, max_iter + 1):
             row, u, b, _, _, new_alpha = one_pass(beta, alpha)
-            delta = np.linalg.pinv(b) @ u
+            kept = independent(b) if kept is None else kept
+            delta = inverse(b, kept) @ u
             beta = beta + delta
             moved, shift = float(np.max(np.abs(delta))), abs(new_alpha - alpha)
             # Correlation is taken in once the coefficients are near, as residuals far off mislead it.
@@ -236,7 +239,7 @@ def poisson_gee(
                 converged = True
                 break
         row, _, b, m, phi, _ = one_pass(beta, alpha)
-        bread = np.linalg.pinv(b)
+        bread = inverse(b, kept)
         stats = {
             "n": float(row["rows"]),
             "clusters": float(row["clusters"]),
@@ -254,6 +257,7 @@ def poisson_gee(
             stats,
             converged=converged,
             iterations=iteration,
+            kept=kept,
         )
     finally:
         patterns.unpersist()

@@ -13,21 +13,30 @@ from claimweave.operators.ordered import BUCKET, held, running_sums, value_bucke
 
 
 def kaplan_meier(
-    df: DataFrame, time: str, event: str, by: Sequence[str] = (), weight: str | None = None
+    df: DataFrame, time: str, event: str, by: Sequence[str] = (), weight: str | None = None, robust: bool = False
 ) -> DataFrame:
     """Product-limit curve per group: one row per distinct time.
 
     Persons are first summed to distinct times; risk sets and the product over times are running sums
     of that much smaller table. The standard error is Greenwood's, limits are on the log scale. With
     weights all counts are sums of weights.
+
+    ``robust`` takes the infinitesimal jackknife instead, the right one for sampling or propensity weights: the sum of
+    squared weighted influences of persons on the log curve. A person's influence is the sum of d / (r (r - d)) up to t
+    or their own time, less 1 / (r - d) at their own event; so those still at risk share one value, and those gone
+    add a running sum. Rows are persons: no clusters.
     """
     keys = list(by)
     data = df.dropna(subset=[time, event, *by, *([weight] if weight else [])])
     w = F.col(weight) if weight else F.lit(1)
-    times = data.groupBy(*keys, F.col(time).cast("double").alias("time")).agg(
-        F.sum(w).alias("_n"), F.sum(F.when(F.col(event) == 1, w).otherwise(w * 0)).alias("n_event")
-    )
-    risk = running_sums(held(value_buckets(held(times), "time")), keys, "time", {"n_risk": "_n"}, descending=True)
+    hit = F.col(event) == 1
+    sums = [F.sum(w).alias("_n"), F.sum(F.when(hit, w).otherwise(w * 0)).alias("n_event")]
+    if robust:
+        square = w.cast("double") * w
+        sums += [F.sum(square).alias("_w2"), F.sum(F.when(hit, square).otherwise(F.lit(0.0))).alias("_e2")]
+    times = data.groupBy(*keys, F.col(time).cast("double").alias("time")).agg(*sums)
+    totals = {"n_risk": "_n"} | ({"_after": "_w2"} if robust else {})
+    risk = running_sums(held(value_buckets(held(times), "time")), keys, "time", totals, descending=True)
     steps = risk.withColumns(
         {
             "_last": F.expr("n_event > 0 AND n_risk - n_event <= 1e-12 * n_risk"),
@@ -44,8 +53,13 @@ def kaplan_meier(
             "_zero": "CAST(_last AS INT)",
         },
     )
+    variance = F.col("_gw")
+    if robust:
+        gone = "CASE WHEN _last THEN 0D ELSE (_w2 - _e2) * pow(_gw, 2) + _e2 * pow(_gw - 1 / (n_risk - n_event), 2) END"
+        curve = running_sums(curve, keys, "time", {"_gone": gone})
+        variance = F.col("_gone") + F.pow("_gw", F.lit(2)) * (F.col("_after") - F.col("_w2"))
     surv = F.when(F.col("_zero") > 0, F.lit(0.0)).otherwise(F.exp("_log"))
-    half = Z95 * F.sqrt("_gw")
+    half = Z95 * F.sqrt(variance)
     return curve.select(
         *by,
         "time",
@@ -53,7 +67,7 @@ def kaplan_meier(
         "n_event",
         "n_censor",
         surv.alias("surv"),
-        F.when(F.col("_zero") == 0, surv * F.sqrt("_gw")).alias("std_err"),
+        F.when(F.col("_zero") == 0, surv * F.sqrt(variance)).alias("std_err"),
         F.when(F.col("_zero") == 0, F.exp(F.col("_log") - half)).alias("lower"),
         F.when(F.col("_zero") == 0, F.least(F.exp(F.col("_log") + half), F.lit(1.0))).alias("upper"),
     )

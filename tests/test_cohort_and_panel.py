@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.operators import claims, cohort, history, matching, ordered, panel
+from claimweave.operators import claims, cohort, describe, history, matching, ordered, panel
 from claimweave.plans import case_control, treatment_cohort
 
 KEY = case_control.CLAIM_KEY
@@ -319,3 +319,13 @@ def test_large_means_leave_the_smd_as_it_is(spark):
         near = describe.baseline_smd(df, "t", ["x"], [], weight).first()
         far = describe.baseline_smd(df.withColumn("x", F.col("x") + 1e8), "t", ["x"], [], weight).first()
         assert abs(near.smd - far.smd) < 1e-6 and near.smd > 1
+
+
+def test_smd_of_constant_columns(spark):
+    """Groups of one value each have standard deviation 0 and no standardised difference, weighted or not."""
+    rows = [(0, 1.1, 1e9 + 0.1, 0.3 + i) for i in range(7)] + [(1, 2.3, 1e9 + i, 0.7) for i in range(5)]
+    df = spark.createDataFrame(rows, "g int, u double, v double, w double")
+    for weight in (None, "w"):
+        out = {r.variable: r for r in describe.baseline_smd(df, "g", ["u", "v"], [], weight).collect()}
+        assert (out["u"].sd_0, out["u"].sd_1, out["u"].smd, out["u"].mean_0, out["u"].mean_1) == (0.0, 0.0, None, 1.1, 2.3)
+        assert out["v"].sd_0 == 0.0 and out["v"].sd_1 == pytest.approx(1.5811388, abs=1e-6) and out["v"].smd == pytest.approx(1.9 / (1.25**0.5), abs=1e-6)

@@ -159,8 +159,87 @@ def test_conditional_logistic_on_pairs_and_triples(spark):
     df = pd.DataFrame({"g": np.repeat(np.arange(40), 3), "y": [1, 0, 0] * 40, "x": rng.normal(size=120), "z": rng.integers(0, 2, 120)})
     fit = cx.conditional_logistic(spark.createDataFrame(df), "y", ["x", "z"], "g")
     assert np.allclose(fit.beta, newton(df.assign(t=1.0, e=df.y), ["x", "z"], strata="g"), atol=1e-7)
-    with pytest.raises(ValueError):
-        cx.conditional_logistic(spark.createDataFrame([(1, 1, 0), (1, 1, 1)], "g int, y int, x int"), "y", ["x"], "g")
+
+
+def choices_likelihood(df, xs, beta):
+    """Log-likelihood, gradient and information by listing all choices of as many rows as a set has cases."""
+    ll, u, info = 0.0, np.zeros(len(xs)), np.zeros((len(xs), len(xs)))
+    for _, rows in df.groupby("g"):
+        x, m = rows[xs].to_numpy(float), int(rows.y.sum())
+        total = np.array([x[list(c)].sum(0) for c in itertools.combinations(range(len(rows)), m)])
+        v = np.exp(total @ beta)
+        mean = v @ total / v.sum()
+        ll += x[rows.y.to_numpy() == 1].sum(0) @ beta - np.log(v.sum())
+        u += x[rows.y.to_numpy() == 1].sum(0) - mean
+        info += (total * v[:, None]).T @ total / v.sum() - np.outer(mean, mean)
+    return ll, u, info
+
+
+def test_conditional_logistic_with_several_cases(spark):
+    """Sets of 2:3 and of other sizes, with repeated rows, without cases and of cases only."""
+    rng = np.random.default_rng(12)
+    rows = [(g, int(k < m), int(rng.integers(0, 2)), round(float(rng.normal(k < m)), 1)) for g in range(60) for n, m in [[(5, 2), (6, 3), (3, 1), (4, 0), (2, 2), (7, 5)][g % 6]] for k in range(n)]
+    df = pd.DataFrame(rows, columns=["g", "y", "x", "z"])
+    fit = cx.conditional_logistic(spark.createDataFrame(df).repartition(3), "y", ["x", "z"], "g")
+    beta = np.zeros(2)
+    for _ in range(20):
+        _, u, info = choices_likelihood(df, ["x", "z"], beta)
+        beta = beta + np.linalg.solve(info, u)
+    ll, _, info = choices_likelihood(df, ["x", "z"], beta)
+    assert fit.converged and np.allclose(fit.beta, beta, atol=1e-7) and np.allclose(fit.var, np.linalg.inv(info), rtol=1e-6)
+    assert fit.stats["loglik"] == pytest.approx(ll, abs=1e-8) and fit.stats["n"] == len(df)
+    # One large set with many cases of two kinds of rows.
+    big = pd.DataFrame({"g": 1, "y": [1] * 300 + [0] * 700, "x": [1] * 200 + [0] * 100 + [1] * 250 + [0] * 450})
+    fit = cx.conditional_logistic(spark.createDataFrame(big), "y", ["x"], "g")
+    j = np.arange(0, 301)
+    log = np.array([math.lgamma(451) - math.lgamma(a + 1) - math.lgamma(451 - a) + math.lgamma(551) - math.lgamma(301 - a) - math.lgamma(251 + a) for a in j])
+    weight = np.exp(log + fit.beta[0] * j - (log + fit.beta[0] * j).max())
+    assert weight @ j / weight.sum() == pytest.approx(200, abs=1e-5)
+
+
+def test_terms_that_repeat_others_are_dropped(spark):
+    df = survival_data(3)
+    df["twice"], df["flat"], df["id"] = 2 * df.b, 1.0, np.arange(len(df)) // 3
+    df["y"] = (df.e * (1 + df.a)).astype(int)
+    frame = spark.createDataFrame(df)
+    fits = {
+        "cox": lambda xs: cx.cox(frame, "t", "e", xs, weight="w"),
+        "logistic": lambda xs: logistic(frame, "e", xs, profile=True),
+        "clogit": lambda xs: cx.conditional_logistic(frame, "e", xs, "id"),
+        "gee": lambda xs: poisson_gee(frame, "y", xs, "id"),
+    }
+    for name, fit in fits.items():
+        plain, both = fit(["a", "b"]), fit(["a", "b", "twice", "flat"])
+        rows = {r.term: r for r in both.tidy().collect()}
+        assert both.converged and both.dropped == ["twice", "flat"], name
+        assert rows["twice"].estimate is None and rows["flat"].p_value is None
+        for r in plain.tidy().collect():
+            assert rows[r.term].estimate == pytest.approx(r.estimate, rel=1e-6) and rows[r.term].std_err == pytest.approx(r.std_err, rel=1e-6)
+        ratios = {r.term: r for r in ratio_table(both, ci="profile" if name == "logistic" else "wald").collect()}
+        assert ratios["twice"].ratio is None and ratios["b"].lower < ratios["b"].ratio < ratios["b"].upper
+    test = {r.term: r for r in cx.ph_test(frame, fits["cox"](["a", "b", "twice"]), "t", "e", weight="w").collect()}
+    assert test["twice"].chisq is None and test["GLOBAL"].df == 2
+
+
+def test_robust_limits_of_weighted_curves(spark):
+    """Influences by differences of the log curve in each person's weight."""
+    df = survival_data(7, 60)
+
+    def log_curve(w, at):
+        return sum(np.log(1 - w[(df.t == t) & (df.e == 1)].sum() / w[df.t >= t].sum()) for t in sorted(df.t.unique()) if t <= at and ((df.t == t) & (df.e == 1)).any())
+
+    w = df.w.to_numpy(float)
+    for r in survival.kaplan_meier(spark.createDataFrame(df), "t", "e", weight="w", robust=True).collect():
+        if r.lower is None:
+            continue
+        influence = []
+        for i in range(len(df)):
+            up, down = w.copy(), w.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            influence.append((log_curve(up, r.time) - log_curve(down, r.time)) / 2e-5)
+        se = math.sqrt(sum((w * influence) ** 2))
+        assert r.std_err == pytest.approx(r.surv * se, rel=1e-5, abs=1e-9) and r.lower == pytest.approx(r.surv * math.exp(-1.959964 * se), rel=1e-5)
 
 
 def test_logistic_two_by_two_and_weights(spark):
