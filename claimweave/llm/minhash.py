@@ -6,9 +6,9 @@ tables of 2r minhashes for the price of 2 * m * r minhashes instead of 2 * m * m
 
 Equal sets form one class before anything else, so copies of a text cost one row. In a table's bucket every
 member is linked to the bucket's smallest id over a tree: first within a task, then among the tasks' smallest.
-All tree edges are verified on full sets. Where a bucket still spans several components, its members are compared with
-one of them once more, and what is then still apart is compared by an exact prefix filter, so that the result has
-every link its tables can see. A pair of similarity s is missed with probability 1 - (1 - (1 - s^r)^m)^2; with m = 10, r = 2 that is 7e-5 at s = 0.8 and
+All tree edges whose ends are near enough in size are verified on full sets. Where a bucket of three or more still spans
+several components, its members of like size are compared with one of them once more, and what is then still apart is
+compared by an exact prefix filter, so that the result has every link its tables can see. A pair of similarity s is missed with probability 1 - (1 - (1 - s^r)^m)^2; with m = 10, r = 2 that is 7e-5 at s = 0.8 and
 1e-6 at s = 0.87.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.components import components
@@ -28,6 +28,9 @@ from claimweave.llm.words import BASE, distinct_sets, mix, shingles, slices, str
 KEYS = 10
 ROWS = 2
 COMBINE_KEYS = 1 << 21
+ID_CELLS = 18  # log2 of the cells of 64 bits (2 MB) that say which documents' texts are read again
+SKETCH_BITS = 16  # cells of the counts that order shingles from rare to frequent; any order is exact
+FILTER_BITS = 26  # of the filter (8 MB) for keys whose buckets are compared again; what it lets through is tested exactly
 _U = np.uint64
 
 
@@ -51,8 +54,7 @@ def _signatures(k: int, m: int, r: int):
                 one, two = np.zeros(n, _U), np.zeros(n, _U)
                 if len(full):
                     first = at[:-1][full]
-                    one[full] = np.add.reduceat(mix(flat), first)
-                    two[full] = np.add.reduceat(mix(flat ^ BASE), first)
+                    one[full], two[full] = _names(flat, first)
                     for f in range(2 * m * r):
                         least = np.minimum.reduceat((flat ^ shifts[f]) * factors[f], first)
                         keys[f // r, full] = mix(keys[f // r, full] * BASE + least + _U(f))
@@ -70,6 +72,12 @@ def signatures(docs: DataFrame, k: int, m: int = KEYS, r: int = ROWS) -> DataFra
     return docs.mapInArrow(_signatures(k, m, r), "id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
+def _largest(sig: DataFrame) -> DataFrame:
+    """One row per id: that of the largest set (ties by the set's name)."""
+    row = F.struct("n_shingles", "set_a", "set_b", "keys")
+    return sig.groupBy("id").agg(F.max(row).alias("row")).select("id", "row.*")
+
+
 def _table_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Table keys and ids of a batch of class representatives, m * m for each."""
     ids = batch.column("id").to_numpy()
@@ -137,13 +145,22 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(key[rest], x[rest], least[rest])
 
 
+def _names(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each set of shingles, whatever their order."""
+    return np.add.reduceat(mix(flat), first), np.add.reduceat(mix(flat ^ BASE), first)
+
+
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, at = _sets(part, k)
-                blobs = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(blobs, pa.binary())], ["id", "set"])
+                full = np.flatnonzero(np.diff(at))
+                if len(full):
+                    one, two = _names(flat, at[:-1][full])
+                    blobs = [flat[a:b].tobytes() for a, b in zip(at[:-1][full], at[1:][full])]
+                    columns = [part.column("id").take(pa.array(full)), pa.array(blobs, pa.binary()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "set", "set_a", "set_b"])
 
     return run
 
@@ -168,9 +185,19 @@ def _confirm(percent: int):
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set) for the documents named by ``ids(id)``; of rows that repeat an id, one."""
-    sets = docs.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
-    return staged(sets.mapInArrow(_set_rows(k), "id long, set binary"), "sets")
+    """(id, set) for the documents named by ``ids(id)``; of rows that repeat an id, the one ``_largest`` takes.
+
+    Texts are not shuffled: a filter of ``1 << ID_CELLS`` cells of 64 bits, whatever the number of ids, drops most
+    other rows at the scan, and only the sets of what is left are joined with the ids.
+    """
+    ids = ids.distinct()
+    cell = F.shiftrightunsigned(F.xxhash64("id"), 64 - ID_CELLS).alias("cell")
+    bit = F.expr("shiftleft(1L, CAST(xxhash64(id) & 63 AS INT))")
+    cells = ids.groupBy(cell).agg(F.bit_or(bit).alias("bits"))
+    near = docs.withColumn("cell", cell).join(F.broadcast(cells), "cell").where(F.col("bits").bitwiseAND(bit) != 0).select("id", "text")
+    sets = near.mapInArrow(_set_rows(k), "id long, set binary, set_a long, set_b long").join(ids, "id", "left_semi")
+    largest = F.struct(F.octet_length("set"), "set_a", "set_b")
+    return staged(sets.groupBy("id").agg(F.max_by("set", largest).alias("set")), "sets")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -180,21 +207,80 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return rows.select("x", "y", "set_x", "set_y").mapInArrow(_confirm(percent), "x long, y long, linked boolean")
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _like_size(x: str, y: str, percent: int) -> str:
+    """SQL text: sets of these sizes can be linked at all."""
+    return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            keys, ids = _table_keys(batch)
-            size = np.repeat(batch.column("n_shingles").to_numpy(), len(ids) // batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(size)], ["key", "id", "n"])
+        bit = batch.column("key").to_numpy().view(_U) >> _U(64 - FILTER_BITS)
+        cells, which = np.unique(bit >> _U(6), return_inverse=True)
+        value = np.zeros(len(cells), _U)
+        np.bitwise_or.at(value, which, _U(1) << (bit & _U(63)))
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(value.view(np.int64))], ["cell", "bits"])
+
+
+def _key_filter(keys: DataFrame):
+    """Broadcast bits of the keys, of one size whatever their number."""
+    cells = keys.mapInArrow(_bits, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def _exploded(shared):
+    """(key, id, n) for the keys of class representatives that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, _U)
+        for batch in batches:
+            if batch.num_rows:
+                keys, ids = _table_keys(batch)
+                size = np.repeat(batch.column("n_shingles").to_numpy(), len(ids) // batch.num_rows)
+                bit = keys.view(_U) >> _U(64 - FILTER_BITS)
+                on = np.flatnonzero((bits[bit >> _U(6)] >> (bit & _U(63))) & _U(1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(ids[on]), pa.array(size[on])], ["key", "id", "n"])
+
+    return run
+
+
+def _by_size(members: DataFrame, percent: int) -> DataFrame:
+    """Members under (key, group of sizes): sets that can be linked lie in one size band or in neighbouring ones, and
+    each group holds a band and the next."""
+    band = F.floor(F.ln("n") / float(np.log(100 / percent) + 1e-9)).cast("long")
+    group = F.explode(F.array(band, band + 1)).alias("g")
+    return members.select("key", "id", "n", group).select(F.xxhash64("key", "g").alias("key"), "id", "n")
 
 
-def _set_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n): how often shingles of each cell occur in this task's sets, for cells well above the mean."""
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        sets = [np.frombuffer(s.as_py(), np.int64) for s in batch.column("set")]
-        if sets:
-            size = [len(s) for s in sets]
-            columns = [np.concatenate(sets), *(np.repeat(batch.column(c).to_numpy(), size) for c in ("id", "c", "n"))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["t", "id", "c", "n"])
+        for blob in batch.column("set"):
+            total += np.bincount((np.frombuffer(blob.as_py(), _U) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+    cells = np.flatnonzero(total > 4 * total.mean())
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+
+
+def _prefixes(often: np.ndarray, percent: int):
+    """(t, id, c, n, p): the p-th rarest shingles t of each set, as far as a link's rarest common one can lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row, blob in enumerate(batch.column("set")):
+                t = np.frombuffer(blob.as_py(), _U)
+                keep = len(t) - -(-percent * len(t) // 100) + 1
+                cell = often[(t >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+                first = np.lexsort((t, cell))[:keep]
+                found.append((t[first].view(np.int64), np.full(len(first), row), np.arange(1, len(first) + 1)))
+            if found:
+                t, row, place = (np.concatenate(c) for c in zip(*found))
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(t), *(batch.column(c).take(row) for c in ("id", "c", "n")), pa.array(place)], ["t", "id", "c", "n", "p"])
+
+    return run
 
 
 def _relabelled(rows: DataFrame, named: DataFrame, column: str = "id") -> DataFrame:
@@ -209,44 +295,50 @@ def _split(members: DataFrame) -> DataFrame:
     return members.join(several.select("key"), "key", "left_semi")
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
+def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Every member with one member of its bucket, chosen by hash of key and id, if their components differ."""
-    order = F.struct(F.xxhash64("key", "id"), F.col("id").alias("y"), F.col("c").alias("cy"))
-    hubs = members.groupBy("key").agg(F.min(order).alias("hub")).select("key", "hub.y", "hub.cy")
-    return members.join(hubs, "key").where("c <> cy").select(F.greatest("id", "y").alias("x"), F.least("id", "y").alias("y")).distinct()
+    order = F.struct(F.xxhash64("key", "id"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
+    hubs = members.groupBy("key").agg(F.min(order).alias("hub")).select("key", "hub.y", "hub.cy", "hub.ny")
+    apart = members.join(hubs, "key").where("c <> cy").where(_like_size("n", "ny", percent))
+    return apart.select(F.greatest("id", "y").alias("x"), F.least("id", "y").alias("y")).distinct()
 
 
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of ``sets(id, set, c, n)`` in different components that can be linked at all.
 
-    Shingles are ordered from rare to frequent. Sets of sizes n and m that are linked have at least
-    a = percent * (n + m) / (100 + percent) shingles in common, so the rarest of these is among the first n - a + 1
-    of one and m - a + 1 of the other.
+    Shingles are ordered from rare to frequent by counts of a fixed number of cells. Sets of sizes n and m that are linked have
+    at least a = percent * (n + m) / (100 + percent) shingles in common, so the rarest of these is among the first
+    n - a + 1 of one and m - a + 1 of the other; only as many of a set's shingles are shuffled as a may leave.
     """
-    rows = staged(sets.mapInArrow(_set_members, "t long, id long, c long, n long"), "shingles")
-    count = rows.groupBy("t").agg(F.count("*").alias("df"), (F.min("c") != F.max("c")).alias("several"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    first = rows.join(count, "t").withColumn("p", place).where(f"100 * (n - p + 1) >= {percent} * n AND several")
-    first = staged(first.select("t", "id", "c", "n", "p"), "first")
+    counts = sets.select("set").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(1 << SKETCH_BITS, np.int64)
+    often[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    first = staged(sets.mapInArrow(_prefixes(often, percent), "t long, id long, c long, n long, p long"), "first")
     other = first.select("t", *(F.col(c).alias(f"o{c}") for c in ("id", "c", "n", "p")))
     common = f"{percent} * (n + on) / {100 + percent}"
     near = f"id > oid AND c <> oc AND n - p + 1 >= {common} AND on - op + 1 >= {common}"
-    return first.join(other, "t").where(near).select(F.col("id").alias("x"), F.col("oid").alias("y")).distinct()
+    return first.join(other, "t").where(near).where(_like_size("n", "on", percent)).select(F.col("id").alias("x"), F.col("oid").alias("y")).distinct()
 
 
 def _cross_links(docs: DataFrame, edges: DataFrame, checked: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """All links found, those between components that share a bucket included."""
     linked = checked.where("linked").select("x", "y")
     named = components(linked)
-    ends = _relabelled(_relabelled(edges, named, "x").withColumnRenamed("c", "cx"), named, "y").where("c <> cx")
-    members = reps.mapInArrow(_exploded, "key long, id long, n long").join(ends.select("key").distinct(), "key", "left_semi")
-    members = staged(_relabelled(members, named), "members")
-    sets = _sets_of(docs, members.select("id"), k)
-    hubs = staged(_hub_pairs(_split(members)).join(checked.select("x", "y"), ["x", "y"], "left_anti"), "hubs")
+    # A bucket of two has one edge, which has been tested: only larger ones can hide a link.
+    large = edges.groupBy("key").agg(F.count("*").alias("edges")).where("edges > 1").select("key")
+    ends = _relabelled(_relabelled(edges.join(large, "key", "left_semi"), named, "x").withColumnRenamed("c", "cx"), named, "y").where("c <> cx")
+    apart = staged(ends.select("key").distinct(), "apart")
+    members = reps.select("id", "n_shingles", "keys").mapInArrow(_exploded(_key_filter(apart)), "key long, id long, n long")
+    members = _by_size(members.join(apart, "key", "left_semi"), percent)
+    members = staged(_split(_relabelled(members, named)), "members")
+    hubs = staged(_hub_pairs(members, percent).join(checked.select("x", "y"), ["x", "y"], "left_anti"), "hubs")
+    sets = _sets_of(docs, hubs.select(F.col("x").alias("id")).union(hubs.select("y")), k)
     again = staged(_verified(sets, hubs, percent), "hubs_checked")
     linked = linked.union(again.where("linked").select("x", "y"))
     named = components(linked)
     left = _split(_relabelled(members.drop("c"), named)).groupBy("id").agg(F.first("c").alias("c"), F.first("n").alias("n"))
+    left = staged(left, "left")
+    sets = _sets_of(docs, left.select("id"), k)
     pairs = _prefix_pairs(sets.join(left, "id").select("id", "set", "c", "n"), percent)
     done = checked.select("x", "y").union(again.select("x", "y"))
     pairs = staged(pairs.join(done, ["x", "y"], "left_anti"), "cross")
@@ -266,20 +358,22 @@ def near_duplicates(
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    sig = staged(signatures(docs, k, m, r), "signatures")
+    sig = staged(_largest(signatures(docs, k, m, r)), "signatures")
     filled = sig.where("n_shingles > 0")
     reps = filled.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     reps = staged(reps, "classes")
     rows = reps.select("id", "keys").mapInArrow(_combine, "key long, x long, y long")
     edges = rows.repartition("key").sortWithinPartitions("key", "x").mapInArrow(_link, "key long, x long, y long")
     edges = staged(edges, "tree")
-    pairs = staged(edges.select("x", "y").distinct(), "pairs")
+    # Sets whose sizes differ too much cannot be linked.
+    size = reps.select("id", F.col("n_shingles").alias("n"))
+    pairs = edges.select("x", "y").distinct().join(size.withColumnsRenamed({"id": "x", "n": "nx"}), "x").join(size.withColumnsRenamed({"id": "y", "n": "ny"}), "y")
+    pairs = staged(pairs.where(_like_size("nx", "ny", percent)).select("x", "y"), "pairs")
     sets = _sets_of(docs, pairs.select(F.col("x").alias("id")).union(pairs.select("y")), k)
     checked = staged(_verified(sets, pairs, percent), "checked")
     named = components(_cross_links(docs, edges, checked, reps, k, percent))
     classes = reps.select("set_a", "set_b", F.col("id").alias("node")).join(named, "node", "left")
     classes = classes.select("set_a", "set_b", F.coalesce("component", "node").alias("c"))
     out = sig.select("id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
-    out = out.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.max_by("c", "n_shingles").alias("c"))
     component = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))

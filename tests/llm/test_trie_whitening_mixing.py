@@ -283,3 +283,27 @@ def test_cheapest_flow():
             out[i] += v
         assert (-sum(sent.values()), sum(v + max(0, v - masses[i]) for i, v in out.items())) == best
         assert all(v >= 0 for v in sent.values())
+
+
+def test_near_duplicates_of_repeated_ids_and_mixed_sizes(spark):
+    """Of rows that repeat an id the largest set counts; buckets of very different sizes lose no link."""
+    from claimweave.llm import minhash
+
+    rng = np.random.default_rng(17)
+    base = [f"w{i}" for i in range(400)]
+    texts = {}
+    for i in range(120):
+        n = int(rng.choice([20, 60, 200, 400]))
+        own = list(base[:n])
+        for j in rng.choice(n, max(1, n // 60), replace=False):
+            own[j] = f"v{rng.integers(50)}"
+        texts[i] = " ".join(own)
+    rows = list(texts.items()) + [(i, "tiny text") for i in range(0, 120, 3)]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=2).collect()}
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in texts.items()}
+    name = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            old, new = max(name[a], name[b]), min(name[a], name[b])
+            name = {i: new if c == old else c for i, c in name.items()}
+    assert out == {i: (len(sets[i]), name[i]) for i in sets}
