@@ -6,6 +6,7 @@ enrolment record = order, supply episode = line item (ship date, quantity days).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -181,6 +182,46 @@ def panel_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.assemble_panel(months, covariates, exposed, counted, "id")
 
 
+def sql_erfc(x: str) -> str:
+    """SQL text of the complementary error function at x >= 0, by Simpson sums up to x + 10."""
+    parts = f"CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow({x} + i * 0.0025::DOUBLE, 2))"
+    return f"(list_sum(list_transform(range(0, 4001), lambda i: {parts})) * {0.0025 / 3 * 1.1283791670955126!r}::DOUBLE)"
+
+
+def sql_p(z: str) -> str:
+    """SQL text of the two-sided normal tail."""
+    return sql_erfc(f"abs({z}) / sqrt(2.0::DOUBLE)")
+
+
+def sql_chi2(x: str, df: int) -> str:
+    """SQL text of the chi-square tail for whole degrees of freedom."""
+    if df % 2 == 0:
+        return f"(exp(-({x}) / 2) * ({' + '.join(f'pow(({x}) / 2, {k}) / {math.factorial(k)}' for k in range(df // 2))}))"
+    terms = [f"exp(-({x}) / 2) * pow(({x}) / 2, {k + 0.5}) / {math.gamma(k + 1.5)!r}::DOUBLE" for k in range((df - 1) // 2)]
+    return "(" + " + ".join([sql_erfc(f"sqrt(({x}) / 2)"), *terms]) + ")"
+
+
+def sql_sweep(p: int, rows: str, keep: str) -> str:
+    """SQL text that solves symmetric systems: ``rows`` has m{i}_{j} for i <= j <= p, of which column p is the right side.
+
+    After sweeping the first p pivots, m{i}_{p} is the solution, -m{i}_{j} the inverse, -m{p}_{p} the quadratic form.
+    """
+    name = lambda i, j: f"m{min(i, j)}_{max(i, j)}"
+    for k in range(p):
+        cells = []
+        for i in range(p + 1):
+            for j in range(i, p + 1):
+                if i == j == k:
+                    cell = f"-1 / {name(k, k)}"
+                elif k in (i, j):
+                    cell = f"{name(i, j)} / {name(k, k)}"
+                else:
+                    cell = f"{name(i, j)} - {name(i, k)} * {name(k, j)} / {name(k, k)}"
+                cells.append(f"{cell} AS {name(i, j)}")
+        rows = f"SELECT {keep}, {', '.join(cells)} FROM ({rows})"
+    return rows
+
+
 def rounded(df: DataFrame, digits: int = 6, *columns: str) -> DataFrame:
     """Round double columns (all by default) so that results compare across engines."""
     names = columns or [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]

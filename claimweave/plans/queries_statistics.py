@@ -11,7 +11,7 @@ from claimweave.operators.fits import ratio_table
 from claimweave.operators.regression import logistic, poisson_gee
 from claimweave.plans import propensity_study
 from claimweave.plans.driver_tables import (
-    SQL_PF, SQL_SURVIVAL, panel_frame, query, rounded, survival_frame, table, union_all,
+    SQL_PF, SQL_SURVIVAL, panel_frame, query, rounded, sql_chi2, sql_p, sql_sweep, survival_frame, table, union_all,
 )
 
 TIMES = (0, 400, 800, 1200, 1600, 2000, 2400)
@@ -113,6 +113,24 @@ def km_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(survival.kaplan_meier(survival_frame(spark, sf), "ft", "ot", ["treat"], "w"))
 
 
+@query(
+    "km_weighted_robust",
+    f"""WITH {_km_sql('treat', 'w', 'DOUBLE')},
+      g AS (SELECT c.treat, c.time, c.surv, sum(sf.w * sf.w * pow(coalesce(a.a, 0) - CASE WHEN sf.ot = 1 AND sf.ft <= c.time THEN 1 / (own.r - own.d) ELSE 0 END, 2)) AS v
+        FROM curve c JOIN sf ON sf.treat = c.treat
+        JOIN (SELECT treat, time, r, d, sum(d / (r * (r - d))) FILTER (NOT fin) OVER (PARTITION BY treat ORDER BY time) AS a FROM st) a
+          ON a.treat = c.treat AND a.time = least(c.time, sf.ft)
+        JOIN st own ON own.treat = sf.treat AND own.time = sf.ft
+        WHERE c.lower IS NOT NULL GROUP BY ALL)
+    SELECT c.treat, c.time, round(n_risk, 6) AS n_risk, round(n_event, 6) AS n_event, round(n_censor, 6) AS n_censor, round(c.surv, 6) AS surv,
+      round(c.surv * sqrt(v), 6) AS std_err, round(exp(ln(c.surv) - 1.959963984540054 * sqrt(v)), 6) AS lower,
+      round(least(exp(ln(c.surv) + 1.959963984540054 * sqrt(v)), 1), 6) AS upper FROM curve c LEFT JOIN g ON g.treat = c.treat AND g.time = c.time""",
+)
+def km_weighted_robust(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted curves with infinitesimal-jackknife limits."""
+    return rounded(survival.kaplan_meier(survival_frame(spark, sf), "ft", "ot", ["treat"], "w", robust=True))
+
+
 def _life_sql(extend: bool) -> str:
     times = ", ".join(f"({t}::DOUBLE)" for t in TIMES)
     return f"""WITH {SQL_SURVIVAL}, grid(time) AS (VALUES {times}), g AS (SELECT segment, max(ft) AS last FROM sf GROUP BY 1),
@@ -145,15 +163,31 @@ def _logrank_sql(by: str) -> str:
       SELECT CAST(g AS VARCHAR) AS level, n, CAST(o AS BIGINT) AS observed, round(e, 6) AS expected, round(v, 6) AS variance"""
 
 
-@query("logrank", _logrank_sql("treat") + ", round(pow(o - e, 2) / v, 6) AS chisq, 1 AS df FROM g JOIN e USING (g)")
+@query(
+    "logrank",
+    _logrank_sql("treat") + f", round(pow(o - e, 2) / v, 6) AS chisq, 1 AS df, round({sql_chi2('pow(o - e, 2) / v', 1)}, 6) AS p_value FROM g JOIN e USING (g)",
+)
 def logrank(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(survival.logrank(survival_frame(spark, sf), "ft", "ot", "treat", [0, 1]).drop("p_value"))
+    return rounded(survival.logrank(survival_frame(spark, sf), "ft", "ot", "treat", [0, 1]))
+
 
+def _logrank_groups_sql() -> str:
+    """Observed less expected and their covariance for the first four of five segments, then the quadratic form."""
+    gap = ", ".join(f"sum(gap) FILTER (i = {i}) AS m{i}_4" for i in range(4))
+    cells = [f"sum(c) FILTER (i = {i} AND j = {j}) AS m{i}_{j}" for i in range(4) for j in range(i, 4)]
+    system = f"SELECT 1 AS one, m.*, u.*, 0::DOUBLE AS m4_4 FROM (SELECT {', '.join(cells)} FROM cv) m, (SELECT {gap} FROM nb) u"
+    base = _logrank_sql("segment").split("SELECT CAST(g AS VARCHAR)")[0]
+    shown = _logrank_sql("segment")[len(base) :]
+    return f"""{base}, nb AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, o - e AS gap FROM g JOIN e USING (g)),
+      cv AS (SELECT a.i, b.i AS j, sum(CASE WHEN x.nn > 1 THEN x.d * (x.nn - x.d) / (x.nn - 1) ELSE 0 END * (CASE WHEN a.i = b.i THEN x.ng / x.nn ELSE 0 END - x.ng * y.ng / (x.nn * x.nn))) AS c
+        FROM r x JOIN r y ON x.ft = y.ft JOIN nb a ON a.g = x.g JOIN nb b ON b.g = y.g WHERE a.i <= b.i GROUP BY 1, 2),
+      q AS (SELECT -m4_4 AS q FROM ({sql_sweep(4, system, "one")}))
+      {shown}, round(q, 6) AS chisq, 4 AS df, round({sql_chi2("q", 4)}, 6) AS p_value FROM g JOIN e USING (g), q"""
 
-@query("logrank_groups", _logrank_sql("segment") + " FROM g JOIN e USING (g)")
+
+@query("logrank_groups", _logrank_groups_sql())
 def logrank_groups(spark: SparkSession, sf: str) -> DataFrame:
-    out = survival.logrank(survival_frame(spark, sf), "ft", "ot", "segment")
-    return rounded(out.drop("chisq", "df", "p_value"))
+    return rounded(survival.logrank(survival_frame(spark, sf), "ft", "ot", "segment"))
 
 
 def _coefficients(fit, se: str = "auto") -> DataFrame:
@@ -229,6 +263,24 @@ def clogit_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _coefficients(conditional_logistic(pairs, "ot", ["x"], "gg"))
 
 
+@query(
+    "clogit_sets",
+    f"""WITH RECURSIVE {SQL_SURVIVAL}, s AS (SELECT id // 5 AS g, sum(x) AS n1, count(*) - sum(x) AS n0, sum(ot) AS m, sum(ot * x) AS a FROM sf GROUP BY 1),
+      c AS (SELECT g, a, j, lgamma(n1 + 1) - lgamma(j + 1) - lgamma(n1 - j + 1) + lgamma(n0 + 1) - lgamma(m - j + 1) - lgamma(n0 - m + j + 1) AS lc
+        FROM (SELECT g, a, n1::DOUBLE AS n1, n0::DOUBLE AS n0, m::DOUBLE AS m, unnest(range(CAST(greatest(0, m - n0) AS BIGINT), CAST(least(m, n1) + 1 AS BIGINT)))::DOUBLE AS j FROM s)),
+      it AS (SELECT 0 AS k, 0::DOUBLE AS b, 0::DOUBLE AS info UNION ALL
+        SELECT k + 1, b + sum(a - s1 / s0) / sum(s2 / s0 - pow(s1 / s0, 2)), sum(s2 / s0 - pow(s1 / s0, 2)) FROM (
+          SELECT k, b, g, any_value(a) AS a, sum(v) AS s0, sum(v * j) AS s1, sum(v * j * j) AS s2 FROM (SELECT it.k, it.b, c.*, exp(lc + b * j) AS v FROM it, c WHERE k < 15) GROUP BY k, b, g)
+        GROUP BY k, b)
+    SELECT 'x' AS term, round(b, 6) AS estimate, round(1 / sqrt(info), 6) AS std_err, round(b * sqrt(info), 6) AS statistic, round({sql_p("b * sqrt(info)")}, 6) AS p_value,
+      round(b - 1.959963984540054 / sqrt(info), 6) AS lower, round(b + 1.959963984540054 / sqrt(info), 6) AS upper FROM it WHERE k = 15""",
+)
+def clogit_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Conditional logistic regression on sets of up to five persons with any number of cases."""
+    frame = survival_frame(spark, sf).select("ot", "x", F.floor(F.col("id") / 5).alias("g"))
+    return rounded(conditional_logistic(frame, "ot", ["x"], "g").tidy())
+
+
 def _cox_terms(strata: str = "", w: str = "1.0::DOUBLE") -> str:
     """Per event time: weighted risk-set and event sums of a 0/1 covariate, one row per tied event."""
     s, join = (f"{strata}, ", f"AND sf.{strata} = e.{strata}") if strata else ("", "")
