@@ -191,15 +191,20 @@ def logrank_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _coefficients(fit, se: str = "auto") -> DataFrame:
-    return rounded(fit.tidy(se).select("term", "estimate", "std_err"))
+    return rounded(fit.tidy(se))
+
+
+# All columns of a coefficient table, from rows of term, b and s.
+SHOWN = f"""term, round(b, 6) AS estimate, round(s, 6) AS std_err, round(b / s, 6) AS statistic, round({sql_p("b / s")}, 6) AS p_value,
+    round(b - 1.959963984540054 * s, 6) AS lower, round(b + 1.959963984540054 * s, 6) AS upper"""
 
 
 @query(
     "logit_binary",
     f"""WITH {SQL_SURVIVAL}, k AS (SELECT count(*) FILTER (x = 1 AND ot = 1)::DOUBLE AS a, count(*) FILTER (x = 1 AND ot = 0)::DOUBLE AS b,
       count(*) FILTER (x = 0 AND ot = 1)::DOUBLE AS c, count(*) FILTER (x = 0 AND ot = 0)::DOUBLE AS d FROM sf)
-    SELECT '(Intercept)' AS term, round(ln(c / d), 6) AS estimate, round(sqrt(1 / c + 1 / d), 6) AS std_err FROM k UNION ALL
-    SELECT 'x', round(ln(a * d / (b * c)), 6), round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 6) FROM k""",
+    SELECT {SHOWN} FROM (SELECT '(Intercept)' AS term, ln(c / d) AS b, sqrt(1 / c + 1 / d) AS s FROM k UNION ALL
+      SELECT 'x', ln(a * d / (b * c)), sqrt(1 / a + 1 / b + 1 / c + 1 / d) FROM k)""",
 )
 def logit_binary(spark: SparkSession, sf: str) -> DataFrame:
     return _coefficients(logistic(survival_frame(spark, sf), "ot", ["x"]))
@@ -212,10 +217,10 @@ def logit_binary(spark: SparkSession, sf: str) -> DataFrame:
     e AS (SELECT '(Intercept)' AS term, ln(c / d) AS b, sqrt(1 / c + 1 / d) AS s FROM k UNION ALL
       SELECT 'rich', ln(a * d / (b * c)), sqrt(1 / a + 1 / b + 1 / c + 1 / d) FROM k)
     SELECT term, round(exp(b), 6) AS ratio, round(exp(b - 1.959963984540054 * s), 6) AS lower,
-    round(exp(b + 1.959963984540054 * s), 6) AS upper FROM e""",
+    round(exp(b + 1.959963984540054 * s), 6) AS upper, round({sql_p("b / s")}, 6) AS p_value FROM e""",
 )
 def odds_ratio_table(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ratio_table(logistic(survival_frame(spark, sf), "ot", ["rich"])).drop("p_value"))
+    return rounded(ratio_table(logistic(survival_frame(spark, sf), "ot", ["rich"])))
 
 
 SQL_LOGIT = f"""WITH RECURSIVE {SQL_SURVIVAL}, c AS (SELECT x, rich, count(*)::DOUBLE AS n, sum(ot)::DOUBLE AS s FROM sf GROUP BY 1, 2),
@@ -229,9 +234,8 @@ SQL_LOGIT = f"""WITH RECURSIVE {SQL_SURVIVAL}, c AS (SELECT x, rich, count(*)::D
           sum(v * x) AS l, sum(v * rich) AS m, sum(v * x) AS p, sum(v * x * rich) AS q, sum(v * rich) AS r
         FROM (SELECT *, n * mu * (1 - mu) AS v FROM (SELECT *, 1 / (1 + exp(-(a + b * x + g * rich))) AS mu FROM it, c WHERE k < 15))
         GROUP BY k, a, b, g)))
-    SELECT '(Intercept)' AS term, round(a, 6) AS estimate, round(sqrt(va), 6) AS std_err FROM it WHERE k = 15 UNION ALL
-    SELECT 'x', round(b, 6), round(sqrt(vb), 6) FROM it WHERE k = 15 UNION ALL
-    SELECT 'rich', round(g, 6), round(sqrt(vg), 6) FROM it WHERE k = 15"""
+    SELECT {SHOWN} FROM (SELECT '(Intercept)' AS term, a AS b, sqrt(va) AS s FROM it WHERE k = 15 UNION ALL
+      SELECT 'x', b, sqrt(vb) FROM it WHERE k = 15 UNION ALL SELECT 'rich', g, sqrt(vg) FROM it WHERE k = 15)"""
 
 
 @query("logit_multi", SQL_LOGIT)
@@ -254,7 +258,7 @@ SQL_PAIRS = f"""{SQL_SURVIVAL}, r AS (SELECT *, row_number() OVER (PARTITION BY
 @query(
     "clogit_pairs",
     f"""WITH {SQL_PAIRS}, k AS (SELECT count(*) FILTER (x1 = 1 AND x0 = 0)::DOUBLE AS f, count(*) FILTER (x1 = 0 AND x0 = 1)::DOUBLE AS g FROM pr)
-    SELECT 'x' AS term, round(ln(f / g), 6) AS estimate, round(sqrt(1 / f + 1 / g), 6) AS std_err FROM k""",
+    SELECT {SHOWN} FROM (SELECT 'x' AS term, ln(f / g) AS b, sqrt(1 / f + 1 / g) AS s FROM k)""",
 )
 def clogit_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Conditional logistic regression on 1:1 matched pairs."""
@@ -294,7 +298,7 @@ def _cox_terms(strata: str = "", w: str = "1.0::DOUBLE") -> str:
         GROUP BY k, b)"""
 
 
-SQL_COX_OUT = "SELECT 'x' AS term, round(b, 6) AS estimate, round(1 / sqrt(info), 6) AS std_err FROM it WHERE k = 15"
+SQL_COX_OUT = f"SELECT {SHOWN} FROM (SELECT 'x' AS term, b, 1 / sqrt(info) AS s FROM it WHERE k = 15)"
 
 
 @query("cox_uni", f"WITH RECURSIVE {_cox_terms()} {SQL_COX_OUT}")
@@ -316,8 +320,7 @@ def cox_strata(spark: SparkSession, sf: str) -> DataFrame:
       c AS (SELECT sf.id, sum(h0) AS h0, sum(h1) AS h1 FROM sf JOIN hz ON hz.ft <= sf.ft GROUP BY 1),
       u AS (SELECT sf.w, ot * (x - coalesce(m, 0)) - exp(b * x) * (x * (coalesce(c.h0, 0) - ot * coalesce(q0, 0))
         - (coalesce(c.h1, 0) - ot * coalesce(q1, 0))) AS u FROM sf LEFT JOIN c USING (id) LEFT JOIN hz USING (ft), fin)
-    SELECT 'x' AS term, round(b, 6) AS estimate, round(1 / sqrt(info), 6) AS std_err,
-      round((SELECT sqrt(sum(w * w * u * u)) FROM u) / info, 6) AS robust_se FROM fin""",
+    SELECT {SHOWN}, robust_se FROM (SELECT 'x' AS term, b, 1 / sqrt(info) AS s, round((SELECT sqrt(sum(w * w * u * u)) FROM u) / info, 6) AS robust_se FROM fin)""",
 )
 def cox_weighted(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted Cox regression with model-based and sandwich standard errors."""
@@ -339,8 +342,7 @@ def cox_weighted(spark: SparkSession, sf: str) -> DataFrame:
               sum(sr / s - sr * sr / (s * s)) AS irr, sum(sxr / s - sx * sr / (s * s)) AS ixr FROM (
               SELECT k, b, g, ft, i, ex, er, sum(z) AS s, sum(z * x) AS sx, sum(z * rich) AS sr, sum(z * x * rich) AS sxr FROM (
                 SELECT *, m * exp(b * x + g * rich) AS z FROM it, l WHERE k < 12) GROUP BY ALL) GROUP BY k, b, g)))
-    SELECT 'x' AS term, round(b, 6) AS estimate, round(sqrt(vb), 6) AS std_err FROM it WHERE k = 12 UNION ALL
-    SELECT 'rich', round(g, 6), round(sqrt(vg), 6) FROM it WHERE k = 12""",
+    SELECT {SHOWN} FROM (SELECT 'x' AS term, b, sqrt(vb) AS s FROM it WHERE k = 12 UNION ALL SELECT 'rich', g, sqrt(vg) FROM it WHERE k = 12)""",
 )
 def cox_multi(spark: SparkSession, sf: str) -> DataFrame:
     return _coefficients(cox(survival_frame(spark, sf), "ft", "ot", ["x", "rich"]))
@@ -362,12 +364,12 @@ def cox_zph(spark: SparkSession, sf: str) -> DataFrame:
         ORDER BY ft ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS g FROM rk),
       t AS (SELECT g.g, dx / l.d - p AS u, p - p * p AS v FROM (SELECT l.*, (n1 - a * dx) * exp(b) / (n0 - a * (dw - dx) + (n1 - a * dx) * exp(b)) AS p
         FROM l, it WHERE it.k = 15) l JOIN g USING (ft)),
-      z AS (SELECT round(pow(sum(g * u), 2) / (sum(g * g * v) - pow(sum(g * v), 2) / sum(v)), 5) AS chisq FROM t)
-    SELECT 'x' AS term, chisq, 1 AS df FROM z UNION ALL SELECT 'GLOBAL', chisq, 1 FROM z""",
+      z AS (SELECT pow(sum(g * u), 2) / (sum(g * g * v) - pow(sum(g * v), 2) / sum(v)) AS chisq FROM t)
+    SELECT term, round(chisq, 5) AS chisq, 1 AS df, round({sql_chi2("chisq", 1)}, 5) AS p_value FROM z, (VALUES ('x'), ('GLOBAL')) t(term)""",
 )
 def cox_zph_uni(spark: SparkSession, sf: str) -> DataFrame:
     frame = survival_frame(spark, sf)
-    return rounded(ph_test(frame, cox(frame, "ft", "ot", ["x"]), "ft", "ot").drop("p_value"), 5)
+    return rounded(ph_test(frame, cox(frame, "ft", "ot", ["x"]), "ft", "ot"), 5)
 
 
 @query(
@@ -380,7 +382,8 @@ def cox_zph_uni(spark: SparkSession, sf: str) -> DataFrame:
     SELECT 'cox' AS model, 'n' AS statistic, CAST(n AS DOUBLE) AS value FROM tot UNION ALL SELECT 'cox', 'events', CAST(e AS DOUBLE) FROM tot
     UNION ALL SELECT 'cox', 'loglik', round(ll, 5) FROM ll UNION ALL SELECT 'cox', 'loglik_null', round(ll0, 5) FROM ll
     UNION ALL SELECT 'cox', 'lr_chisq', round(2 * (ll - ll0), 5) FROM ll UNION ALL SELECT 'cox', 'wald_chisq', round(b * b * info, 5) FROM f, tot
-    UNION ALL SELECT 'cox', 'score_chisq', round(u * u / i0, 5) FROM ll
+    UNION ALL SELECT 'cox', 'score_chisq', round(u * u / i0, 5) FROM ll UNION ALL SELECT 'cox', 'lr_p', round({sql_chi2("2 * (ll - ll0)", 1)}, 5) FROM ll
+    UNION ALL SELECT 'cox', 'wald_p', round({sql_chi2("b * b * info", 1)}, 5) FROM f, tot UNION ALL SELECT 'cox', 'score_p', round({sql_chi2("u * u / i0", 1)}, 5) FROM ll
     UNION ALL SELECT 'logistic', statistic, value FROM (
       SELECT unnest(['n', 'events', 'null_deviance', 'deviance', 'aic', 'loglik']) AS statistic,
         unnest([n, e, round(-2 * l0, 5), round(-2 * l1, 5), round(-2 * l1 + 4, 5), round(l1, 5)]) AS value FROM (
@@ -393,6 +396,7 @@ def fit_summary(spark: SparkSession, sf: str) -> DataFrame:
     frame = survival_frame(spark, sf)
     both = fit_overview({"cox": cox(frame, "ft", "ot", ["x"]), "logistic": logistic(frame, "ot", ["x"])})
     shown = ["n", "events", "loglik", "loglik_null", "lr_chisq", "wald_chisq", "score_chisq", "null_deviance", "deviance", "aic"]
+    shown += ["lr_p", "wald_p", "score_p"]
     return rounded(both.filter(F.col("statistic").isin(shown)), 5)
 
 
@@ -430,13 +434,14 @@ def ps_histogram(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {SQL_PS}, m AS (SELECT treat, sum(iptw * x) / sum(iptw) AS x, sum(iptw * rich) / sum(iptw) AS rich, count(*) AS n FROM iw GROUP BY 1),
     r AS (SELECT 'x' AS variable, a.n AS n_0, b.n AS n_1, a.x AS m0, b.x AS m1 FROM m a, m b WHERE a.treat = 0 AND b.treat = 1 UNION ALL
       SELECT 'rich', a.n, b.n, a.rich, b.rich FROM m a, m b WHERE a.treat = 0 AND b.treat = 1)
-    SELECT variable, 'binary' AS kind, n_0, n_1, round(m0, 6) AS mean_0, round(m1, 6) AS mean_1 FROM r""",
+    SELECT variable, 'binary' AS kind, n_0, n_1, round(m0, 6) AS mean_0, round(m1, 6) AS mean_1, round(sqrt(m0 * (1 - m0)), 6) AS sd_0,
+      round(sqrt(m1 * (1 - m1)), 6) AS sd_1, round(abs(m1 - m0) / sqrt((m0 * (1 - m0) + m1 * (1 - m1)) / 2), 6) AS smd FROM r""",
 )
 def weighted_smd_iptw(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted means agree between the groups when the propensity model is saturated."""
     weighted = weights.iptw(scored(spark, sf), "treat", "ps")
     out = describe.baseline_smd(weighted, "treat", [], ["x", "rich"], "iptw")
-    return rounded(out.drop("sd_0", "sd_1", "smd"))
+    return rounded(out)
 
 
 def propensity_input(spark: SparkSession, sf: str) -> DataFrame:
@@ -479,8 +484,8 @@ def psm_given_score(spark: SparkSession, sf: str) -> DataFrame:
       sum(ot) FILTER (exposed = 1) AS y1, sum(ot) FILTER (exposed = 0) AS y0 FROM pf),
     u AS (SELECT id, sum(CASE WHEN exposed = 1 THEN ot - m1 ELSE 0 END) / any_value(y1) AS e1,
       sum(CASE WHEN exposed = 0 THEN ot - m0 ELSE 0 END) / any_value(y0) AS e0 FROM pf, k GROUP BY 1)
-    SELECT '(Intercept)' AS term, round(ln(m0), 6) AS estimate, round((SELECT sqrt(sum(e0 * e0)) FROM u), 6) AS std_err FROM k UNION ALL
-    SELECT 'exposed', round(ln(m1 / m0), 6), round((SELECT sqrt(sum(pow(e1 - e0, 2))) FROM u), 6) FROM k""",
+    SELECT {SHOWN} FROM (SELECT '(Intercept)' AS term, ln(m0) AS b, (SELECT sqrt(sum(e0 * e0)) FROM u) AS s FROM k UNION ALL
+      SELECT 'exposed', ln(m1 / m0), (SELECT sqrt(sum(pow(e1 - e0, 2))) FROM u) FROM k)""",
 )
 def rate_ratio_gee_independence(spark: SparkSession, sf: str) -> DataFrame:
     return _coefficients(poisson_gee(panel_frame(spark, sf), "ot", ["exposed"], "id", corr="independence"))
@@ -505,8 +510,8 @@ SQL_GEE = f"""{SQL_PF}, it AS (SELECT 0 AS k, ln(avg(ot)) AS a, 0::DOUBLE AS b,
 @query(
     "gee_exchangeable",
     f"""WITH RECURSIVE {SQL_GEE}
-    SELECT '(Intercept)' AS term, round(a, 6) AS estimate, round(sqrt(va), 6) AS std_err, round(rho, 6) AS alpha FROM it WHERE k = 25 UNION ALL
-    SELECT 'exposed', round(b, 6), round(sqrt(vb), 6), round(rho, 6) FROM it WHERE k = 25""",
+    SELECT {SHOWN}, alpha FROM (SELECT '(Intercept)' AS term, a AS b, sqrt(va) AS s, round(rho, 6) AS alpha FROM it WHERE k = 25 UNION ALL
+      SELECT 'exposed', b, sqrt(vb), round(rho, 6) FROM it WHERE k = 25)""",
 )
 def gee_exchangeable(spark: SparkSession, sf: str) -> DataFrame:
     """Poisson rates with exchangeable correlation inside persons."""
@@ -517,12 +522,12 @@ def gee_exchangeable(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "rate_ratio_exposed",
     f"""WITH RECURSIVE {SQL_GEE} SELECT 'exposed' AS term, round(exp(b), 2) AS ratio, round(exp(b - 1.96 * sqrt(vb)), 2) AS lower,
-    round(exp(b + 1.96 * sqrt(vb)), 2) AS upper FROM it WHERE k = 25""",
+    round(exp(b + 1.96 * sqrt(vb)), 2) AS upper, round({sql_p("b / sqrt(vb)")}, 4) AS p_value FROM it WHERE k = 25""",
 )
 def rate_ratio_exposed(spark: SparkSession, sf: str) -> DataFrame:
     """Rate ratio of the exposure with 1.96-limits from the robust standard error."""
     fit = poisson_gee(panel_frame(spark, sf), "ot", ["exposed"], "id")
-    return ratio_table(fit, "robust", 1.96, (2, 2, 4)).filter("term = 'exposed'").drop("p_value")
+    return ratio_table(fit, "robust", 1.96, (2, 2, 4)).filter("term = 'exposed'")
 
 
 @query("rate_ratio_table")
