@@ -329,9 +329,7 @@ def cox_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_coefficients(fit, "model").join(robust, "term"))
 
 
-@query(
-    "cox_multi",
-    f"""WITH RECURSIVE {SQL_SURVIVAL}, e AS (SELECT ft, count(*)::DOUBLE AS d, sum(x) AS ex, sum(rich) AS er FROM sf WHERE ot = 1 GROUP BY 1),
+SQL_COX_TWO = f"""WITH RECURSIVE {SQL_SURVIVAL}, e AS (SELECT ft, count(*)::DOUBLE AS d, sum(x) AS ex, sum(rich) AS er FROM sf WHERE ot = 1 GROUP BY 1),
       c AS (SELECT e.ft, e.d, e.ex, e.er, sf.x, sf.rich, count(*)::DOUBLE AS n, count(*) FILTER (sf.ft = e.ft AND ot = 1)::DOUBLE AS v
         FROM e JOIN sf ON sf.ft >= e.ft GROUP BY ALL),
       l AS (SELECT ft, d, ex / d AS ex, er / d AS er, i, x, rich, n - i / d * v AS m FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) AS i FROM c)),
@@ -341,19 +339,42 @@ def cox_weighted(spark: SparkSession, sf: str) -> DataFrame:
             SELECT k, b, g, sum(ex - sx / s) AS ux, sum(er - sr / s) AS ur, sum(sx / s - sx * sx / (s * s)) AS ixx,
               sum(sr / s - sr * sr / (s * s)) AS irr, sum(sxr / s - sx * sr / (s * s)) AS ixr FROM (
               SELECT k, b, g, ft, i, ex, er, sum(z) AS s, sum(z * x) AS sx, sum(z * rich) AS sr, sum(z * x * rich) AS sxr FROM (
-                SELECT *, m * exp(b * x + g * rich) AS z FROM it, l WHERE k < 12) GROUP BY ALL) GROUP BY k, b, g)))
+                SELECT *, m * exp(b * x + g * rich) AS z FROM it, l WHERE k < 12) GROUP BY ALL) GROUP BY k, b, g)))"""
+
+
+@query(
+    "cox_multi",
+    f"""{SQL_COX_TWO}
     SELECT {SHOWN} FROM (SELECT 'x' AS term, b, sqrt(vb) AS s FROM it WHERE k = 12 UNION ALL SELECT 'rich', g, sqrt(vg) FROM it WHERE k = 12)""",
 )
 def cox_multi(spark: SparkSession, sf: str) -> DataFrame:
     return _coefficients(cox(survival_frame(spark, sf), "ft", "ot", ["x", "rich"]))
 
 
-@query("cox_zph")
+@query(
+    "cox_zph",
+    f"""{SQL_COX_TWO}, dn AS (SELECT ft, count(*)::DOUBLE AS n, sum(ot)::DOUBLE AS d FROM sf GROUP BY 1),
+      rk AS (SELECT *, sum(n) OVER (ORDER BY ft DESC) AS r FROM dn),
+      gt AS (SELECT ft, 1 - exp(coalesce(sum(CASE WHEN d > 0 AND d < r THEN ln(1 - d / r) ELSE 0 END) OVER (
+        ORDER BY ft ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS h FROM rk),
+      lf AS (SELECT ft, i, ex, er, sum(z) AS s, sum(z * x) AS sx, sum(z * rich) AS sr, sum(z * x * rich) AS sxr
+        FROM (SELECT l.*, m * exp(b * x + g * rich) AS z FROM l, it WHERE k = 12) GROUP BY ft, i, ex, er),
+      t AS (SELECT h, ex - sx / s AS u1, er - sr / s AS u2, sx / s - pow(sx / s, 2) AS v11, sr / s - pow(sr / s, 2) AS v22, sxr / s - sx * sr / (s * s) AS v12
+        FROM lf JOIN gt USING (ft)),
+      w AS (SELECT sum(h * u1) AS u1, sum(h * u2) AS u2, sum(v11) AS a11, sum(v12) AS a12, sum(v22) AS a22, sum(h * v11) AS b11, sum(h * v12) AS b12,
+        sum(h * v22) AS b22, sum(h * h * v11) AS c11, sum(h * h * v12) AS c12, sum(h * h * v22) AS c22 FROM t),
+      n AS (SELECT u1, u2, c11 - (b11 * (a22 * b11 - a12 * b12) + b12 * (a11 * b12 - a12 * b11)) / (a11 * a22 - a12 * a12) AS i11,
+        c12 - (b11 * (a22 * b12 - a12 * b22) + b12 * (a11 * b22 - a12 * b12)) / (a11 * a22 - a12 * a12) AS i12,
+        c22 - (b12 * (a22 * b12 - a12 * b22) + b22 * (a11 * b22 - a12 * b12)) / (a11 * a22 - a12 * a12) AS i22 FROM w),
+      z AS (SELECT 'x' AS term, u1 * u1 / i11 AS q, 1 AS df FROM n UNION ALL SELECT 'rich', u2 * u2 / i22, 1 FROM n
+        UNION ALL SELECT 'GLOBAL', (u1 * u1 * i22 - 2 * u1 * u2 * i12 + u2 * u2 * i11) / (i11 * i22 - i12 * i12), 2 FROM n)
+    SELECT term, round(q, 5) AS chisq, df, round(CASE WHEN df = 1 THEN {sql_chi2("q", 1)} ELSE {sql_chi2("q", 2)} END, 5) AS p_value FROM z""",
+)
 def cox_zph(spark: SparkSession, sf: str) -> DataFrame:
     """Proportional-hazards test of a two-term model."""
     frame = survival_frame(spark, sf)
     fit = cox(frame, "ft", "ot", ["x", "rich"])
-    return ph_test(frame, fit, "ft", "ot")
+    return rounded(ph_test(frame, fit, "ft", "ot"), 5)
 
 
 @query(
@@ -530,7 +551,36 @@ def rate_ratio_exposed(spark: SparkSession, sf: str) -> DataFrame:
     return ratio_table(fit, "robust", 1.96, (2, 2, 4)).filter("term = 'exposed'")
 
 
-@query("rate_ratio_table")
+def _gee_sql(xs: tuple[str, ...]) -> str:
+    """Poisson GEE with exchangeable correlation and any covariates: coefficients b{j}, robust variances v{j}."""
+    names, p = ("1", *xs), len(xs) + 1
+    js, pairs = range(p), [(j, k) for j in range(p) for k in range(j, p)]
+    listed = ", ".join
+    state = listed(f"b{j}" for j in js)
+    eta = " + ".join(f"b{j} * {x}" for j, x in enumerate(names))
+    person = listed(
+        [f"sum({x} * sqrt(mu)) AS z{j}, sum({x} * (ot - mu)) AS e{j}" for j, x in enumerate(names)] + [f"sum({names[j]} * {names[k]} * mu) AS y{j}_{k}" for j, k in pairs]
+    )
+    rows = f"""SELECT k, {state}, rho, sum(n) AS nn, sum(n * (n - 1) / 2) AS prs, sum(ee) AS ee, sum((e * e - ee) / 2) AS crs, 0::DOUBLE AS m{p}_{p},
+        {listed(f"sum((y{j}_{k} - c * z{j} * z{k}) / (1 - rho)) AS m{j}_{k}, sum(u{j} * u{k}) AS q{j}_{k}" for j, k in pairs)}, {listed(f"sum(u{j}) AS m{j}_{p}" for j in js)}
+      FROM (SELECT *, {listed(f"(e{j} - c * z{j} * e) / (1 - rho) AS u{j}" for j in js)} FROM (SELECT *, rho / (1 + (n - 1) * rho) AS c FROM (
+        SELECT k, {state}, rho, id, count(*)::DOUBLE AS n, sum((ot - mu) / sqrt(mu)) AS e, sum(pow(ot - mu, 2) / mu) AS ee, {person}
+        FROM (SELECT it.*, pf.id, pf.ot, {listed(f"pf.{x}" for x in xs)}, exp({eta}) AS mu FROM it, pf WHERE k < 25) GROUP BY k, {state}, rho, id)))
+      GROUP BY k, {state}, rho"""
+    cell = lambda c, j, k: f"{c}{min(j, k)}_{max(j, k)}"
+    robust = listed(" + ".join(f"{cell('m', j, a)} * {cell('q', a, b)} * {cell('m', b, j)}" for a in js for b in js) for j in js)
+    keep = f"k, {state}, rho, nn, prs, ee, crs, {listed(f'q{j}_{k}' for j, k in pairs)}"
+    return f"""{SQL_PF}, it AS (SELECT 0 AS k, ln(avg(ot)) AS b0, {listed(f"0::DOUBLE AS b{j}" for j in js if j)}, 0::DOUBLE AS rho, {listed(f"0::DOUBLE AS v{j}" for j in js)} FROM pf
+      UNION ALL SELECT k + 1, {listed(f"b{j} + m{j}_{p}" for j in js)}, crs / (ee / (nn - {p}) * (prs - {p})), {robust} FROM ({sql_sweep(p, rows, keep)}))"""
+
+
+@query(
+    "rate_ratio_table",
+    f"""WITH RECURSIVE {_gee_sql(("exposed", "rich"))}, t AS (
+      SELECT '(Intercept)' AS term, b0 AS b, sqrt(v0) AS s FROM it WHERE k = 25 UNION ALL SELECT 'exposed', b1, sqrt(v1) FROM it WHERE k = 25
+      UNION ALL SELECT 'rich', b2, sqrt(v2) FROM it WHERE k = 25)
+    SELECT term, round(exp(b), 2) AS ratio, round(exp(b - 1.96 * s), 2) AS lower, round(exp(b + 1.96 * s), 2) AS upper, round({sql_p("b / s")}, 4) AS p_value FROM t""",
+)
 def rate_ratio_table(spark: SparkSession, sf: str) -> DataFrame:
     """Rate ratios with 1.96-limits from the robust standard error, rounded to two digits."""
     fit = poisson_gee(panel_frame(spark, sf), "ot", ["exposed", "rich"], "id")
@@ -586,9 +636,16 @@ def concordance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(survival.concordance(df, "ft", "ot", "score"))
 
 
-@query("concordance_of_fit")
+@query(
+    "concordance_of_fit",
+    f"""{SQL_COX_TWO}, risk AS (SELECT x * b + rich * g AS s, ft, ot FROM sf, it WHERE k = 12), like_rows AS (SELECT s, ft, ot, count(*) AS n FROM risk GROUP BY ALL),
+      p AS (SELECT sum(CASE WHEN o.s < a.s THEN a.n * o.n ELSE 0 END) AS con, sum(CASE WHEN o.s > a.s THEN a.n * o.n ELSE 0 END) AS dis,
+        sum(CASE WHEN o.s = a.s THEN a.n * o.n ELSE 0 END) AS tie FROM like_rows a JOIN like_rows o ON o.ft > a.ft OR (o.ft = a.ft AND o.ot = 0) WHERE a.ot = 1)
+    SELECT CAST(con AS BIGINT) AS concordant, CAST(dis AS BIGINT) AS discordant, CAST(tie AS BIGINT) AS tied_score,
+      round((con + tie / 2) / (con + dis + tie), 6) AS concordance FROM p""",
+)
 def concordance_of_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Concordance of the linear predictor of a fitted Cox model."""
     frame = survival_frame(spark, sf)
     fit = cox(frame, "ft", "ot", ["x", "rich"])
-    return survival.concordance(risk_score(frame, fit), "ft", "ot", "risk")
+    return rounded(survival.concordance(risk_score(frame, fit), "ft", "ot", "risk"))
