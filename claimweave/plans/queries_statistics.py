@@ -472,17 +472,22 @@ def propensity_input(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("psm_pairs")
-def psm_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest-neighbour pairs within 0.2 standard deviations of the score."""
-    df = weights.propensity(propensity_input(spark, sf), "treat", ["x", "high", "age"])[0]
-    return matching.ps_match(df, "id", "treat", "ps")
+def _logistic_sql(source: str, y: str, xs: tuple[str, ...], rounds: int) -> str:
+    """Newton steps of a logistic model: lt(k, b0, b1, ..) over the distinct rows lc of ``source``."""
+    names, p = ("1", *xs), len(xs) + 1
+    state = ", ".join(f"b{j}" for j in range(p))
+    eta = " + ".join(f"b{j} * {x}" for j, x in enumerate(names))
+    cells = [f"sum(v * {names[j]} * {names[k]}) AS m{j}_{k}" for j in range(p) for k in range(j, p)]
+    cells += [f"sum((s - n * mu) * {x}) AS m{j}_{p}" for j, x in enumerate(names)]
+    rows = f"""SELECT k, {state}, 0::DOUBLE AS m{p}_{p}, {", ".join(cells)} FROM (SELECT *, n * mu * (1 - mu) AS v FROM (
+        SELECT lt.*, lc.*, 1 / (1 + exp(-({eta}))) AS mu FROM lt, lc WHERE k < {rounds})) GROUP BY k, {state}"""
+    return f"""lc AS (SELECT {", ".join(xs)}, count(*)::DOUBLE AS n, sum({y})::DOUBLE AS s FROM {source} GROUP BY ALL),
+      lt AS (SELECT 0 AS k, {", ".join(f"0::DOUBLE AS b{j}" for j in range(p))} UNION ALL
+        SELECT k + 1, {", ".join(f"b{j} + m{j}_{p}" for j in range(p))} FROM ({sql_sweep(p, rows, f"k, {state}")}))"""
 
 
-@query(
-    "psm_given_score",
-    f"""WITH RECURSIVE {SQL_SURVIVAL}, s AS (SELECT id, treat, floor((balance + 1000) / 110) / 100 AS ps, md5(id || ':0') AS h FROM sf),
-      cal AS (SELECT 0.2::DOUBLE * stddev_samp(ps) AS cal FROM s),
+# The serial matching rule over s(id, treat, ps, h): highest score first, nearest free control within 0.2 deviations.
+SQL_SERIAL = """cal AS (SELECT 0.2::DOUBLE * stddev_samp(ps) AS cal FROM s),
       t AS (SELECT *, row_number() OVER (ORDER BY ps DESC, h, id) AS rn FROM s WHERE treat = 1),
       c AS (SELECT * FROM s WHERE treat = 0),
       it AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS tid, NULL::BIGINT AS cid UNION ALL
@@ -491,7 +496,26 @@ def psm_pairs(spark: SparkSession, sf: str) -> DataFrame:
           FROM it JOIN t ON t.rn = it.k + 1 CROSS JOIN cal
           LEFT JOIN c ON abs(c.ps - t.ps) <= cal.cal AND NOT list_contains(it.used, c.id) GROUP BY it.k, it.used, t.id)),
       pr AS (SELECT tid, cid FROM it WHERE cid IS NOT NULL)
-    SELECT s.id, tid AS pair_id, treat, ps, 1.0::DOUBLE AS weight FROM pr JOIN s ON s.id = pr.tid OR s.id = pr.cid""",
+    SELECT s.id, tid AS pair_id, treat, ps, 1.0::DOUBLE AS weight FROM pr JOIN s ON s.id = pr.tid OR s.id = pr.cid"""
+
+
+@query(
+    "psm_pairs",
+    f"""WITH RECURSIVE {SQL_SURVIVAL}, pin AS (SELECT *, round(balance / 100) AS age, CASE WHEN amount > 250000 THEN 1 ELSE 0 END AS high FROM sf),
+      {_logistic_sql("pin", "treat", ("x", "high", "age"), 12)},
+      s AS (SELECT id, treat, round(1 / (1 + exp(-(b0 + b1 * x + b2 * high + b3 * age))), 8) AS ps, md5(id || ':0') AS h FROM pin, lt WHERE k = 12),
+      {SQL_SERIAL}""",
+)
+def psm_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest-neighbour pairs within 0.2 standard deviations of the fitted score, taken to eight digits."""
+    df = weights.propensity(propensity_input(spark, sf), "treat", ["x", "high", "age"])[0]
+    return matching.ps_match(rounded(df, 8, "ps"), "id", "treat", "ps")
+
+
+@query(
+    "psm_given_score",
+    f"""WITH RECURSIVE {SQL_SURVIVAL}, s AS (SELECT id, treat, floor((balance + 1000) / 110) / 100 AS ps, md5(id || ':0') AS h FROM sf),
+      {SQL_SERIAL}""",
 )
 def psm_given_score(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest-neighbour pairs on a score with many equal values, in segments of 50 scores."""
