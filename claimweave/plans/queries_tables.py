@@ -9,6 +9,7 @@ from claimweave.operators import claims, codes, cohort, describe, history, order
 from claimweave.plans.driver_tables import (
     LABELS, SLOTS, SQL_FIRST, SQL_H, SQL_LAST, first_claims, headers, last_claims, query, rounded, table,
 )
+from claimweave.session import stage_path
 from claimweave.sources import calendar, files
 
 
@@ -31,6 +32,32 @@ def delimited_text(spark: SparkSession, sf: str) -> DataFrame:
     return files.parse_lines(lines, "code bigint, name string, class string", "code,name,class", ["List of parts, all years"])
 
 
+@query(
+    "csv_with_header",
+    "SELECT CAST(p_partkey AS BIGINT) AS code, p_name || ', ' || p_brand AS name, p_type AS class, p_retailprice AS price FROM part",
+)
+def csv_with_header(spark: SparkSession, sf: str) -> DataFrame:
+    """Store parts as delimited files with a header each, with separators inside values, and read them back."""
+    part = table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
+    path = stage_path(spark, "parts_csv")
+    part.select(
+        F.col("p_partkey").alias("code"), F.concat("p_name", F.lit(", "), "p_brand").alias("name"), F.col("p_type").alias("class"), F.col("p_retailprice").alias("price")
+    ).write.csv(path, header=True)
+    return files.read_delimited(spark, path, "code bigint, name string, class string, price double")
+
+
+@query("csv_after_preamble", "SELECT CAST(n_nationkey AS BIGINT) AS code, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation")
+def csv_after_preamble(spark: SparkSession, sf: str) -> DataFrame:
+    """Store text files that begin with explanatory lines and a header, and read the rows below these."""
+    nation = table(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey")
+    top = ["Nations and their regions", "Source: code list, all years", "code,name,region"]
+    rows = nation.select(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("value"))
+    lines = spark.createDataFrame([(line,) for line in top], "value string").coalesce(1).unionByName(rows)
+    path = stage_path(spark, "nations_text")
+    lines.write.text(path)
+    return files.read_delimited_with_preamble(spark, path, "code bigint, name string, region bigint", top[2], top[:2])
+
+
 @query(
     "stage_roundtrip",
     "SELECT o_custkey AS id, count(*) AS n, CAST(max(o_orderdate) AS DATE) AS last_date FROM orders GROUP BY 1",

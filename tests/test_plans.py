@@ -12,7 +12,7 @@ from claimweave.plans import registry
 SF = "/root/testdata/sf0.001"
 # Queries that fit a model or store a table run jobs while they are built; their result is a small table.
 EAGER = {
-    "stage_roundtrip", "logrank", "logrank_groups", "psm_pairs", "design_comparison", "fit_summary", "labels_odds",
+    "stage_roundtrip", "csv_with_header", "csv_after_preamble", "logrank", "logrank_groups", "psm_pairs", "design_comparison", "fit_summary", "labels_odds",
     "ps_saturated", "iptw", "ps_histogram", "weighted_smd_iptw", "rate_ratio_table", "psm_given_score", "concordance_of_fit",
 }
 LAZY = [
