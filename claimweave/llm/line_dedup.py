@@ -244,7 +244,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Lines lie between line feeds; those without words are kept and never compared. Of a line and its copies the
     earliest stays (smallest id, then place). A document all of whose lines go has an empty text. Null texts stay
     null with 0 lines; empty texts have one line. Rows that repeat an id count as one document: equal lines at the
-    same place are one line. Rows with a null id are returned as they are. All other columns are kept.
+    same place are one line. Rows with a null id are returned as they are. All other columns are kept, but for those
+    called like the three that are added, which give way to them.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
@@ -252,10 +253,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lists = dropped.groupBy("doc").agg(
         F.collect_set("line").alias("_gone"), F.count_if(~F.col("near")).alias("_n_copies"), F.count_if("near").alias("_n_near")
     )
-    out = docs.join(lists.withColumnRenamed("doc", "_doc"), F.col(id_col).cast("long") == F.col("_doc"), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    counts = [count.alias("_n_lines"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("_n_copies", "_n_near"))]
-    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *counts)
+    # Both sides are named, so columns of ``docs`` may be called like those of the list.
+    out = docs.alias("d").join(lists.alias("l"), F.col(f"d.`{id_col}`").cast("long") == F.col("l.doc"), "left")
+    given, gone = F.col(f"d.`{text_col}`"), F.col("l._gone")
+    lines = F.split(given, "\n", -1)
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(gone, i.cast("long")))
+    text = F.when(gone.isNull(), given).otherwise(F.array_join(kept, "\n"))
+    count = F.when(given.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    counts = {"_n_lines": count} | {c: F.coalesce(F.col(f"l.{c}"), F.lit(0)) for c in ("_n_copies", "_n_near")}
+    own = [(text if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns if c not in counts]
+    return out.select(*own, *(v.alias(c) for c, v in counts.items()))

@@ -81,3 +81,11 @@ def test_long_runs_among_failing_words():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6
+
+
+def test_line_dedup_with_clashing_names(spark):
+    rows = [(2, "a b c d e f\nx", 1, 2, 3, 4, 5), (1, "a b c d e f", 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _doc int, _n_lines int, doc int, near int")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "_gone", "_doc", "doc", "near", "_n_lines", "_n_copies", "_n_near"]
+    assert {r.doc_id: (r.text, r["_gone"], r["_n_lines"], r["_n_copies"]) for r in out.collect()} == {1: ("a b c d e f", 1, 1, 0), 2: ("x", 1, 2, 1)}
