@@ -2,10 +2,12 @@
 
 Five transformed statistics of each document (log words, log characters a word, and the shares of symbols, repeated
 lines and repeated words) are judged by their Mahalanobis distance from a minimum-covariance-determinant estimate:
-centre and covariance of the three quarters of a group's documents that lie closest. Concentration steps start from
-medians and median deviations; each is an aggregate over all documents of all groups at once. The covariance is scaled
-so that the median squared distance is that of a normal distribution. Groups of fewer than ``MIN_GROUP`` documents
-use their language's estimate, and languages as small that of all documents.
+centre and covariance of the (n + p + 1) / 2 documents of a group whose covariance has the least determinant found.
+Three starts (median deviations alone, and with the correlations of tanh scores or of spatial signs) go through
+concentration steps side by side until the determinant falls no more. A step is one aggregate over all documents of all
+groups: moments by bins of the distance, of which the nearest are taken, the last in part. Covariances are scaled so
+that the median squared distance, of the statistics that vary, is that of chi-square. Groups of fewer than ``MIN_GROUP`` documents use their
+language's estimate, and languages as small that of all documents.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,12 +27,12 @@ from claimweave.llm.words import slices
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-HALF = 0.75  # share of a group that an estimate rests on
-STEPS = 3
+FALL = 1e-3  # a step goes on where the log determinant falls by more than this
+BINS = 16  # for each doubling of the squared distance
 MIN_GROUP = 200
-CHI2_MEDIAN = 4.351  # of five degrees of freedom
+CHI2_MEDIAN = (1.0, 0.455, 1.386, 2.366, 3.357, 4.351)  # of 0 (not used) to 5 degrees of freedom
 CUTOFF = 20.515  # squared distance: the 99.9 % point of chi-square of five degrees of freedom
-FLOOR = (0.3, 0.05, 0.02, 0.1, 0.1)  # least standard deviation of each statistic, so that constant ones reject nothing
+FLOOR = (0.3, 0.05, 0.02, 0.1, 0.1)  # a statistic that deviates less within the half counts as constant, with this deviation
 _P = 5
 _SMALL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _EACH = ", ".join(f"x{i} double" for i in range(_P))
@@ -47,14 +49,24 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), *map(pa.array, counts), *map(pa.array, x)], names)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _inverse(cov: pd.Series) -> pd.Series:
-    """Upper triangle of the inverse of each covariance (given by its upper triangle), floors added."""
+@F.pandas_udf(T.StructType().add("inverse", T.ArrayType(T.DoubleType())).add("logdet", T.DoubleType()).add("fixed", T.ArrayType(T.DoubleType())))
+def _solved(cov: pd.Series) -> pd.DataFrame:
+    """Upper triangle of the inverse of each covariance (given by its upper triangle), log determinant, 1 / FLOOR^2 of constant statistics, else 0."""
     upper = np.triu_indices(_P)
     full = np.zeros((len(cov), _P, _P))
     full[:, upper[0], upper[1]] = np.stack(cov.to_numpy()) if len(cov) else np.zeros((0, len(upper[0])))
-    full = full + np.triu(full, 1).swapaxes(1, 2) + np.diag(np.square(FLOOR))
-    return pd.Series(list(np.linalg.inv(full)[:, upper[0], upper[1]]))
+    full = full + np.triu(full, 1).swapaxes(1, 2)
+    var = np.einsum("kii->ki", full)
+    fixed = ~(var > np.square(FLOOR))
+    sd = np.where(fixed, FLOOR, np.sqrt(np.where(fixed, 1.0, var)))
+    corr = full / (sd[:, :, None] * sd[:, None, :])
+    corr[(fixed[:, :, None] | fixed[:, None, :])] = 0
+    corr[:, range(_P), range(_P)] = 1
+    values, vectors = np.linalg.eigh(corr)
+    values = np.maximum(values, 1e-6)  # statistics that determine each other
+    inverse = (vectors / values[:, None, :]) @ vectors.swapaxes(1, 2) / (sd[:, :, None] * sd[:, None, :])
+    logdet = np.log(values).sum(axis=1) + 2 * np.log(sd).sum(axis=1)
+    return pd.DataFrame({"inverse": list(inverse[:, upper[0], upper[1]]), "logdet": logdet, "fixed": list(np.where(fixed, 1 / np.square(FLOOR), 0.0))})
 
 
 def _distance():
@@ -68,29 +80,81 @@ def _distance():
     return total
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Centre and inverse of each group's covariance; the rows' x are shifted by the old centre first."""
-    means = F.array(*(F.avg(f"x{i}") for i in range(_P)))
-    cov = F.array(*(F.covar_pop(f"x{i}", f"x{j}") for i in range(_P) for j in range(i, _P)))
-    return rows.groupBy("grp").agg(means.alias("centre"), cov.alias("cov")).withColumn("inverse", _inverse("cov")).drop("cov")
+_PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """(grp, n, centre, inverse, scale) for ``rows(grp, x0..)``; squared distances are to be divided by scale."""
+def _with_inverse(state: DataFrame) -> DataFrame:
+    return state.withColumn("_s", _solved("cov")).select(*state.columns, "_s.*").drop("cov")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(grp, n, start, centre, inverse, logdet, fixed): medians with three covariances for each group."""
     middle = [F.percentile_approx(f"x{i}", F.lit(0.5), F.lit(2000)) for i in range(_P)]
-    centre = rows.groupBy("grp").agg(F.count("*").alias("n"), F.array(*middle).alias("centre"))
-    centre = staged(centre, "medians")
-    apart = rows.join(centre, "grp")
-    spread = [F.percentile_approx(F.abs(F.col(f"x{i}") - F.col("centre")[i]), F.lit(0.5), F.lit(2000)) * 1.4826 for i in range(_P)]
-    spread = apart.groupBy("grp").agg(*(s.alias(f"s{i}") for i, s in enumerate(spread)))
-    cov = F.array(*(F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0) for i in range(_P) for j in range(i, _P)))
-    state = staged(centre.drop("n").join(spread.select("grp", cov.alias("cov")), "grp").withColumn("inverse", _inverse("cov")).drop("cov"), "start")
-    for _ in range(STEPS):
-        far = rows.join(state, "grp").withColumn("d", _distance())
-        limit = staged(far.groupBy("grp").agg(F.percentile_approx("d", F.lit(HALF), F.lit(2000)).alias("limit")), "limits")
-        state = staged(_moments(far.join(limit, "grp").where("d <= limit")), "moments")
-    half = rows.join(state, "grp").withColumn("d", _distance()).groupBy("grp").agg(F.percentile_approx("d", F.lit(0.5), F.lit(2000)).alias("m"))
-    return state.join(half, "grp").join(centre.select("grp", "n"), "grp").withColumn("scale", F.greatest(F.col("m") / CHI2_MEDIAN, F.lit(1.0))).drop("m")
+    centre = staged(rows.groupBy("grp").agg(F.count("*").alias("n"), F.array(*middle).alias("centre")), "medians")
+    apart = rows.join(centre, "grp").select("grp", *((F.col(f"x{i}") - F.col("centre")[i]).alias(f"x{i}") for i in range(_P)))
+    spread = [F.percentile_approx(F.abs(f"x{i}"), F.lit(0.5), F.lit(2000)) * 1.4826 for i in range(_P)]
+    spread = apart.groupBy("grp").agg(F.array(*(F.greatest(s, F.lit(f)) for s, f in zip(spread, FLOOR))).alias("s"))
+    spread = staged(spread, "deviations")
+    z = apart.join(spread, "grp").select("grp", *((F.col(f"x{i}") / F.col("s")[i]).alias(f"x{i}") for i in range(_P)))
+    norm = F.greatest(F.sqrt(sum(F.col(f"x{i}") * F.col(f"x{i}") for i in range(_P))), F.lit(1e-9))
+    z = z.withColumn("norm", norm)
+    forms = {1: lambda i: F.tanh(f"x{i}"), 2: lambda i: F.col(f"x{i}") / F.col("norm")}
+    products = [F.sum(form(i) * form(j)).alias(f"p{k}_{i}{j}") for k, form in forms.items() for i, j in _PAIRS]
+    sums = z.groupBy("grp").agg(*products).join(spread, "grp").join(centre, "grp")
+
+    def cov(k: int):
+        scale = {(i, j): F.col("s")[i] * F.col("s")[j] for i, j in _PAIRS}
+        if k == 0:
+            return F.array(*(scale[i, j] if i == j else F.lit(0.0) for i, j in _PAIRS))
+        size = {i: F.sqrt(F.col(f"p{k}_{i}{i}")) for i in range(_P)}
+        return F.array(*(scale[i, j] * (F.lit(1.0) if i == j else F.coalesce(F.try_divide(F.col(f"p{k}_{i}{j}"), size[i] * size[j]), F.lit(0.0))) for i, j in _PAIRS))
+
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("start"), cov(k).alias("cov")) for k in range(3))))
+    return _with_inverse(sums.select("grp", "n", "centre", each.alias("_e")).select("grp", "n", "centre", "_e.*"))
+
+
+def _concentrated(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """One step: ``state`` with centre and covariance of the half of each group that lies closest to it."""
+    d = [(F.col(f"x{i}") - F.col("centre")[i]).alias(f"d{i}") for i in range(_P)]
+    far = rows.join(state, "grp").select("grp", "start", _distance().alias("d"), *d)
+    place = F.floor(F.log2(F.greatest(F.least("d", F.lit(2.0**20)), F.lit(2.0**-20))) * BINS).cast("int").alias("bin")
+    sums = [F.sum(f"d{i}").alias(f"s{i}") for i in range(_P)] + [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"q{i}{j}") for i, j in _PAIRS]
+    bins = far.groupBy("grp", "start", place).agg(F.count("*").alias("m"), *sums)
+    nearer = Window.partitionBy("grp", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("m").over(nearer), F.lit(0))).join(state.select("grp", "start", "n", "centre"), ["grp", "start"])
+    half = F.least(F.floor((F.col("n") + _P + 1) / 2), F.col("n"))
+    bins = bins.withColumn("w", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (half - F.col("before")) / F.col("m"))))
+    names = [f"s{i}" for i in range(_P)] + [f"q{i}{j}" for i, j in _PAIRS]
+    total = bins.groupBy("grp", "start").agg(F.max("n").alias("n"), F.max("centre").alias("centre"), F.sum(F.col("w") * F.col("m")).alias("h"), *(F.sum(F.col("w") * F.col(c)).alias(c) for c in names))
+    mean = [F.col(f"s{i}") / F.col("h") for i in range(_P)]
+    centre = F.array(*(F.col("centre")[i] + mean[i] for i in range(_P)))
+    cov = F.array(*(F.col(f"q{i}{j}") / F.col("h") - mean[i] * mean[j] for i, j in _PAIRS))
+    return _with_inverse(total.select("grp", "n", "start", centre.alias("centre"), cov.alias("cov")))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """(grp, n, centre, inverse, logdet, scale) for ``rows(grp, x0..)``; the inverse is that of the scaled covariance.
+
+    The scale applies to statistics that vary; the deviation of constant ones is given, not estimated from a half.
+    A start that has settled leaves the steps, so each is over the rows of the groups that still move. The determinant
+    is bounded by ``FLOOR`` and falls by ``FALL`` at least wherever a step goes on, so the steps end.
+    """
+    names = ["grp", "n", "start", "centre", "inverse", "logdet", "fixed"]
+    found = staged(_concentrated(rows, staged(_starts(rows), "starts")).select(*names, F.lit(True).alias("moving")), "half")
+    while not found.where("moving").isEmpty():
+        step = _concentrated(rows, found.where("moving").drop("moving")).select("grp", "start", F.struct("n", "centre", "inverse", "logdet", "fixed").alias("new"))
+        falls = F.coalesce(F.col("new.logdet") < F.col("logdet") - FALL, F.lit(False))
+        both = found.join(step, ["grp", "start"], "left")
+        found = staged(both.select("grp", "start", *(F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in names if c not in ("grp", "start")), falls.alias("moving")), "half")
+    best = found.groupBy("grp").agg(F.min_by(F.struct("n", "centre", "inverse", "logdet", "fixed"), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
+    best = staged(best, "best")
+    vary = F.array(*(F.col("inverse")[k] - F.col("fixed")[i] if i == j else F.col("inverse")[k] for k, (i, j) in enumerate(_PAIRS)))
+    middle = rows.join(best.withColumn("inverse", vary), "grp").withColumn("d", _distance())
+    middle = middle.groupBy("grp").agg(F.percentile_approx("d", F.lit(0.5), F.lit(2000)).alias("m"))
+    normal = F.array(*map(F.lit, CHI2_MEDIAN))[F.size(F.filter("fixed", lambda x: x == 0))]
+    scale = F.when(F.col("m") > 0, F.col("m") / normal).otherwise(F.lit(1.0))
+    final = [F.try_divide(vary.getItem(k), F.col("scale")) + (F.col("fixed")[i] if i == j else 0.0) for k, (i, j) in enumerate(_PAIRS)]
+    return best.join(middle, "grp").withColumn("scale", scale).select("grp", "n", "centre", F.array(*final).alias("inverse"), "logdet", "scale")
 
 
 def _named(*columns: str):
@@ -116,10 +180,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     by_lang = sizes.groupBy("lng").agg(F.sum("n").alias("m"))
     level = F.when(F.col("n") >= MIN_GROUP, F.col("grp")).when(F.col("m") >= MIN_GROUP, F.xxhash64(F.lit("language"), F.col("lng"))).otherwise(F.lit(0))
     sizes = staged(sizes.join(by_lang, "lng").select("grp", F.explode(F.array_distinct(F.array(level, F.xxhash64(F.lit("language"), "lng"), F.lit(0)))).alias("to"), level.alias("use")), "levels")
-    pooled = good.join(sizes.select("grp", "to"), "grp").drop("grp").withColumnRenamed("to", "grp")
+    needed = sizes.select(F.col("use").alias("to")).distinct()
+    pooled = good.join(sizes.select("grp", "to").join(needed, "to", "left_semi"), "grp").drop("grp").withColumnRenamed("to", "grp")
     found = staged(estimates(pooled.select("grp", *(f"x{i}" for i in range(_P)))), "estimates")
-    used = sizes.select("grp", "use").distinct().join(found.withColumnRenamed("grp", "use"), "use").drop("use", "n")
-    judged = stats.join(used, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
+    used = sizes.select("grp", "use").distinct().join(found.withColumnRenamed("grp", "use"), "use").drop("use", "n", "logdet", "scale")
+    judged = stats.join(used, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = (~F.col("base_failed")) & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     names = [f.split()[0] for f in _SMALL.split(", ")]
     return judged.select(F.col("id").alias(id_col), *names, "base_failed", "distance", kept.alias("kept"))
