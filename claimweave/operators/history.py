@@ -41,19 +41,16 @@ def history(
     """0/1 history per disease for persons whose weighted record days reach ``min_weight``.
 
     ``dedupe='dx'`` counts a disease once per person-day, ``'code'`` each distinct code once per
-    person-day. Labels do not depend on the cohort, so codes of no interest are dropped, and days
-    collapsed on the map side, before the join with the index dates.
+    person-day. Codes of no interest and records of other persons or days go first, by a join on the
+    person, so what is shuffled grows with the cohort; the sums after it need no other partitioning.
     """
     if dedupe not in ("dx", "code"):
         raise ValueError("dedupe is 'dx' or 'code'")
     coded = label_codes(long_codes(sources, by), "code", labels, prefix)
     unit = ["dx"] if dedupe == "dx" else ["code", "dx"]
-    daily = coded.groupBy(by, "func_date", *unit).agg(F.max("weight").alias("weight"))
+    own = records_in_window(coded, cohort, by, "func_date", index, days)
+    daily = own.groupBy(by, "func_date", *unit).agg(F.max("weight").alias("weight"))
     names = [prefix + name for name, _ in labels]
-    totals = (
-        records_in_window(daily, cohort, by, "func_date", index, days)
-        .groupBy(by)
-        .agg(*[F.sum(F.when(F.col("dx") == n, F.col("weight"))).alias(n) for n in names])
-    )
+    totals = daily.groupBy(by).agg(*[F.sum(F.when(F.col("dx") == n, F.col("weight"))).alias(n) for n in names])
     flags = totals.select(by, *[flag(F.col(n) >= min_weight).alias(n) for n in names])
     return flags.filter(reduce(lambda a, b: a | b, [F.col(n) == 1 for n in names]))

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.operators import cohort, matching, ordered, survival
+from claimweave.operators import cohort, history, matching, ordered, survival
 from claimweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +108,21 @@ def test_curve_over_continuous_times(spark):
         s *= 1 - e / left
         assert row.n_risk == left and abs(row.surv - s) < 1e-9
         left -= 1
+
+
+def test_history_shuffles_records_of_the_cohort_once(spark):
+    """The join with the cohort lies below the first exchange, and the sums use its partitioning."""
+    records = spark.range(3000).select((F.col("id") % 300).alias("pid"), F.date_add(F.lit(dt.date(2014, 1, 1)), (F.col("id") % 90).cast("int")).alias("d"), F.lit("A1").alias("c1"))
+    people = spark.range(0, 300, 3).select(F.col("id").alias("pid"), F.lit(dt.date(2014, 3, 1)).alias("index_date"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",)}
+    out = lambda: history.history([(records, "d", ["c1"], 2)], people, "pid", "index_date", [("a", "^A")], 30)
+    assert plan(out()).index("BroadcastHashJoin") > plan(out()).rindex("Exchange hashpartitioning(pid")
+    assert out().count() == 100
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = out()
+        assert len(re.findall(r"Exchange hashpartitioning\(pid", plan(df))) == 2  # records and cohort
+        assert df.count() == 100
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
