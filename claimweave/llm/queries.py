@@ -84,7 +84,8 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(_crc("doc_id") % 7 == 2, F.lit(False))
     model = kneser_ney.fit(docs.where(~held_out).select("text"), least=1)
-    return kneser_ney.score(docs, model).withColumn("held_out", held_out)
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), *(c for c in scored.columns if c != "doc_id"))
 
 
 @_query
