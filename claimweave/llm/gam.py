@@ -9,7 +9,7 @@ hash of their id); everything else runs over all rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -137,14 +137,17 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             x = Stats(part.column("text")).ratios()
-            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], ["id", *RATIOS])
+            carried = [c for c in part.schema.names if c == "row"]
+            columns = [part.column("id"), *(pa.array(np.ascontiguousarray(c)) for c in x.T), *(part.column(c) for c in carried)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", *RATIOS, *carried])
 
 
-def ratios(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, ratios) of whole texts; null is empty."""
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_ratios, f"id {kind}, " + ", ".join(f"{r} double" for r in RATIOS))
+def ratios(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, ratios) of whole texts; null is empty. With ``carry`` also row, a struct of these columns."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
+    kinds = dict(rows.dtypes)
+    schema = [f"id {kinds['id']}", *(f"{r} double" for r in RATIOS), *([f"row {kinds['row']}"] if carry else [])]
+    return rows.mapInArrow(_ratios, ", ".join(schema))
 
 
 def labelled_sample(rows: DataFrame, labels: DataFrame, id_col: str, label: str, learn: Column, most: int) -> DataFrame:
@@ -159,7 +162,8 @@ def labelled_sample(rows: DataFrame, labels: DataFrame, id_col: str, label: str,
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """(id, score) for every row of ``docs``: the model's probability of label 1.
 
@@ -167,13 +171,16 @@ def classify(
     with a null id are scored but never learnt from. Without usable labels all scores are one half.
     """
     small_batches(docs.sparkSession)
-    rows = staged(ratios(docs, id_col, text_col), "ratios")
-    train = labelled_sample(rows, labels, id_col, label, learn, sample).orderBy("id").toPandas()  # bounded by ``sample``
+    rows = staged(ratios(docs, id_col, text_col, carry), "ratios")
+    train = labelled_sample(rows.drop("row"), labels, id_col, label, learn, sample).orderBy("id").toPandas()  # bounded by ``sample``
     model = fit(train[list(RATIOS)].to_numpy(float), train["y"].to_numpy(float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([batch.column(c).to_numpy() for c in RATIOS], 1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.scores(x))], ["id", "score"])
+            carried = [c for c in batch.schema.names if c == "row"]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.scores(x)), *(batch.column(c) for c in carried)], ["id", "score", *carried])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
+    kinds = dict(rows.dtypes)
+    schema = f"id {kinds['id']}, score double" + (f", row {kinds['row']}" if carry else "")
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
