@@ -13,31 +13,36 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fixed limits or the robust outlier test reject go."""
-    judged = quality_rules.judge(docs)
-    good = judged.groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).where("kept").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
+    """Documents that the fixed limits or the robust outlier test reject go.
+
+    Every row is judged by its own text and carried along: rows with a null id or with an id that repeats are kept or
+    go like others, whatever becomes of the rows they share an id with.
+    """
+    judged = quality_rules.judge(docs.select(F.struct(*COLUMNS).alias("row"), "text", "lang", "source"), id_col="row")
+    return judged.where("kept").select("row.*")
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score below 0.3 go; learnt from the labelled ones among ``docs``."""
+    """Rows with a quality score below 0.3 go, each by its own text; learnt from the labelled ones among ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = gam.classify(docs, labels, F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
-    good = scored.groupBy("doc_id").agg(F.min("score").alias("score")).where("score >= 0.3").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
+    learn = F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0
+    return gam.classify(docs, labels, learn, carry=COLUMNS).where("score >= 0.3").select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of lines go from the texts, and documents of which no line is left."""
+    """Later copies of lines go from the texts, and documents of which no line is left; rows with a null id stay as they are."""
     out = line_dedup.dedup_lines(docs.select(*COLUMNS))
     left = (F.col("_n_copies") + F.col("_n_near") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")
     return out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays."""
-    kept = minhash.near_duplicates(docs, k=5).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays.
+
+    Rows that repeat an id are one document, which stays or goes as a whole; rows with a null id are in no group and stay.
+    """
+    gone = minhash.near_duplicates(docs, k=5).where("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
