@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from claimweave.operators.ordered import held, null_safe_join, running_sums, value_buckets
+from claimweave.operators.ordered import null_safe_join, running_sums, value_buckets
+from claimweave.session import held
 
 
 def frequency(df: DataFrame, columns: str | Sequence[str], keep_null: bool = False) -> DataFrame:

@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BUCKET = "_bucket"
@@ -55,14 +54,6 @@ def random_rank(df: DataFrame, by: Sequence[str], ids: Sequence[str], seed: int,
     )
 
 
-def held(df: DataFrame) -> DataFrame:
-    """Cache a per-value table that the steps below read several times.
-
-    Such a table is an aggregate over persons. Lost blocks are recomputed from its lineage.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def value_buckets(df: DataFrame, order: str, buckets: int = 256) -> DataFrame:
     """Cut an ordered column into even ranges, using approximate quantiles of all rows.
 

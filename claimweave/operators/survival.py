@@ -9,7 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.functions.tails import Z95, chi2_tail
-from claimweave.operators.ordered import BUCKET, held, running_sums, value_buckets
+from claimweave.operators.ordered import BUCKET, running_sums, value_buckets
+from claimweave.session import held
 
 
 def kaplan_meier(

@@ -13,6 +13,7 @@ from claimweave.plans import propensity_study
 from claimweave.plans.driver_tables import (
     SQL_PF, SQL_SURVIVAL, panel_frame, query, rounded, sql_chi2, sql_p, sql_sweep, survival_frame, table, union_all,
 )
+from claimweave.session import held
 
 TIMES = (0, 400, 800, 1200, 1600, 2000, 2400)
 
@@ -616,7 +617,7 @@ def design_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Incidence rates and hazard ratios of the crude, matched and weighted designs."""
     frame = propensity_input(spark, sf)
     sets, _ = propensity_study.designs(frame, "id", "treat", ["x", "high", "age"])
-    sets = {n: d.persist() for n, d in sets.items()}
+    sets = {n: held(d) for n, d in sets.items()}
     w = {"crude": None, "matched": None, "weighted": "iptw"}
     fits = {
         "crude": cox(sets["crude"], "ft", "ot", ["treat", "x", "high", "age"]),
