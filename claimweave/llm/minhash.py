@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.components import components
-from claimweave.llm.stages import small_batches, staged
+from claimweave.llm.stages import perhaps_among, small_batches, staged
 from claimweave.llm.words import BASE, distinct_sets, mix, shingles, slices, stream, words_of
 
 KEYS = 10
 ROWS = 2
 COMBINE_KEYS = 1 << 21
-ID_CELLS = 18  # log2 of the cells of 64 bits (2 MB) that say which documents' texts are read again
 SKETCH_BITS = 16  # cells of the counts that order shingles from rare to frequent; any order is exact
 FILTER_BITS = 26  # of the filter (8 MB) for keys whose buckets are compared again; what it lets through is tested exactly
 _U = np.uint64
@@ -219,14 +218,11 @@ def _confirm(percent: int):
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, set, bits, n) for the documents named by ``ids(id)``; of rows that repeat an id, the one ``_largest`` takes.
 
-    Texts are not shuffled: a filter of ``1 << ID_CELLS`` cells of 64 bits, whatever the number of ids, drops most
-    other rows at the scan, and only the sets of what is left are joined with the ids.
+    Texts are not shuffled: a filter of fixed size drops most other rows at the scan, and only the sets of what is left
+    are joined with the ids.
     """
     ids = ids.distinct()
-    cell = F.shiftrightunsigned(F.xxhash64("id"), 64 - ID_CELLS).alias("cell")
-    bit = F.expr("shiftleft(1L, CAST(xxhash64(id) & 63 AS INT))")
-    cells = ids.groupBy(cell).agg(F.bit_or(bit).alias("bits"))
-    near = docs.withColumn("cell", cell).join(F.broadcast(cells), "cell").where(F.col("bits").bitwiseAND(bit) != 0).select("id", "text")
+    near = perhaps_among(docs.select("id", "text"), ids)
     sets = near.mapInArrow(_set_rows(k), "id long, set binary, bits binary, n long, set_a long, set_b long").join(ids, "id", "left_semi")
     row = F.max_by(F.struct("set", "bits", "n"), F.struct("n", "set_a", "set_b"))
     return staged(sets.groupBy("id").agg(row.alias("row")).select("id", "row.*"), "sets")
