@@ -6,9 +6,10 @@ tables of 2r minhashes for the price of 2 * m * r minhashes instead of 2 * m * m
 
 Equal sets form one class before anything else, so copies of a text cost one row. In a table's bucket every
 member is linked to the bucket's smallest id over a tree: first within a task, then among the tasks' smallest.
-All tree edges are verified, on full sets where sizes and bitmaps of the sets do not rule a link out. Where a bucket of three
-or more still spans several components, its members of like size are compared with one of them once more, and what is
-then still apart is compared by an exact prefix filter, so that the result has every link its tables can see. A pair of
+Of each member's tree edges the one that most tables hold is verified first, then all others between members that are still
+apart, on full sets where sizes and bitmaps of the sets do not rule a link out. Where a bucket of three or more still spans
+several components, its members are compared by an exact prefix filter whose join itself refuses pairs by sizes, places and
+bitmaps, so that the result has every link its tables can see. A pair of
 similarity s is missed with probability 1 - (1 - (1 - s^r)^m)^2; with m = 10, r = 2 that is 7e-5 at s = 0.8 and 1e-6 at s = 0.87.
 """
 
@@ -29,6 +30,7 @@ KEYS = 10
 ROWS = 2
 COMBINE_KEYS = 1 << 21
 SKETCH_BITS = 16  # cells of the counts that order shingles from rare to frequent; any order is exact
+WORDS = 16  # of 64 bits in the bitmaps that the prefix join compares
 FILTER_BITS = 26  # of the filter (8 MB) for keys whose buckets are compared again; what it lets through is tested exactly
 _U = np.uint64
 
@@ -228,9 +230,12 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return staged(sets.groupBy("id").agg(row.alias("row")).select("id", "row.*"), "sets")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _sets_of_pairs(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    return _sets_of(docs, pairs.select(F.col("x").alias("id")).union(pairs.select("y")), k)
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of distinct ``pairs(x, y)`` of ids that are linked: bitmaps refuse most of the others, full sets decide."""
-    sets = _sets_of(docs, pairs.select(F.col("x").alias("id")).union(pairs.select("y")), k)
     side = lambda c, what: sets.select(F.col("id").alias(c), *(F.col(w).alias(f"{w}_{c}") for w in what))
     rough = pairs.join(side("x", ("n", "bits")), "x").join(side("y", ("n", "bits")), "y").where(_like_size("n_x", "n_y", percent))
     rough = rough.mapInArrow(_possible(percent), "x long, y long")
@@ -239,6 +244,26 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return staged(linked.where("linked").select("x", "y"), "links")
 
 
+def _across(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """``pairs(x, y)`` between different components."""
+    left, right = (named.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("x", "y"))
+    both = pairs.join(left, "x", "left").join(right, "y", "left")
+    return both.where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
+
+
+def _tree_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that join all whom linked ``pairs(x, y, tables)`` join.
+
+    A member of a large group has an edge to the smallest id of every bucket it lies in. The one that most tables hold is
+    nearly always a link and joins it to the group, so that few of the others are left to look at.
+    """
+    sets = _sets_of_pairs(docs, pairs, k)
+    first = staged(pairs.groupBy("x").agg(F.max_by("y", F.struct("tables", -F.col("y"))).alias("y")), "first")
+    linked = _verified(sets, first, percent)
+    rest = staged(_across(pairs.select("x", "y").join(first, ["x", "y"], "left_anti"), components(linked)), "rest")
+    return linked if rest.isEmpty() else linked.union(_verified(sets, rest, percent))
+
+
 def _like_size(x: str, y: str, percent: int) -> str:
     """SQL text: sets of these sizes can be linked at all."""
     return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
@@ -296,21 +321,28 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(often: np.ndarray, percent: int):
-    """(t, id, c, n, p): the p-th rarest shingles t of each set, as far as a link's rarest common one can lie."""
+    """(t, id, c, n, p, more, b0, ..): the p-th rarest shingles t of each set, as far as a link's rarest common one can lie.
+
+    b0, .. are a bitmap of the whole set, ``more`` is how many more shingles than bits it has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, maps = [], np.zeros((batch.num_rows, 64 * WORDS), bool)
             for row, blob in enumerate(batch.column("set")):
                 t = np.frombuffer(blob.as_py(), _U)
+                maps[row, (mix(t) & _U(64 * WORDS - 1)).astype(np.int64)] = True
                 keep = len(t) - -(-percent * len(t) // 100) + 1
                 cell = often[(t >> _U(64 - SKETCH_BITS)).astype(np.int64)]
                 first = np.lexsort((t, cell))[:keep]
                 found.append((t[first].view(np.int64), np.full(len(first), row), np.arange(1, len(first) + 1)))
             if found:
                 t, row, place = (np.concatenate(c) for c in zip(*found))
-                row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(t), *(batch.column(c).take(row) for c in ("id", "c", "n")), pa.array(place)], ["t", "id", "c", "n", "p"])
+                bits = np.packbits(maps, axis=1, bitorder="little").view(np.int64)
+                more = batch.column("n").to_numpy() - maps.sum(1)
+                own = [*(batch.column(c).take(pa.array(row)) for c in ("id", "c", "n")), pa.array(place), pa.array(more[row])]
+                own += [pa.array(bits[row, k]) for k in range(WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(t), *own], ["t", "id", "c", "n", "p", "more", *(f"b{k}" for k in range(WORDS))])
 
     return run
 
@@ -327,50 +359,44 @@ def _split(members: DataFrame) -> DataFrame:
     return members.join(several.select("key"), "key", "left_semi")
 
 
-def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Every member with one member of its bucket, chosen by hash of key and id, if their components differ."""
-    order = F.struct(F.xxhash64("key", "id"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-    hubs = members.groupBy("key").agg(F.min(order).alias("hub")).select("key", "hub.y", "hub.cy", "hub.ny")
-    apart = members.join(hubs, "key").where("c <> cy").where(_like_size("n", "ny", percent))
-    return apart.select(F.greatest("id", "y").alias("x"), F.least("id", "y").alias("y")).distinct()
-
-
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of ``sets(id, set, c, n)`` in different components that can be linked at all.
 
     Shingles are ordered from rare to frequent by counts of a fixed number of cells. Sets of sizes n and m that are linked have
     at least a = percent * (n + m) / (100 + percent) shingles in common, so the rarest of these is among the first
-    n - a + 1 of one and m - a + 1 of the other; only as many of a set's shingles are shuffled as a may leave.
+    n - a + 1 of one and m - a + 1 of the other; only as many of a set's shingles are shuffled as a may leave. Common bits of
+    the bitmaps and the fewer shingles beyond bits bound the common shingles from above (see ``_possible``).
     """
     counts = sets.select("set").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     often = np.zeros(1 << SKETCH_BITS, np.int64)
     often[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    first = staged(sets.mapInArrow(_prefixes(often, percent), "t long, id long, c long, n long, p long"), "first")
-    other = first.select("t", *(F.col(c).alias(f"o{c}") for c in ("id", "c", "n", "p")))
+    words = [f"b{k}" for k in range(WORDS)]
+    schema = ", ".join(f"{c} long" for c in ("t", "id", "c", "n", "p", "more", *words))
+    first = staged(sets.mapInArrow(_prefixes(often, percent), schema), "first")
+    other = first.select(*(F.col(c).alias(f"o{c}") for c in first.columns))
     common = f"{percent} * (n + on) / {100 + percent}"
-    near = f"id > oid AND c <> oc AND n - p + 1 >= {common} AND on - op + 1 >= {common}"
-    return first.join(other, "t").where(near).where(_like_size("n", "on", percent)).select(F.col("id").alias("x"), F.col("oid").alias("y")).distinct()
+    shared = " + ".join(f"bit_count({w} & o{w})" for w in words)
+    near = f"id > oid AND c <> oc AND n - p + 1 >= {common} AND on - op + 1 >= {common} AND {_like_size('n', 'on', percent)}"
+    near += f" AND {100 + percent} * ({shared} + least(more, omore)) >= {percent} * (n + on)"
+    return first.join(other, F.expr(f"t = ot AND {near}")).select(F.col("id").alias("x"), F.col("oid").alias("y")).distinct()
 
 
 def _all_links(docs: DataFrame, edges: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Links that join all that the tables see into components: tree edges first, then what a bucket still holds apart."""
-    pairs = staged(edges.select("x", "y").distinct(), "pairs")
-    linked = _verified(docs, pairs, k, percent)
-    # A bucket of two has one edge, which is settled; larger ones whose edges are all links are one component.
-    known = edges.join(linked.withColumn("linked", F.lit(1)), ["x", "y"], "left")
-    apart = known.groupBy("key").agg(F.count("*").alias("edges"), F.count("linked").alias("links")).where("edges > 1 AND links < edges")
+    pairs = staged(edges.groupBy("x", "y").agg(F.count("*").alias("tables")), "pairs")
+    linked = _tree_links(docs, pairs, k, percent)
+    named = components(linked)
+    # A bucket of two has one edge, which is settled; larger ones whose edges all lie within components are one component.
+    known = edges.join(_across(pairs, named).withColumn("across", F.lit(1)), ["x", "y"], "left")
+    apart = known.groupBy("key").agg(F.count("*").alias("edges"), F.count("across").alias("across")).where("edges > 1 AND across > 0")
     members = reps.select("id", "n_shingles", "keys").mapInArrow(_exploded(_key_filter(apart.select("key"))), "key long, id long, n long")
-    members = staged(_split(_relabelled(_by_size(members, percent), components(linked))), "members")
-    pairs = staged(_hub_pairs(members, percent), "hubs")
-    if not pairs.isEmpty():
-        linked = linked.union(_verified(docs, pairs, k, percent))
-    left = _split(_relabelled(members.drop("c"), components(linked))).groupBy("id").agg(F.first("c").alias("c"), F.first("n").alias("n"))
+    left = _split(_relabelled(_by_size(members, percent), named)).groupBy("id").agg(F.first("c").alias("c"), F.first("n").alias("n"))
     left = staged(left, "left")
     if left.isEmpty():
         return linked
-    sets = _sets_of(docs, left.select("id"), k).drop("n").join(left, "id")
-    pairs = staged(_prefix_pairs(sets.select("id", "set", "c", "n"), percent), "cross")
-    return linked if pairs.isEmpty() else linked.union(_verified(docs, pairs, k, percent))
+    sets = _sets_of(docs, left.select("id"), k)
+    pairs = staged(_prefix_pairs(sets.select("id", "set").join(left, "id"), percent), "cross")
+    return linked if pairs.isEmpty() else linked.union(_verified(sets, pairs, percent))
 
 
 def near_duplicates(
