@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,12 +49,11 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), *map(pa.array, counts), *map(pa.array, x)], names)
 
 
-@F.pandas_udf(T.StructType().add("inverse", T.ArrayType(T.DoubleType())).add("logdet", T.DoubleType()).add("fixed", T.ArrayType(T.DoubleType())))
-def _solved(cov: pd.Series) -> pd.DataFrame:
+def _inverses(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Upper triangle of the inverse of each covariance (given by its upper triangle), log determinant, 1 / FLOOR^2 of constant statistics, else 0."""
     upper = np.triu_indices(_P)
     full = np.zeros((len(cov), _P, _P))
-    full[:, upper[0], upper[1]] = np.stack(cov.to_numpy()) if len(cov) else np.zeros((0, len(upper[0])))
+    full[:, upper[0], upper[1]] = cov
     full = full + np.triu(full, 1).swapaxes(1, 2)
     var = np.einsum("kii->ki", full)
     fixed = ~(var > np.square(FLOOR))
@@ -66,7 +65,13 @@ def _solved(cov: pd.Series) -> pd.DataFrame:
     values = np.maximum(values, 1e-6)  # statistics that determine each other
     inverse = (vectors / values[:, None, :]) @ vectors.swapaxes(1, 2) / (sd[:, :, None] * sd[:, None, :])
     logdet = np.log(values).sum(axis=1) + 2 * np.log(sd).sum(axis=1)
-    return pd.DataFrame({"inverse": list(inverse[:, upper[0], upper[1]]), "logdet": logdet, "fixed": list(np.where(fixed, 1 / np.square(FLOOR), 0.0))})
+    return inverse[:, upper[0], upper[1]], logdet, np.where(fixed, 1 / np.square(FLOOR), 0.0)
+
+
+@F.pandas_udf(T.StructType().add("inverse", T.ArrayType(T.DoubleType())).add("fixed", T.ArrayType(T.DoubleType())))
+def _solved(cov: pd.Series) -> pd.DataFrame:
+    inverse, _, fixed = _inverses(np.stack(cov.to_numpy()) if len(cov) else np.zeros((0, _P * (_P + 1) // 2)))
+    return pd.DataFrame({"inverse": list(inverse), "fixed": list(fixed)})
 
 
 def _distance():
@@ -83,24 +88,24 @@ def _distance():
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
 
 
-def _with_inverse(state: DataFrame) -> DataFrame:
-    return state.withColumn("_s", _solved("cov")).select(*state.columns, "_s.*").drop("cov")
+_MOMENTS = [f"s{i}" for i in range(_P)] + [f"q{i}{j}" for i, j in _PAIRS]
+_STATE = "grp long, start int, n long, centre array<double>, inverse array<double>, logdet double, fixed array<double>, moving boolean"
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """(grp, n, start, centre, inverse, logdet, fixed): medians with three covariances for each group."""
+    """(grp, start, n, centre, inverse, logdet, fixed, moving): medians with three covariances for each group, of unknown determinant."""
     middle = [F.percentile_approx(f"x{i}", F.lit(0.5), F.lit(2000)) for i in range(_P)]
     centre = staged(rows.groupBy("grp").agg(F.count("*").alias("n"), F.array(*middle).alias("centre")), "medians")
-    apart = rows.join(centre, "grp").select("grp", *((F.col(f"x{i}") - F.col("centre")[i]).alias(f"x{i}") for i in range(_P)))
+    apart = rows.join(centre.drop("n"), "grp").select("grp", *((F.col(f"x{i}") - F.col("centre")[i]).alias(f"x{i}") for i in range(_P)))
     spread = [F.percentile_approx(F.abs(f"x{i}"), F.lit(0.5), F.lit(2000)) * 1.4826 for i in range(_P)]
     spread = apart.groupBy("grp").agg(F.array(*(F.greatest(s, F.lit(f)) for s, f in zip(spread, FLOOR))).alias("s"))
-    spread = staged(spread, "deviations")
-    z = apart.join(spread, "grp").select("grp", *((F.col(f"x{i}") / F.col("s")[i]).alias(f"x{i}") for i in range(_P)))
+    spread = staged(spread.join(centre, "grp"), "deviations")
+    z = rows.join(spread.drop("n"), "grp").select("grp", *(((F.col(f"x{i}") - F.col("centre")[i]) / F.col("s")[i]).alias(f"x{i}") for i in range(_P)))
     norm = F.greatest(F.sqrt(sum(F.col(f"x{i}") * F.col(f"x{i}") for i in range(_P))), F.lit(1e-9))
     z = z.withColumn("norm", norm)
     forms = {1: lambda i: F.tanh(f"x{i}"), 2: lambda i: F.col(f"x{i}") / F.col("norm")}
     products = [F.sum(form(i) * form(j)).alias(f"p{k}_{i}{j}") for k, form in forms.items() for i, j in _PAIRS]
-    sums = z.groupBy("grp").agg(*products).join(spread, "grp").join(centre, "grp")
+    sums = z.groupBy("grp").agg(*products).join(spread, "grp")
 
     def cov(k: int):
         scale = {(i, j): F.col("s")[i] * F.col("s")[j] for i, j in _PAIRS}
@@ -110,26 +115,36 @@ def _starts(rows: DataFrame) -> DataFrame:
         return F.array(*(scale[i, j] * (F.lit(1.0) if i == j else F.coalesce(F.try_divide(F.col(f"p{k}_{i}{j}"), size[i] * size[j]), F.lit(0.0))) for i, j in _PAIRS))
 
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("start"), cov(k).alias("cov")) for k in range(3))))
-    return _with_inverse(sums.select("grp", "n", "centre", each.alias("_e")).select("grp", "n", "centre", "_e.*"))
+    each = sums.select("grp", "n", "centre", each.alias("_e")).select("grp", "n", "centre", "_e.start", _solved("_e.cov").alias("_s"))
+    return each.select("grp", "start", "n", "centre", "_s.inverse", F.lit(np.inf).alias("logdet"), "_s.fixed", F.lit(True).alias("moving"))
+
+
+def _nearest_half(bins: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """A start with centre and covariance of the half of its group that lies closest to it, or settled as it is."""
+    state = state.iloc[:1]
+    if bins.empty:
+        return state.assign(moving=False)
+    old, bins = state.iloc[0], bins.sort_values("bin")
+    m, sums = bins["m"].to_numpy(float), bins[_MOMENTS].to_numpy(float)
+    half = min((old["n"] + _P + 1) // 2, old["n"])
+    w = np.clip((half - (np.cumsum(m) - m)) / m, 0, 1)  # the nearest bins, the last in part
+    mean = w @ sums / (w @ m)
+    cov = [q - mean[i] * mean[j] for q, (i, j) in zip(mean[_P:], _PAIRS)]
+    inverse, logdet, fixed = _inverses(np.array([cov]))
+    if not (np.isinf(old["logdet"]) or logdet[0] < old["logdet"] - FALL):
+        return state.assign(moving=False)
+    new = {"centre": [old["centre"] + mean[:_P]], "inverse": [inverse[0]], "logdet": logdet, "fixed": [fixed[0]]}
+    return state.assign(**{c: pd.Series(v, index=state.index) for c, v in new.items()})
 
 
 def _concentrated(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """One step: ``state`` with centre and covariance of the half of each group that lies closest to it."""
+    """One step of all starts that move. Its plan is small, as it is planned again for every step: one join, and bins of a start meet its state."""
     d = [(F.col(f"x{i}") - F.col("centre")[i]).alias(f"d{i}") for i in range(_P)]
-    far = rows.join(state, "grp").select("grp", "start", _distance().alias("d"), *d)
+    far = rows.join(state.where("moving").select("grp", F.col("start").alias("of"), "centre", "inverse"), "grp").select("grp", F.col("of").alias("start"), _distance().alias("d"), *d)
     place = F.floor(F.log2(F.greatest(F.least("d", F.lit(2.0**20)), F.lit(2.0**-20))) * BINS).cast("int").alias("bin")
     sums = [F.sum(f"d{i}").alias(f"s{i}") for i in range(_P)] + [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"q{i}{j}") for i, j in _PAIRS]
     bins = far.groupBy("grp", "start", place).agg(F.count("*").alias("m"), *sums)
-    nearer = Window.partitionBy("grp", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("m").over(nearer), F.lit(0))).join(state.select("grp", "start", "n", "centre"), ["grp", "start"])
-    half = F.least(F.floor((F.col("n") + _P + 1) / 2), F.col("n"))
-    bins = bins.withColumn("w", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (half - F.col("before")) / F.col("m"))))
-    names = [f"s{i}" for i in range(_P)] + [f"q{i}{j}" for i, j in _PAIRS]
-    total = bins.groupBy("grp", "start").agg(F.max("n").alias("n"), F.max("centre").alias("centre"), F.sum(F.col("w") * F.col("m")).alias("h"), *(F.sum(F.col("w") * F.col(c)).alias(c) for c in names))
-    mean = [F.col(f"s{i}") / F.col("h") for i in range(_P)]
-    centre = F.array(*(F.col("centre")[i] + mean[i] for i in range(_P)))
-    cov = F.array(*(F.col(f"q{i}{j}") / F.col("h") - mean[i] * mean[j] for i, j in _PAIRS))
-    return _with_inverse(total.select("grp", "n", "start", centre.alias("centre"), cov.alias("cov")))
+    return bins.groupBy("grp", "start").cogroup(state.groupBy("grp", "start")).applyInPandas(_nearest_half, _STATE)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -139,13 +154,9 @@ def estimates(rows: DataFrame) -> DataFrame:
     A start that has settled leaves the steps, so each is over the rows of the groups that still move. The determinant
     is bounded by ``FLOOR`` and falls by ``FALL`` at least wherever a step goes on, so the steps end.
     """
-    names = ["grp", "n", "start", "centre", "inverse", "logdet", "fixed"]
-    found = staged(_concentrated(rows, staged(_starts(rows), "starts")).select(*names, F.lit(True).alias("moving")), "half")
+    found = staged(_starts(rows), "starts")
     while not found.where("moving").isEmpty():
-        step = _concentrated(rows, found.where("moving").drop("moving")).select("grp", "start", F.struct("n", "centre", "inverse", "logdet", "fixed").alias("new"))
-        falls = F.coalesce(F.col("new.logdet") < F.col("logdet") - FALL, F.lit(False))
-        both = found.join(step, ["grp", "start"], "left")
-        found = staged(both.select("grp", "start", *(F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in names if c not in ("grp", "start")), falls.alias("moving")), "half")
+        found = staged(_concentrated(rows, found), "half")
     best = found.groupBy("grp").agg(F.min_by(F.struct("n", "centre", "inverse", "logdet", "fixed"), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
     best = staged(best, "best")
     vary = F.array(*(F.col("inverse")[k] - F.col("fixed")[i] if i == j else F.col("inverse")[k] for k, (i, j) in enumerate(_PAIRS)))
@@ -182,7 +193,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = staged(sizes.join(by_lang, "lng").select("grp", F.explode(F.array_distinct(F.array(level, F.xxhash64(F.lit("language"), "lng"), F.lit(0)))).alias("to"), level.alias("use")), "levels")
     needed = sizes.select(F.col("use").alias("to")).distinct()
     pooled = good.join(sizes.select("grp", "to").join(needed, "to", "left_semi"), "grp").drop("grp").withColumnRenamed("to", "grp")
-    found = staged(estimates(pooled.select("grp", *(f"x{i}" for i in range(_P)))), "estimates")
+    pooled = staged(pooled.select("grp", *(f"x{i}" for i in range(_P))), "pooled")  # read in every step
+    found = staged(estimates(pooled), "estimates")
     used = sizes.select("grp", "use").distinct().join(found.withColumnRenamed("grp", "use"), "use").drop("use", "n", "logdet", "scale")
     judged = stats.join(used, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = (~F.col("base_failed")) & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
