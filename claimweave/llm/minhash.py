@@ -287,17 +287,17 @@ def _key_filter(keys: DataFrame):
 
 
 def _exploded(shared):
-    """(key, id, n) for the keys of class representatives that pass the filter."""
+    """(key, id, n, c) for the keys of class representatives that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, _U)
         for batch in batches:
             if batch.num_rows:
                 keys, ids = _table_keys(batch)
-                size = np.repeat(batch.column("n_shingles").to_numpy(), len(ids) // batch.num_rows)
+                size, group = (np.repeat(batch.column(c).to_numpy(), len(ids) // batch.num_rows) for c in ("n_shingles", "c"))
                 bit = keys.view(_U) >> _U(64 - FILTER_BITS)
                 on = np.flatnonzero((bits[bit >> _U(6)] >> (bit & _U(63))) & _U(1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(ids[on]), pa.array(size[on])], ["key", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(ids[on]), pa.array(size[on]), pa.array(group[on])], ["key", "id", "n", "c"])
 
     return run
 
@@ -307,7 +307,7 @@ def _by_size(members: DataFrame, percent: int) -> DataFrame:
     each group holds a band and the next."""
     band = F.floor(F.ln("n") / float(np.log(100 / percent) + 1e-9)).cast("long")
     group = F.explode(F.array(band, band + 1)).alias("g")
-    return members.select("key", "id", "n", group).select(F.xxhash64("key", "g").alias("key"), "id", "n")
+    return members.select("key", "id", "n", "c", group).select(F.xxhash64("key", "g").alias("key"), "id", "n", "c")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,8 +389,9 @@ def _all_links(docs: DataFrame, edges: DataFrame, reps: DataFrame, k: int, perce
     # A bucket of two has one edge, which is settled; larger ones whose edges all lie within components are one component.
     known = edges.join(_across(pairs, named).withColumn("across", F.lit(1)), ["x", "y"], "left")
     apart = known.groupBy("key").agg(F.count("*").alias("edges"), F.count("across").alias("across")).where("edges > 1 AND across > 0")
-    members = reps.select("id", "n_shingles", "keys").mapInArrow(_exploded(_key_filter(apart.select("key"))), "key long, id long, n long")
-    left = _split(_relabelled(_by_size(members, percent), named)).groupBy("id").agg(F.first("c").alias("c"), F.first("n").alias("n"))
+    members = _relabelled(reps.select("id", "n_shingles", "keys"), named)  # one row a class, before its keys are rows
+    members = members.mapInArrow(_exploded(_key_filter(apart.select("key"))), "key long, id long, n long, c long")
+    left = _split(_by_size(members, percent)).groupBy("id").agg(F.first("c").alias("c"), F.first("n").alias("n"))
     left = staged(left, "left")
     if left.isEmpty():
         return linked

@@ -26,3 +26,19 @@ def test_steps_have_one_join_and_few_exchanges(spark, monkeypatch):
     for plan in steps:
         assert len(re.findall(r"\w+Join\b", plan)) == 1
         assert len(re.findall(r"Exchange\b", plan)) <= 4 and "Window" not in plan
+
+
+def test_pipeline_writes_no_texts_beside_its_result(spark, monkeypatch):
+    """The rules' stage stores statistics, not the rows it carries, and judges rows without a shuffle of them."""
+    import corpus_pipeline
+
+    stored, before = [], quality_rules.staged
+    monkeypatch.setattr(quality_rules, "staged", lambda df, name: stored.append(df.schema.simpleString()) or before(df, name))
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 300, 60 + i % 40)), "l", "s", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows + [(None, "short", None, None, 1), (7, rows[9][1], "l", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality_rule_stage(spark, docs, "")
+    assert stored and not any("text" in schema for schema in stored)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r.doc_id for r in kept.collect()} <= {i for i, *_ in rows} and kept.count() > 250
