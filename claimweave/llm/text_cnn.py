@@ -3,8 +3,8 @@
 A word's embedding is the sum of three rows of one table, found by hashes of the word, of its first four and of
 its first six bytes, so that rare words share what their beginnings have in common. Filters of widths 1, 2 and 3 slide
 over the words; the greatest response of each filter in the text feeds a logistic output. Whole texts are scored.
-Training takes all labelled rows, dealt by a hash of the id over blocks of about ``BLOCK`` texts; the first dimension
-starts from how much more often a row occurs in all texts of label 1. In every round each block goes on from the same
+Training takes all labelled rows, dealt by a hash of the id over blocks of about ``BLOCK`` texts, each stored as a row; the
+first dimension starts from how much more often a row occurs in all texts of label 1. In every round each block goes on from the same
 network, and the changes that blocks make are averaged, those of a table row over the blocks that touched it. A seventh
 of the labelled rows takes no part in this and sets a threshold for each language. The score itself never sees the language.
 """
@@ -23,6 +23,7 @@ from claimweave.llm.stages import perhaps_among, small_batches, staged
 from claimweave.llm.words import mix, range_hashes, slices, stream, words_of
 
 BLOCK = 4_000
+WORDS = 1 << 22  # after so many (32 MB) a task begins another block, so that long texts do not fill its memory
 ROWS = 1 << 18  # of the embedding table
 DIM = 6
 FILTERS = 4  # of each width
@@ -32,6 +33,8 @@ STEPS = 120  # of one block in one round
 RATE = 0.05
 BATCH = 64
 PREFIXES = (4, 6)
+SHIFTS = np.array([0, 18, 36])  # of a word's table rows in one number
+PART = 1 << 14  # rows of sums in one Arrow batch
 FINE = 100  # thresholds lie between steps of 1 / FINE of the log odds, from -MOST / FINE to MOST / FINE
 MOST = 3_000
 _U = np.uint64
@@ -116,7 +119,8 @@ def _start(seen: np.ndarray, ones: np.ndarray, n: int, total: float) -> Net:
 def train(net: Net, texts: list[np.ndarray], y: np.ndarray, seed: list[int]) -> tuple[Net, np.ndarray]:
     """``net`` after ``STEPS`` steps over one block, and the table rows that they touched.
 
-    Adagrad on the logistic loss; with max pooling a text's gradient reaches one window for each filter.
+    ``texts`` hold a number for each word and are unpacked as they are used. Adagrad on the logistic loss; with max pooling a
+    text's gradient reaches one window for each filter.
     """
     net = net.moved(net.table.copy(), net.small())
     seen = np.zeros(ROWS, bool)
@@ -131,7 +135,7 @@ def train(net: Net, texts: list[np.ndarray], y: np.ndarray, seed: list[int]) ->
                 break
             chosen = order[start : start + BATCH]
             done += 1
-            rows = np.concatenate([texts[i] for i in chosen])
+            rows = _unpacked(np.concatenate([texts[i] for i in chosen]))
             bounds = np.concatenate([[0], np.cumsum([len(texts[i]) for i in chosen])])
             doc = np.repeat(np.arange(len(chosen)), np.diff(bounds))
             pooled = np.zeros((len(chosen), len(net.out)))
@@ -180,46 +184,63 @@ def train(net: Net, texts: list[np.ndarray], y: np.ndarray, seed: list[int]) ->
     return net, np.flatnonzero(seen)
 
 
-def _packed():
-    """One row for a block of labelled texts: its words' table rows, 18 bits each in one number, sizes and labels."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, words, y) of each labelled text; words are its words' table rows, 18 bits each in one number."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rows, bounds = word_rows(part.column("text"))
+            data = (rows.astype(np.int64) << SHIFTS).sum(1).astype("<i8")
+            places = pa.py_buffer((bounds * 8).astype(np.int64))
+            words = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, places, pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("block"), words, part.column("y")], ["block", "words", "y"])
 
-    def run(block: pa.Table) -> pa.Table:
-        block = block.sort_by("id").combine_chunks()
-        words, sizes = [], []
-        for batch in block.to_batches():
-            for part in slices(batch, "text"):
-                rows, bounds = word_rows(part.column("text"))
-                words.append((rows.astype(np.int64) << np.array([0, 18, 36])).sum(1))
-                sizes.append(np.diff(bounds))
-        blobs = [np.concatenate(words).astype("<i8"), np.concatenate(sizes).astype("<i8"), block.column("y").to_numpy().astype("<f8")]
-        return pa.table({"block": [block.column("block")[0].as_py()], **{c: pa.array([b.tobytes()], pa.binary()) for c, b in zip(("words", "sizes", "y"), blobs)}})
 
-    return run
+def _unpacked(words: np.ndarray) -> np.ndarray:
+    """(words, 3) table rows."""
+    return ((words[:, None] >> SHIFTS) & (ROWS - 1)).astype(np.int32)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
-    """(number, table rows of each text, labels) of packed blocks."""
+    """(number, packed words of each text, labels) of blocks, whose texts follow each other; the words stay where Arrow has them.
+
+    A block that ends after ``WORDS`` words, or with a row group of the stored files, goes on as another one: texts are never cut or lost.
+    """
+    number, texts, y, size = 0, [], [], 0
     for batch in batches:
-        for i in range(batch.num_rows):
-            number, *blobs = (batch.column(c)[i].as_py() for c in ("block", "words", "sizes", "y"))
-            words = (np.frombuffer(blobs[0], "<i8")[:, None] >> np.array([0, 18, 36])) & (ROWS - 1)
-            yield number, np.split(words.astype(np.int32), np.cumsum(np.frombuffer(blobs[1], "<i8"))[:-1]), np.frombuffer(blobs[2], "<f8")
+        if batch.num_rows == 0:
+            continue
+        column = batch.column("words").cast(pa.large_binary())
+        _, places, data = column.buffers()
+        at = np.frombuffer(places, np.int64, len(column) + 1, column.offset * 8) // 8
+        words = np.frombuffer(data, "<i8", at[-1]) if at[-1] else np.zeros(0, "<i8")
+        for i, (block, label) in enumerate(zip(batch.column("block").to_pylist(), batch.column("y").to_pylist())):
+            if texts and (block != number or size >= WORDS):
+                yield number, texts, np.array(y)
+                texts, y, size = [], [], 0
+            number = block
+            texts.append(words[at[i] : at[i + 1]])
+            y.append(label)
+            size += len(texts[-1])
+    if texts:
+        yield number, texts, np.array(y)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, n, s): texts of this task that a table row occurs in, those of label 1; at ``ROWS`` all texts."""
     seen, ones = np.zeros(ROWS + 1), np.zeros(ROWS + 1)
     for _, texts, y in _blocks(batches):
-        for rows, label in zip(texts, y):
-            own = np.append(np.unique(rows), ROWS)
+        for words, label in zip(texts, y):
+            own = np.append(np.unique(_unpacked(words)), ROWS)
             seen[own] += 1
             ones[own] += label
-    yield _sums(np.flatnonzero(seen), seen, ones[:, None])
+    yield from _sums(np.flatnonzero(seen), seen, ones[:, None])
 
 
-def _sums(rows: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(rows), pa.array(n[rows]), *(pa.array(np.ascontiguousarray(c)) for c in sums[rows].T)]
-    return pa.RecordBatch.from_arrays(columns, ["row", "n", *(f"s{k}" for k in range(sums.shape[1]))])
+def _sums(rows: np.ndarray, n: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for first in range(0, len(rows), PART):
+        own = rows[first : first + PART]
+        columns = [pa.array(own), pa.array(n[own]), *(pa.array(np.ascontiguousarray(c)) for c in sums[own].T)]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "n", *(f"s{k}" for k in range(sums.shape[1]))])
 
 
 def _gathered(blocks: DataFrame, run, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +266,7 @@ def _round(shared, number: int):
             sums[own] += len(y) * (after.table[own] - net.table[own]).astype(float)
             n[ROWS:] += len(y)
             sums[ROWS:, 0] += len(y) * (after.small() - small)
-        yield _sums(np.flatnonzero(n), n, sums)
+        yield from _sums(np.flatnonzero(n), n, sums)
 
     return run
 
@@ -256,8 +277,8 @@ def fit(texts: DataFrame, known: DataFrame) -> Net:
     rows = perhaps_among(texts, known).groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).join(known, "id")
     size = known.join(texts.select("id"), "id", "left_semi").count()
     deal = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-size // BLOCK)))).alias("block")
-    blocks = rows.select("id", "text", "y", deal).groupBy("block").applyInArrow(_packed(), "block long, words binary, sizes binary, y binary")
-    blocks = staged(blocks, "blocks")
+    dealt = rows.select("id", "text", "y", deal).repartition("block").sortWithinPartitions("block", "id")
+    blocks = staged(dealt.mapInArrow(_packed, "block long, words binary, y double"), "blocks")
     seen, ones = _gathered(blocks, _occurrences, 1)
     net = _start(seen[:ROWS], ones[:ROWS, 0], seen[ROWS], ones[ROWS, 0])
     for number in range(ROUNDS if size else 0):
