@@ -203,7 +203,7 @@ def _unpacked(words: np.ndarray) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
     """(number, packed words of each text, labels) of blocks, whose texts follow each other; the words stay where Arrow has them.
 
-    A block that ends after ``WORDS`` words, or with a row group of the stored files, goes on as another one: texts are never cut or lost.
+    A block of more than ``WORDS`` words, or whose file has several row groups, goes on as another one: texts are never cut or lost.
     """
     number, texts, y, size = 0, [], [], 0
     for batch in batches:
@@ -276,8 +276,9 @@ def fit(texts: DataFrame, known: DataFrame) -> Net:
     spark = texts.sparkSession
     rows = perhaps_among(texts, known).groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).join(known, "id")
     size = known.join(texts.select("id"), "id", "left_semi").count()
-    deal = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-size // BLOCK)))).alias("block")
-    dealt = rows.select("id", "text", "y", deal).repartition("block").sortWithinPartitions("block", "id")
+    n = max(1, -(-size // BLOCK))
+    deal = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).alias("block")
+    dealt = rows.select("id", "text", "y", deal).repartitionById(n, F.col("block").cast("int")).sortWithinPartitions("id")  # a block is one file
     blocks = staged(dealt.mapInArrow(_packed, "block long, words binary, y double"), "blocks")
     seen, ones = _gathered(blocks, _occurrences, 1)
     net = _start(seen[:ROWS], ones[:ROWS, 0], seen[ROWS], ones[ROWS, 0])
