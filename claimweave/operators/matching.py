@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from claimweave.operators.ordered import BUCKET, hash_buckets, null_safe_join, random_rank, running_sums, value_buckets
 from claimweave.session import ensure_checkpoint_dir
@@ -59,6 +60,14 @@ def frequency_match(
 _FLOW = "seg int, t_ps double, c_ps double, t_from long, c_from long, k long"
 
 
+class _Piece(NamedTuple):
+    """Treated scores from ``lo`` to ``hi`` and how many units they are."""
+
+    lo: float
+    hi: float
+    units: int
+
+
 def _nearest_free(pdf: pd.DataFrame, caliper: float) -> pd.DataFrame:
     """Serve the treated values of one segment, highest score first, from the nearest free controls.
 
@@ -111,24 +120,33 @@ def _segment_flows(groups: DataFrame, caliper: float) -> DataFrame:
     return groups.groupBy("seg").applyInPandas(serve, _FLOW)
 
 
-def _views(state: DataFrame, wave: DataFrame, step: int) -> DataFrame:
-    """Controls that the segments of a wave can need: (seg, ps, n_c, used).
+def _within(pieces: list[tuple], inside: Callable[[Column], Column]) -> Column:
+    """A row for each piece that a row lies inside of; a piece is (first, last, lo, hi). A wave has few, so no join is needed."""
+    kinds = (("first", "long"), ("last", "long"), ("lo", "double"), ("hi", "double"))
+    listed = [F.struct(F.lit(i).alias("seg"), *[F.lit(x).cast(t).alias(n) for x, (n, t) in zip(p, kinds)]) for i, p in enumerate(pieces)]
+    return F.explode(F.transform(F.filter(F.array(*listed), inside), lambda p: p["seg"])).alias("seg")
+
+
+def _asking(ranked: DataFrame, pieces: list[_Piece]) -> DataFrame:
+    """Treated scores of the pieces of a wave."""
+    own = _within([(0, 0, p.lo, p.hi) for p in pieces], lambda p: F.col("ps").between(p["lo"], p["hi"]))
+    return ranked.filter("n_t > 0").select(own, "ps", "n_t", "free", "above")
+
+
+def _views(ranked: DataFrame, pieces: list[_Piece], ends: list[tuple[int, int]], caliper: float) -> DataFrame:
+    """Controls that the pieces of a wave can need: (seg, ps, n_c, used).
 
-    ``state(ps, n_c, used, free, above)`` holds free units and those at or above each score; ``wave(seg, need, over,
-    upto)`` the units that may be needed on each side, those above the segment's treated, and those down to their
-    lowest. A control is in view if fewer than ``need`` free units lie between it and the treated. Both sides are
-    cut into steps of ``step`` units, so this is an equi-join.
+    ``ranked(ps, n_c, used, free, above)`` holds free units and those at or above each score; ``ends`` the units above a
+    piece's treated, and those down to their lowest. The pieces down to a piece's own can use as many units as they have
+    treated. A control is in view if fewer free units than that lie between it and the treated, within the caliper.
     """
-    lo, hi = F.greatest(F.col("over") - F.col("need"), F.lit(0)), F.col("upto") + F.col("need")
-    at = lambda c: F.floor(c / step).cast("long")
-    wanted = wave.select("seg", lo.alias("_lo"), hi.alias("_hi"), F.explode(F.sequence(at(lo), at(hi))).alias("_at"))
-    first = F.col("above") - F.col("free")
-    placed = state.filter("free > 0").select("ps", "n_c", "used", first.alias("_first"), F.col("above").alias("_last"))
-    # A score with many free units spans several steps; it is offered to a segment once, at the first they share.
-    placed = placed.withColumn("_at", F.explode(F.sequence(at(F.col("_first")), at(F.col("_last") - 1))))
-    inside = (F.col("_first") < F.col("_hi")) & (F.col("_last") > F.col("_lo"))
-    once = F.col("_at") == F.greatest(at(F.col("_first")), at(F.col("_lo")))
-    return placed.join(wanted, "_at").filter(inside & once).select("seg", "ps", "n_c", "used")
+    needs = np.cumsum([p.units for p in pieces]).tolist()
+    bounds = [(max(over - n, 0), upto + n, p.lo, p.hi) for p, n, (over, upto) in zip(pieces, needs, ends)]
+    far = lambda gap: F.nanvl(gap, F.lit(0.0)) > caliper
+    inside = lambda p: (
+        (F.col("above") - F.col("free") < p["last"]) & (F.col("above") > p["first"]) & ~far(F.col("ps") - p["hi"]) & ~far(p["lo"] - F.col("ps"))
+    )
+    return ranked.filter("free > 0").select(_within(bounds, inside), "ps", "n_c", "used")
 
 
 def _solve_wave(treated: DataFrame, offered: DataFrame, segments: int, caliper: float) -> DataFrame:
@@ -173,61 +191,72 @@ def _heavy_flows(state: DataFrame, score: float, units: int, caliper: float) ->
     ).checkpoint()
 
 
+def _pieces(placed: DataFrame, **keys: Column) -> list[_Piece]:
+    """Ranges of treated scores with equal keys, from the top; one row for each reaches the driver."""
+    found = placed.filter("n_t > 0").groupBy(*[c.alias(n) for n, c in keys.items()]).agg(
+        F.min("ps").alias("lo"), F.max("ps").alias("hi"), F.sum("n_t").alias("units")
+    )
+    return [_Piece(r["lo"], r["hi"], r["units"]) for r in sorted(found.collect(), key=lambda r: [r[n] for n in keys])]
+
+
 def _match_values(values: DataFrame, caliper: float, per_segment: int, wave: int) -> DataFrame:
     """Flows ``k`` treated of one score to controls of another, equal to the serial greedy rule.
 
-    Scores are cut from the top into segments of at most ``per_segment`` controlled scores and about as many treated
-    units. Treated are served from high to low, so a segment depends on higher ones only. ``wave`` segments are solved
-    at a time; what they used is then settled. On either side a segment can use no more units than the treated of its
-    wave down to its own, so that many free units are all it needs to see: no group grows with the data, also where
-    controls are exhausted over a long range of scores. A score with more treated than a segment may hold is a step
-    of its own, without any group.
+    Treated are served from high to low, so a range of scores depends on higher ones only. Scores are cut from the top
+    into pieces of about ``per_segment`` scores, treated and controlled, however many units they have. ``wave`` pieces are
+    solved at a time; what they used is then settled. On either side a piece can use no more units than the treated of
+    its wave down to its own, and none beyond the caliper, so that is all it needs to see. Pieces that would see too many
+    scores wait for a later wave; the first of a wave is then cut again, into pieces of less than twice ``per_segment``
+    treated units, which see few scores, and single scores with more. If such a score would see too many, it is a step of its
+    own, without any group. So no group grows with the data, also where controls are exhausted over a long range of
+    scores, and the number of steps grows with distinct scores, not with the persons who share them.
     """
     spark = values.sparkSession
     ensure_checkpoint_dir(spark)
     zero = F.lit(0).cast("long")
-    size = values.agg(F.sum("n_t").alias("t"), F.count_if(F.col("n_c") > 0).alias("c")).first()
-    if (size["t"] or 0) + size["c"] <= per_segment:
+    size = values.agg(F.count_if(F.col("n_t") > 0).alias("t"), F.count_if(F.col("n_c") > 0).alias("c")).first()
+    if size["t"] + size["c"] <= per_segment:
         # All scores are one segment.
         every = values.select(F.lit(0).alias("seg"), "ps", "n_t", "n_c", zero.alias("used"))
         return _solve_wave(every, every.filter("n_c > 0"), 1, caliper)
-    cut = value_buckets(values, "ps")
     heavy = f"n_t > {per_segment}"
-    costs = {"_cost": f"CASE WHEN {heavy} THEN 0 ELSE n_t END + CAST(n_c > 0 AS INT)", "_phase": f"CAST({heavy} AS INT)"}
-    # A heavy score closes a phase; light segments do not reach across it.
-    placed = running_sums(cut, [], "ps", costs, descending=True, inclusive=False)
-    placed = placed.withColumn("_seg", F.floor(F.col("_cost") / per_segment)).withColumn("_heavy", F.expr(heavy)).checkpoint()
-    light = placed.filter("n_t > 0 AND NOT _heavy").groupBy("_phase", "_seg").agg(
-        F.sum("n_t").alias("m"), F.min("ps").alias("lo"), F.max("ps").alias("hi")
-    )
-    # One row per segment and per heavy score reaches the driver.
-    segments = sorted((r["_phase"], r["_seg"], r["m"], r["lo"], r["hi"]) for r in light.collect())
-    heavies = {r["_phase"]: (r["ps"], r["n_t"]) for r in placed.filter("_heavy").select("_phase", "ps", "n_t").collect()}
-    steps: list[list[tuple] | tuple] = []
-    for phase in sorted({s[0] for s in segments} | set(heavies)):
-        own = [s for s in segments if s[0] == phase]
-        steps += [own[i : i + wave] for i in range(0, len(own), wave)]
-        steps += [heavies[phase]] if phase in heavies else []
+    costs = {
+        "_scores": "CAST(n_t > 0 AS INT) + CAST(n_c > 0 AS INT)", "_units": f"CASE WHEN {heavy} THEN 0 ELSE n_t END", "_phase": f"CAST({heavy} AS INT)",
+    }
+    placed = running_sums(value_buckets(values, "ps"), [], "ps", costs, descending=True, inclusive=False).checkpoint()
+    todo = _pieces(placed, part=F.floor(F.col("_scores") / per_segment))
+    # Outside of its own scores, a piece of 2 * per_segment units sees 4 * per_segment others at most.
+    most = (4 * wave + 2) * per_segment + 3
     settled = spark.createDataFrame([], "ps double, used long")
     done: list[DataFrame] = []
-    for step in steps:
-        state = placed.join(settled, "ps", "left").withColumn("used", F.coalesce("used", zero))
-        state = state.withColumn("free", F.col("n_c") - F.col("used"))
-        if isinstance(step, tuple):
-            flows = _heavy_flows(state, step[0], step[1], caliper)
+    ranked = None
+    while todo:
+        if ranked is None:
+            state = placed.join(settled, "ps", "left").withColumn("used", F.coalesce("used", zero))
+            state = state.withColumn("free", F.col("n_c") - F.col("used"))
+            ranked = running_sums(state, [], "ps", {"above": "free"}, descending=True).checkpoint()
+        step = todo[:wave]
+        ends = _asking(ranked, step).groupBy("seg").agg(F.min(F.col("above") - F.col("free")).alias("over"), F.max("above").alias("upto"))
+        ends = [(r["over"], r["upto"]) for r in sorted(ends.collect())]
+        seen = {r["seg"]: r["count"] for r in _views(ranked, step, ends, caliper).groupBy("seg").count().collect()}
+        wide = [i for i in range(len(step)) if seen.get(i, 0) > most]
+        step = step[: wide[0]] if wide else step
+        first = todo[0]
+        if step:
+            offered = _views(ranked, step, ends, caliper)
+            flows = _solve_wave(_asking(ranked, step).select("seg", "ps", "n_t"), offered, len(step), caliper)
+        elif first.lo < first.hi:
+            # A heavy score closes a phase and is a piece of its own; light pieces do not reach across it.
+            own = placed.filter(F.col("ps").between(first.lo, first.hi))
+            todo[:1] = _pieces(own, phase=F.col("_phase"), heavy=F.expr(heavy), cut=F.floor(F.col("_units") / per_segment))
+            continue
         else:
-            ranked = running_sums(state.drop("_cost"), [], "ps", {"above": "free"}, descending=True).checkpoint()
-            needs = np.cumsum([s[2] for s in step]).tolist()
-            listed = spark.createDataFrame(
-                [(i, s[0], s[1], n) for i, (s, n) in enumerate(zip(step, needs))], "seg int, _phase long, _seg long, need long"
-            )
-            treated = ranked.filter("n_t > 0 AND NOT _heavy").join(listed, ["_phase", "_seg"])
-            ends = treated.groupBy("seg", "need").agg(F.min(F.col("above") - F.col("free")).alias("over"), F.max("above").alias("upto"))
-            offered = _views(ranked, ends, max(1, needs[-1]))
-            flows = _solve_wave(treated.select("seg", "ps", "n_t"), offered, len(step), caliper)
+            step, flows = [first], _heavy_flows(ranked, first.hi, first.units, caliper)
+        todo = todo[len(step) :]
         done.append(flows)
         used = flows.groupBy(F.col("c_ps").alias("ps")).agg(F.sum("k").alias("used"))
         settled = settled.unionByName(used).groupBy("ps").agg(F.sum("used").alias("used")).checkpoint()
+        ranked = None
     out = spark.createDataFrame([], _FLOW)
     for flows in done:
         out = out.unionByName(flows)
@@ -252,7 +281,7 @@ def ps_match(
     Persons with equal scores are interchangeable, so the greedy rule runs on distinct scores with counts
     and its result is expanded back to persons by rank. Returns two rows per pair: the columns ``id``,
     ``treat``, ``ps``, the ``pair_id`` (the treated person's id) and a unit weight. ``per_segment`` scores make one
-    group of work, which sees at most ``2 * wave * per_segment`` more units around it; results do not depend on either.
+    group of work, which sees about ``(4 * wave + 2) * per_segment`` controlled scores at most; results do not depend on either.
     """
     rows = df.select(F.col(id).alias("_id"), F.col(treat).alias("_t"), F.col(ps).cast("double").alias("ps"))
     rows = rows.filter(F.col("_t").isin(0, 1) & F.col("ps").isNotNull())

@@ -202,6 +202,39 @@ def test_groups_stay_bounded_where_controls_run_out(spark, monkeypatch, treated_
     assert len(sizes) > 5 and max(sizes) <= 2 * per_segment + 2 * wave * 2 * per_segment
 
 
+def test_steps_grow_with_scores_not_with_persons(spark, monkeypatch):
+    """Every score has more treated than a segment has scores; the steps are those of as many scores with one person each."""
+    waves, solve = [], matching._solve_wave
+    monkeypatch.setattr(matching, "_heavy_flows", None)
+    monkeypatch.setattr(matching, "_solve_wave", lambda *a: waves.append(a[2]) or solve(*a))
+    rng = random.Random(11)
+    rows = [(f"p{i}", int(rng.random() < 0.5), rng.randrange(30) / 32) for i in range(700)]
+    df = spark.createDataFrame(rows, "id string, t int, ps double")
+    out = matching.ps_match(df, "id", "t", "ps", caliper=3 / 32, per_segment=8, wave=4).collect()
+    assert {r.pair_id: r.id for r in out if r.t == 0} == greedy_pairs(rows, 3 / 32)
+    assert sum(waves) <= 2 * 30 / 8 + 1 and len(waves) <= 2
+
+
+@pytest.mark.parametrize("seed, caliper, wave", [(1, 0.6, 1), (2, float("inf"), 2)])
+def test_hot_scores_among_many_controls_see_bounded_groups(spark, monkeypatch, seed, caliper, wave):
+    """Scores with many treated and few equals: those that would see too many scores are steps of their own."""
+    sizes, steps, solve, serve = [], [], matching._segment_flows, matching._heavy_flows
+
+    def noting(groups, limit):
+        sizes.append(groups.groupBy("seg").count().agg({"count": "max"}).first()[0] or 0)
+        return solve(groups, limit)
+
+    monkeypatch.setattr(matching, "_segment_flows", noting)
+    monkeypatch.setattr(matching, "_heavy_flows", lambda *a: steps.append(a[1]) or serve(*a))
+    rng, per_segment = random.Random(seed), 2
+    rows = [(f"c{i}", 0, rng.randrange(128) / 128) for i in range(90)] + [(f"t{i}", 1, rng.randrange(128) / 128) for i in range(4)]
+    rows += [(f"h{i}", 1, (0.5, 63 / 128)[i % 2]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id string, t int, ps double").repartition(3)
+    out = matching.ps_match(df, "id", "t", "ps", caliper=caliper, per_segment=per_segment, wave=wave, chunk=7).collect()
+    assert {r.pair_id: r.id for r in out if r.t == 0} == greedy_pairs(rows, caliper)
+    assert steps and max(sizes) <= (4 * wave + 3) * per_segment + 3
+
+
 def test_small_caliper_example(spark):
     rows = [("T1", 1, 0.80), ("T2", 1, 0.78), ("C1", 0, 0.79), ("C2", 0, 0.70)]
     out = matching.ps_match(spark.createDataFrame(rows, "id string, t int, ps double"), "id", "t", "ps", caliper=0.1).collect()
