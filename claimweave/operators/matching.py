@@ -284,7 +284,8 @@ def ps_match(
     group of work, which sees about ``(4 * wave + 2) * per_segment`` controlled scores at most; results do not depend on either.
     """
     rows = df.select(F.col(id).alias("_id"), F.col(treat).alias("_t"), F.col(ps).cast("double").alias("ps"))
-    rows = rows.filter(F.col("_t").isin(0, 1) & F.col("ps").isNotNull())
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = rows.filter(F.col("_t").isin(0, 1) & F.col("ps").isNotNull()).checkpoint()  # read six times
     if caliper is None:
         caliper = math.inf
         if caliper_sd is not None:
@@ -292,7 +293,6 @@ def ps_match(
     values = rows.groupBy("ps").agg(
         F.count_if(F.col("_t") == 1).alias("n_t"), F.count_if(F.col("_t") == 0).alias("n_c")
     )
-    ensure_checkpoint_dir(df.sparkSession)
     flows = _match_values(values.checkpoint(), caliper, per_segment, wave)
     # Flows to pairs in two steps, so that a flow of very many persons is spread before it is unrolled.
     starts = flows.select(
